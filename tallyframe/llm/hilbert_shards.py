@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._base import buckets_for, running_total
+from tallyframe.llm._base import buckets_for, running_total, written
 
 BITS = 4
 
@@ -73,22 +73,26 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataF
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.octet_length(text).cast("long") + 1
     source, lang = quantise(docs, ["source", "lang"], bits)
-    scale = F.least(F.lit(2**bits - 1), F.greatest(F.lit(0), F.floor(F.log2(size) * (2**bits / 16.0) - 2)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.struct(source.alias("s"), lang.alias("l"), scale.alias("z")).alias("c"))
-    total = docs.select("doc_id").count()
+    scale = F.least(F.lit(2**bits - 1), F.greatest(F.lit(0), F.floor(F.log2("size") * (2**bits / 16.0) - 2)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), source.alias("s"), lang.alias("l"))
+    # The only pass over the texts; what follows reads a few numbers for each row.
+    rows = written(rows.withColumn("cell", (F.col("s") * 2**bits + F.col("l")) * 2**bits + scale.cast("int")).drop("s", "l"), "metadata")
+    # The cells are at most 2**(3 * bits), at any size of the input: their table may be broadcast, and its running total fits one task.
+    cells = rows.groupBy("cell").agg(F.count("*").alias("_n"))
+    axes = [F.shiftright("cell", 2 * bits), F.shiftright("cell", bits).bitwiseAND(2**bits - 1), F.col("cell").bitwiseAND(2**bits - 1)]
+    cells = cells.withColumn("hilbert", hilbert_index(axes, bits)).withColumn("_one", F.lit(0))
+    cells = written(running_total(cells, ["_one"], "hilbert", ["hilbert"], F.col("_n"), "_cell_at").select("cell", "hilbert", "_n", "_cell_at"), "cells")
+    total = cells.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     deal = buckets_for(total)
-    rows = rows.select("doc_id", "size", "text_crc32", hilbert_index([F.col("c.s"), F.col("c.l"), F.col("c.z")], bits).alias("hilbert"), F.pmod(F.xxhash64("text_crc32", "size", F.floor(F.coalesce("doc_id", F.lit(0)) / 64)), F.lit(deal)).alias("_deal"))
-    ranked = running_total(rows, ["hilbert"], "_deal", ["text_crc32", "doc_id", "size"], F.lit(1), "_in_cell")
-    # The cells are at most 2**(3 * bits): their totals fit one task at any size of the input.
-    cells = rows.groupBy("hilbert").agg(F.count("*").alias("_n"))
-    cells = running_total(cells.withColumn("_one", F.lit(0)), ["_one"], "hilbert", ["hilbert"], F.col("_n"), "_cell_at").select("hilbert", "_cell_at")
+    rows = rows.withColumn("_deal", F.pmod(F.xxhash64("text_crc32", "size", F.floor(F.coalesce("doc_id", F.lit(0)) / 64)), F.lit(deal)))
+    ranked = running_total(rows, ["cell"], "_deal", ["text_crc32", "doc_id", "size"], F.lit(1), "_in_cell")
     rank = F.col("_cell_at") + F.col("_in_cell")
     each, more = divmod(total, shards)
     # The first `more` shards hold one row more than the rest.
     edge = more * (each + 1)
     shard = F.when(rank < edge, F.floor(rank / (each + 1))).otherwise(more + F.floor((rank - edge) / max(each, 1))).cast("int")
     start = F.col("shard").cast("long") * each + F.least(F.col("shard"), F.lit(more))
-    out = ranked.join(cells, "hilbert").withColumn("_rank", rank).withColumn("shard", shard)
+    out = ranked.join(F.broadcast(cells.drop("_n")), "cell").withColumn("_rank", rank).withColumn("shard", shard)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_rank") - start).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
