@@ -4,12 +4,14 @@ Sketch (Dahlgaard, Knudsen, Thorup, "Fast similarity sketching"): round i throws
 with value (i, hash); a bin keeps its least value, and rounds end when no bin is empty. From round COORDINATES on, round i throws all
 into bin i - COORDINATES, so every coordinate fills. Two sets agree in a coordinate with probability their Jaccard similarity, and the
 agreements concentrate as if drawn without replacement. Bands of ROWS coordinates give candidate buckets; with the defaults a pair at
-the threshold shares no bucket with probability (1 - 0.75**4)**40 < 3e-7.
+the threshold shares no bucket with probability (1 - 0.75**5)**64 < 4e-8.
 
 Documents with equal word sequences form a class first, so copies are never paired. Linking a bucket of classes needs no pairs of all
-members: each class is tried against its least bucket mate; then, in every bucket that still holds several components, members outside
-the bucket's largest component are tried in blocks of BLOCK against all members of other components, until none is left untried.
-Every pair of a bucket is so either compared on full shingle sets or already connected.
+members: each class is tried against its hub, the mate whose buckets are the fullest; then, in every bucket that still holds several
+components, members outside the bucket's largest component are tried in blocks of BLOCK against the members of other components,
+until none is left untried. A pair of a bucket is so either already connected or tried, unless it cannot reach the threshold: the sizes
+differ too much, or their distances to one hub do (Jaccard distance obeys the triangle inequality). Tried pairs whose sketches agree in
+fewer than AGREE of the coordinates, five deviations below what a pair at the threshold has, are dropped before full sets are compared.
 
 Shingles are compared as 64-bit hashes. Nulls: a null text has no shingles and links with nothing; null ids are rows like any other.
 Repeated rows join one class. Empty tables give empty results; other columns are not read.
@@ -30,8 +32,9 @@ from pyspark.sql import functions as F
 from tallyframe.llm._base import Bounded, components, mix64, written
 
 WORDS, NUM, DEN = 5, 75, 100
-BANDS, ROWS = 40, 4
-BLOCK = 32
+BANDS, ROWS = 64, 5
+BLOCK = 256
+AGREE = 0.628
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 FULL = np.uint64(2**64 - 1)
 _hashes = Bounded(xxhash.xxh3_64_intdigest, 500_000)
@@ -103,20 +106,33 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], bands: int, rows: int) ->
         yield flush(ids, digests, sets)
 
 
-def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, shingles as sorted longs) of each text."""
-    schema = pa.schema([("digest", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+def set_batches(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
+    """(digest, shingles as sorted longs, the low bits of the sketch) of each text with words."""
+    schema = pa.schema([("digest", pa.binary()), ("shingles", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int16()))])
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
-            words = [words_of(t.as_py()) for t in batch.column(0).slice(at, 500)]
-            yield pa.record_batch([[hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words], [shingle_hashes(w).view(np.int64) for w in words]], schema=schema)
+            words = [w for w in (words_of(x.as_py()) for x in batch.column(0).slice(at, 500)) if w]
+            sets = [shingle_hashes(w) for w in words]
+            low = (sketches(sets, t) & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
+            yield pa.record_batch([[hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words], [x.view(np.int64) for x in sets], list(low)], schema=schema)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets reach the threshold."""
+def likely(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """The pairs (a, b) whose sketches agree well enough."""
+    left, right = sets.select(F.col("class").alias("a"), F.col("sketch").alias("ka")), sets.select(F.col("class").alias("b"), F.col("sketch").alias("kb"))
+    same = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
+    return pairs.join(left, "a").join(right, "b").where(same >= int(AGREE * t)).select("a", "b")
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds to the pairs (a, b) the sizes of the intersection and the union of their full sets."""
     left, right = sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").withColumn("both", both).where((F.col("both") * DEN) >= NUM * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return both.select("a", "b", "both", (F.size("sa") + F.size("sb") - F.col("both")).alias("either"))
+
+
+def linked(pairs: DataFrame) -> DataFrame:
+    return pairs.where(F.col("both") * DEN >= F.col("either") * NUM).select("a", "b")
 
 
 def near_size(x: str, y: str):
@@ -131,21 +147,28 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     classes = seen.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     buckets = classes.select("class", "n", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("class").alias("mate")).where("_n > 1")
-    active = written(buckets.join(shared.drop("_n"), "bucket"), "buckets")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("full")).where("full > 1")
+    active = written(buckets.join(shared, "bucket"), "buckets")
+    fullness = active.groupBy("class").agg(F.sum("full").alias("score"))
+    active = written(active.drop("full").join(fullness, "class"), "scored")
     # Full sets, of classes in shared buckets only.
     wanted = active.select("class").distinct().join(classes.select("class", "doc_id", "digest"), "class")
     wanted = written(wanted, "wanted")
     ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
     texts = source.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    sets = texts.mapInArrow(set_batches, "digest binary, shingles array<long>").join(wanted.select("class", "digest"), "digest")
-    sets = written(sets.dropDuplicates(["class"]).select("class", "shingles"), "sets")
-    # Each class against its least mate.
-    mates = active.where("class <> mate").groupBy("class").agg(F.min("mate").alias("a")).select("a", F.col("class").alias("b"))
-    checked = written(mates, "pairs")
-    links = written(verified(checked, sets), "links")
+    t = bands * rows
+    sets = texts.mapInArrow(lambda it: set_batches(it, t), "digest binary, shingles array<long>, sketch array<short>").join(wanted.select("class", "digest"), "digest")
+    sets = written(sets.dropDuplicates(["class"]).select("class", "shingles", "sketch"), "sets")
+    # Each class against its hub.
+    top = F.max(F.struct(F.col("score"), (-F.col("class")).alias("least"))).alias("top")
+    mates = active.join(active.groupBy("bucket").agg(top), "bucket").groupBy("class").agg(F.max("top").alias("top")).select((-F.col("top.least")).alias("hub"), "class")
+    hubs = written(mates, "hubs")
+    near = written(compared(hubs.where("hub <> class").select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).distinct(), sets), "near")
+    checked, links = near.select("a", "b"), linked(near)
+    far = near.select("a", "b", (1 - F.col("both") / F.col("either")).alias("far"))
+    hubs = hubs.withColumn("a", F.least("hub", "class")).withColumn("b", F.greatest("hub", "class")).join(far, ["a", "b"], "left").select("class", "hub", F.coalesce("far", F.lit(0.0)).alias("far"))
+    active = written(active.select("bucket", "class", "n").join(hubs, "class"), "active")
     labels = components(links)
-    active = active.select("bucket", "class", "n")
     while True:
         named = active.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
         per = named.groupBy("bucket", "label").agg(F.count("*").alias("_n"))
@@ -154,14 +177,15 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
         if named.isEmpty():
             break
         w = Window.partitionBy("bucket").orderBy("class")
-        tried = written(named.where("label <> main").withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= BLOCK).select("bucket", F.col("class").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx")), "tried")
-        pairs = named.join(tried, "bucket").where((F.col("label") != F.col("lx")) & near_size("n", "nx")).select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct()
+        tried = written(named.where("label <> main").withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= BLOCK).select("bucket", F.col("class").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("hub").alias("hx"), F.col("far").alias("fx")), "tried")
+        reach = (F.col("hub") != F.col("hx")) | (F.abs(F.col("far") - F.col("fx")) <= 1 - NUM / DEN + 1e-9)
+        pairs = named.join(tried, "bucket").where((F.col("label") != F.col("lx")) & near_size("n", "nx") & reach).select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct()
         pairs = written(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        found = written(verified(pairs, sets), "links")
+        found = written(linked(compared(likely(pairs, sets, t), sets)), "links")
         checked, links = checked.union(pairs), links.union(found)
         if not found.isEmpty():
             labels = components(links)
-        active = named.select("bucket", "class", "n").join(tried.select("bucket", F.col("x").alias("class")), ["bucket", "class"], "left_anti")
+        active = named.select("bucket", "class", "n", "hub", "far").join(tried.select("bucket", F.col("x").alias("class")), ["bucket", "class"], "left_anti")
         active = written(active, "active")
     ends = classes.select("class", "digest", "doc_id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     ends = written(ends, "ends")
