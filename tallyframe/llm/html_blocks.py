@@ -216,6 +216,21 @@ EXAMPLES = """
 6 0 1 1 4 0.7 0 0 0 0
 5 0 4 1 3 0 0 0 1 0
 7 0.6 50 0 2 1 0 0 0 0
+1 0 2 0 7 0 1 0 0 1
+2 0 90 0 1 0 1 0 0 1
+3 0 1 0 3 0 1 0 0 1
+1 0 1 0 1 0 1 0 0 1
+2 1 2 1 2 1 1 0 0 1
+4 0.5 2 0 2 1 1 0 1 1
+11 1 0 0 0 0 1 0 0 1
+6 0 2 1 60 0 -1 0 0 0
+20 0 0 0 90 0 -1 0 0 0
+9 0 0 0 50 0 -1 0 1 0
+35 0 8 0 75 0 -1 0 0 0
+50 0.1 60 0 45 0 -1 0 0 0
+2 1 2 1 60 0 0 0 0 0
+3 1 1 1 48 0 0 0 0 0
+1 1 40 0 70 0 0 0 0 0
 """
 
 
