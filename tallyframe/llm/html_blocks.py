@@ -231,6 +231,8 @@ EXAMPLES = """
 2 1 2 1 60 0 0 0 0 0
 3 1 1 1 48 0 0 0 0 0
 1 1 40 0 70 0 0 0 0 0
+15 0 2 1 30 0 0 1 1 0
+12 0 1 1 60 0 0 1 1 0
 """
 
 
