@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._base import Bounded, buckets_for, running_total, written
+from tallyframe.llm._base import buckets_for, running_total, written
 
 LIMIT, END = 4096, 1
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
-_encoders: dict[str, Bounded] = {}
+_encoders: dict[str, Runs] = {}
 
 
 def default_vocabulary() -> str:
@@ -35,30 +35,97 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str) -> Bounded:
-    """A memo from a run of text without ASCII white space to its ids. The vocabulary drops white space and never joins across it, so the ids of
-    a text are those of its runs, one after the other."""
-    if path not in _encoders:
+class Runs(dict):
+    """Runs of text without ASCII white space, by number, with their ids in one flat array.
+
+    The vocabulary drops white space and never joins across it, so the ids of a text are those of its runs, one after the other. New
+    runs are encoded many at once, divided by a special token that no run holds."""
+
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
-        known = Tokenizer.from_file(path)
-        _encoders[path] = Bounded(lambda run: np.array(known.encode(run.decode(), add_special_tokens=False).ids, dtype="<u4"), 300_000)
+        super().__init__()
+        self.known, self.most = Tokenizer.from_file(path), most
+        same = lambda a, b: self.known.encode(a, add_special_tokens=False).ids == self.known.encode(b, add_special_tokens=False).ids
+        self.folds = same("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        self.marks = {t.content: i for i, t in self.known.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.normalized)}
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.pending: list[bytes] = []
+        self.flat, self.starts, self.used, self.n = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64), 0, 0
+
+    def __missing__(self, run: bytes) -> int:
+        number = self[run] = len(self)
+        self.pending.append(run)
+        return number
+
+    def learn(self) -> None:
+        new, self.pending = self.pending, []
+        if not new:
+            return
+        mark, divider = next(iter(self.marks.items()), (None, None))
+        if mark is None or any(b"<" in r and any(m.encode() in r for m in self.marks) for r in new):
+            ids = [self.known.encode(r.decode(), add_special_tokens=False).ids for r in new]
+            lengths, flat = np.array([len(x) for x in ids]), np.array([i for x in ids for i in x], "<u4")
+        else:
+            groups = [mark.join([*(r.decode() for r in new[k : k + 2000]), ""]) for k in range(0, len(new), 2000)]
+            flat = np.concatenate([np.array(e.ids, "<u4") for e in self.known.encode_batch_fast(groups, add_special_tokens=False)])
+            ends = np.flatnonzero(flat == divider)  # one behind each run
+            lengths = np.diff(ends, prepend=-1) - 1
+            flat = flat[flat != divider]
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(new) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.starts[self.n + 1 : self.n + 1 + len(new)] = self.used + np.cumsum(lengths)
+        self.used, self.n = self.used + len(flat), self.n + len(new)
+
+    def numbers(self, text: str) -> np.ndarray:
+        raw = text.encode()
+        runs = (raw.lower() if self.folds and b"<|" not in raw else raw).split()
+        return np.fromiter(map(self.__getitem__, runs), np.int64, len(runs))
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of these runs, and END."""
+        begin, lengths = self.starts[numbers], self.starts[numbers + 1] - self.starts[numbers]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        out = np.full(total + 1, END, "<u4")
+        out[:-1] = self.flat[np.repeat(begin - (ends - lengths), lengths) + np.arange(total)]
+        return out
+
+
+def encoder(path: str) -> Runs:
+    if path not in _encoders:
+        _encoders[path] = Runs(path)
     return _encoders[path]
 
 
-def encode(text: str, memo: Bounded) -> np.ndarray:
-    parts = [memo[run] for run in text.encode().split()]
-    parts.append(np.array([END], dtype="<u4"))
-    return np.concatenate(parts)
+def encode(texts: list[str], runs: Runs) -> Iterator[np.ndarray]:
+    """Chunk by chunk: numbers first, then what is new is encoded, then the ids of each text."""
+    waiting: list[np.ndarray] = []
+    held = 0
+    for i, text in enumerate(texts, 1):
+        waiting.append(runs.numbers(text))
+        held += len(waiting[-1])
+        if held > 300_000 or i == len(texts):
+            runs.learn()
+            yield from (runs.ids(n) for n in waiting)
+            waiting, held = [], 0
+            if len(runs) > runs.most or runs.used > 20_000_000:
+                runs.reset()
 
 
 def tokenise(batches: Iterator[pa.RecordBatch], path: str, limit: int = LIMIT) -> Iterator[pa.RecordBatch]:
-    memo, row = encoder(path), TaskContext.get().partitionId() << 40
+    runs, row = encoder(path), TaskContext.get().partitionId() << 40
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     for batch in batches:
         out: list[list] = [[] for _ in schema]
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = encode(text.as_py() or "", memo)
+        texts = [text or "" for text in batch.column(1).to_pylist()]
+        for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts, runs), strict=True):
             for piece, start in enumerate(range(0, len(ids), limit)):
                 part = ids[start : start + limit]
                 for column, value in zip(out, (row, doc_id, piece, start, len(part), zlib.crc32(part.tobytes())), strict=True):
