@@ -231,6 +231,14 @@ EXAMPLES = """
 2 1 2 1 60 0 0 0 0 0
 3 1 1 1 48 0 0 0 0 0
 1 1 40 0 70 0 0 0 0 0
+2 0 4 0 0 0 -1 1 0 0
+6 0 40 0 0 0 -1 1 0 0
+12 0 90 0 0 0 -1 1 0 0
+3 0 12 0 8 0 -1 1 0 0
+1 0 9 0 14 0 1 1 0 0
+5 0 50 0 60 0 1 1 0 0
+10 0 3 0 44 0 0 1 0 0
+4 0 60 0 55 0 0 1 0 0
 15 0 2 1 30 0 0 1 1 0
 12 0 1 1 60 0 0 1 1 0
 """
