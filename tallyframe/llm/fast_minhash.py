@@ -7,11 +7,15 @@ agreements concentrate as if drawn without replacement. Bands of ROWS coordinate
 the threshold shares no bucket with probability (1 - 0.75**5)**64 < 4e-8.
 
 Documents with equal word sequences form a class first, so copies are never paired. Linking a bucket of classes needs no pairs of all
-members: each class is tried against its hub, the mate whose buckets are the fullest; then, in every bucket that still holds several
-components, members outside the bucket's largest component are tried in blocks of BLOCK against the members of other components,
-until none is left untried. A pair of a bucket is so either already connected or tried, unless it cannot reach the threshold: the sizes
-differ too much, or their distances to one hub do (Jaccard distance obeys the triangle inequality). Tried pairs whose sketches agree in
-fewer than AGREE of the coordinates, five deviations below what a pair at the threshold has, are dropped before full sets are compared.
+members: each class is tried against its hub, the mate whose buckets are the fullest. What a bucket of several components still holds
+may share no more than a common passage, so these classes are dealt anew, by their rare shingles: of n shingles in order of rarity, two
+sets that reach the threshold share one among the first n - ceil(0.75 n) + 1 of each, whatever the order, and behind the first that they
+share either holds enough of the rest. Rarity is counted among these classes in COUNTERS hashed counters; of shingles that the same
+classes share, the first in order stands for all. Then, in every group that still holds
+several components, members outside the largest are tried in blocks of BLOCK against the members of other components, until none is
+left untried. A pair is so either already connected or tried, unless it cannot reach the threshold: the sizes differ too much, or their
+distances to one hub do (Jaccard distance obeys the triangle inequality). Tried pairs whose sketches agree in fewer than AGREE of the
+coordinates, five deviations below what a pair at the threshold has, are dropped before full sets are compared.
 
 Shingles are compared as 64-bit hashes. Nulls: a null text has no shingles and links with nothing; null ids are rows like any other.
 Repeated rows join one class. Empty tables give empty results; other columns are not read.
@@ -26,18 +30,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm._base import Bounded, components, mix64, written
+from tallyframe.llm._base import components, mix64, written
 
 WORDS, NUM, DEN = 5, 75, 100
 BANDS, ROWS = 64, 5
 BLOCK = 256
 AGREE = 0.628
+COUNTERS = 1 << 18
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 FULL = np.uint64(2**64 - 1)
-_hashes = Bounded(xxhash.xxh3_64_intdigest, 500_000)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -48,7 +53,7 @@ def shingle_hashes(words: list[bytes], k: int = WORDS) -> np.ndarray:
     """The distinct hashes of all runs of k words, sorted; of the whole sequence if it is shorter; none without words."""
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(1, len(words) - k + 1)
     acc = np.full(n, min(k, len(words)), np.uint64)
     for j in range(min(k, len(words))):
@@ -131,10 +136,58 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "both", (F.size("sa") + F.size("sb") - F.col("both")).alias("either"))
 
 
+def of_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of the classes in `pairs`, written: a small table if the pairs are few."""
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "ends")
+    return written(sets.join(ends, "class", "left_semi"), "sets")
+
+
+def rarest(batches: Iterator[pa.RecordBatch], counts: Broadcast) -> Iterator[pa.RecordBatch]:
+    """(class, s, rarity, pos) of each (class, shingles): those that a set reaching the threshold with it must share one of."""
+    for batch in batches:
+        kept = []
+        for shingles in batch.column(1):
+            x = shingles.values.to_numpy()
+            c = counts.value[x & (COUNTERS - 1)]
+            order = np.lexsort((x, c))[: len(x) - -(-len(x) * NUM // DEN) + 1]
+            kept.append((x[order], c[order]))
+        of = np.repeat(batch.column(0).to_numpy(), [len(x) for x, _ in kept])
+        columns = [np.concatenate([np.zeros(0, np.int64), *k]) for k in (*zip(*kept, strict=True), [np.arange(1, len(x) + 1) for x, _ in kept])] if kept else [of] * 3
+        yield pa.record_batch([of, *columns], names=["class", "s", "rarity", "pos"])
+
+
+def by_rare_shingles(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(bucket, class, pos) for the given classes: groups that share a rare shingle, the first of those that the same classes share."""
+    own = written(sets.join(classes, "class", "left_semi").select("class", "shingles"), "rare-sets")
+    slots = own.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit(COUNTERS - 1)).alias("slot")).agg(F.count("*").alias("n"))
+    found = slots.toArrow()  # at most COUNTERS rows
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    held = classes.sparkSession.sparkContext.broadcast(counts)
+    rare = written(own.mapInArrow(lambda it: rarest(it, held), "class long, s long, rarity long, pos long"), "rare")
+    mark = F.xxhash64("class")
+    groups = rare.groupBy("s").agg(F.min("rarity").alias("rarity"), F.count("*").alias("full"), F.bit_xor(mark).alias("m1"), F.bit_xor(F.xxhash64(mark, F.lit(1))).alias("m2")).where("full > 1")
+    groups = written(groups.groupBy("full", "m1", "m2").agg(F.min(F.struct("rarity", "s")).alias("first")).select("first.s"), "groups")
+    return rare.join(groups, "s").select(F.col("s").alias("bucket"), "class", "pos")
+
+
 def linked(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("both") * DEN >= F.col("either") * NUM).select("a", "b")
 
 
+def unconnected(active: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `active` in buckets of several components, with their component, and the bucket's largest as `main`."""
+    named = active.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    per = named.groupBy("bucket", "label").agg(F.count("*").alias("_n"))
+    top = per.groupBy("bucket").agg(F.count("*").alias("_labels"), F.max(F.struct(F.col("_n"), F.col("label"))).alias("_top"))
+    return named.join(top.where("_labels > 1").select("bucket", F.col("_top.label").alias("main")), "bucket")
+
+
+def enough_left(n: str, pos: str, nx: str, px: str):
+    """The first shingle in order that two sets share stands at `pos` and `px`; what follows must suffice for the threshold."""
+    return (F.least(F.col(n) - F.col(pos), F.col(nx) - F.col(px)) + 1) * (NUM + DEN) >= (F.col(n) + F.col(nx)) * NUM
+
+
 def near_size(x: str, y: str):
     """Sets whose sizes differ too much cannot reach the threshold."""
     return F.least(x, y) * DEN >= F.greatest(x, y) * NUM
@@ -158,7 +211,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     texts = source.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
     t = bands * rows
     sets = texts.mapInArrow(lambda it: set_batches(it, t), "digest binary, shingles array<long>, sketch array<short>").join(wanted.select("class", "digest"), "digest")
-    sets = written(sets.dropDuplicates(["class"]).select("class", "shingles", "sketch"), "sets")
+    sets = written(sets.dropDuplicates(["digest"]).select("class", "shingles", "sketch"), "sets")
     # Each class against its hub.
     top = F.max(F.struct(F.col("score"), (-F.col("class")).alias("least"))).alias("top")
     mates = active.join(active.groupBy("bucket").agg(top), "bucket").groupBy("class").agg(F.max("top").alias("top")).select((-F.col("top.least")).alias("hub"), "class")
@@ -169,23 +222,24 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     hubs = hubs.withColumn("a", F.least("hub", "class")).withColumn("b", F.greatest("hub", "class")).join(far, ["a", "b"], "left").select("class", "hub", F.coalesce("far", F.lit(0.0)).alias("far"))
     active = written(active.select("bucket", "class", "n").join(hubs, "class"), "active")
     labels = components(links)
+    left = written(unconnected(active, labels).select("class").distinct(), "left")
+    facts = active.select("class", "n", "hub", "far").distinct()
+    active = written(by_rare_shingles(left, sets).join(facts, "class"), "active")
     while True:
-        named = active.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        per = named.groupBy("bucket", "label").agg(F.count("*").alias("_n"))
-        open_ = per.groupBy("bucket").agg(F.count("*").alias("_labels"), F.max(F.struct(F.col("_n"), F.col("label"))).alias("_top")).where("_labels > 1").select("bucket", F.col("_top.label").alias("main"))
-        named = written(named.join(open_, "bucket"), "open")
+        named = written(unconnected(active, labels), "open")
         if named.isEmpty():
             break
         w = Window.partitionBy("bucket").orderBy("class")
-        tried = written(named.where("label <> main").withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= BLOCK).select("bucket", F.col("class").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("hub").alias("hx"), F.col("far").alias("fx")), "tried")
+        tried = written(named.where("label <> main").withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= BLOCK).select("bucket", F.col("class").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("hub").alias("hx"), F.col("far").alias("fx")), "tried")
         reach = (F.col("hub") != F.col("hx")) | (F.abs(F.col("far") - F.col("fx")) <= 1 - NUM / DEN + 1e-9)
-        pairs = named.join(tried, "bucket").where((F.col("label") != F.col("lx")) & near_size("n", "nx") & reach).select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct()
+        pairs = named.join(tried, "bucket").where((F.col("label") != F.col("lx")) & near_size("n", "nx") & enough_left("n", "pos", "nx", "px") & reach).select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct()
         pairs = written(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        found = written(linked(compared(likely(pairs, sets, t), sets)), "links")
+        close = written(likely(pairs, sets, t), "likely")
+        found = written(linked(compared(close, of_pairs(close, sets))), "links")
         checked, links = checked.union(pairs), links.union(found)
         if not found.isEmpty():
             labels = components(links)
-        active = named.select("bucket", "class", "n", "hub", "far").join(tried.select("bucket", F.col("x").alias("class")), ["bucket", "class"], "left_anti")
+        active = named.select("bucket", "class", "n", "pos", "hub", "far").join(tried.select("bucket", F.col("x").alias("class")), ["bucket", "class"], "left_anti")
         active = written(active, "active")
     ends = classes.select("class", "digest", "doc_id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     ends = written(ends, "ends")
