@@ -60,6 +60,28 @@ def test_hostile_rows(spark, hostile, none):
     assert set(near[near.doc_id.isin([3, 4])].component_id) == {3} and set(near[near.n_shingles == 0].doc_id) == {1, 2}
 
 
+def test_near_common_passage(spark):
+    """Many texts that share a passage, near copies among them: links equal those of all pairs."""
+    rng = np.random.default_rng(5)
+    passage, texts = [f"p{i}" for i in range(40)], []
+    for _ in range(40):
+        texts.append([*passage, *(f"w{i}" for i in rng.integers(0, 10**6, rng.integers(3, 40)))])
+        if len(texts) % 3 == 0:
+            copy = list(texts[-1])
+            copy[int(rng.integers(len(copy)))] = "new"
+            texts.append(copy)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    got = fast_minhash.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).toPandas().sort_values("doc_id")
+    assert list(got.component_id) == group and list(got.n_shingles) == [len(x) for x in sets]
+    assert 1 < len(set(group)) < len(group)
+
+
 def test_languages(spark):
     got = queries.op2_language_id(spark, DIR).toPandas().merge(pd.read_parquet(f"{DIR}/documents.parquet"), on="doc_id")
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]).all()
