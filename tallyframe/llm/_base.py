@@ -59,6 +59,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Written(df, name).df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that `df` does not have, for helper columns beside all of its own."""
+    own, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in own:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm._base import Written, ascii_lower, written
+from tallyframe.llm._base import Written, ascii_lower, fresh, written
 
 BLOCK = 4096
 #: Bytes of blocks that one task remembers while it looks for repeats.
@@ -109,8 +109,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that exact_dedup keeps, with all their columns. A row that is repeated whole stays once."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    own = docs.withColumn("_own", F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
-    own = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
-    w = Window.partitionBy("doc_id", "_own").orderBy("_own")
-    return own.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").select(*docs.columns)
+    id_, sha, mine, nth = fresh(docs, "_id", "_sha", "_own", "_nth")
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha))
+    own = docs.withColumn(mine, F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
+    own = own.join(kept, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(mine) == F.col(sha)), "left_semi")
+    w = Window.partitionBy("doc_id", mine).orderBy(mine)
+    return own.withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1).select(*docs.columns)

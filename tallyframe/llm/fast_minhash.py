@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm._base import components, mix64, written
+from tallyframe.llm._base import components, fresh, mix64, written
 
 WORDS, NUM, DEN = 5, 75, 100
 BANDS, ROWS = 64, 5
@@ -252,5 +252,6 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that near_duplicates keeps, with all their columns."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    (id_,) = fresh(docs, "_id")
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias(id_)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm._base import buckets_for, running_total, written
+from tallyframe.llm._base import buckets_for, fresh, running_total, written
 
 BLOCK = 256
 LIMIT = 3
@@ -91,8 +91,9 @@ def mix(docs: DataFrame, block: int = BLOCK, limit: int = LIMIT) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as rows of documents: each document as often as the mix takes its words, to the nearest whole number of times."""
-    taken = mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_src"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0")
-    taken = taken.groupBy("_id", "_size", "_src").agg(F.max("_times").alias("_times"))
-    size = word_count(F.col("text"))
-    out = docs.withColumn("_n", size).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")) & F.col("source").eqNullSafe(F.col("_src")))
-    return out.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    id_, size, src, times, n, again = fresh(docs, "_id", "_size", "_src", "_times", "_n", "_again")
+    taken = mix(docs).where("taken > 0").select(F.col("doc_id").alias(id_), F.col("size").alias(size), F.col("source").alias(src), F.round(F.col("taken") / F.col("size")).cast("int").alias(times))
+    taken = taken.where(F.col(times) > 0).groupBy(id_, size, src).agg(F.max(times).alias(times))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(n) == F.col(size)) & F.col("source").eqNullSafe(F.col(src))
+    out = docs.withColumn(n, word_count(F.col("text"))).join(taken, same)
+    return out.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

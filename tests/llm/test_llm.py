@@ -179,12 +179,51 @@ def test_mix_near_targets(spark):
     assert (abs(by.taken - by.target) < 1100).all()
 
 
+def test_clashing_columns(spark):
+    """Helper columns keep out of the way of columns of the same names, whatever these hold."""
+    names = ["_id", "_sha", "_own", "_nth", "_size", "_src", "_times", "_n", "_again"]
+    docs = spark.createDataFrame([(i, t, "s", *(["x"] * len(names))) for i, t in enumerate(["a b c", "A b c", "d e f", None])], "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for f, ids in ((exact_dedup.keep_one, {1, 2, 3}), (fast_minhash.keep_one, {0, 2, 3}), (mixing.mixed_documents, {0, 1, 2})):
+        got = f(docs)
+        assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == ids and {r["_id"] for r in got.collect()} == {"x"}
+
+
 def test_pipeline(spark):
+    """Every stage on all that the one before it kept, against the model by hand, SQL, and the tokenizer called text by text."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from tallyframe.llm._base import written
+
+    def sql(text, table):
+        c = duckdb.connect()
+        c.register("documents", table)
+        return c.execute(text).df()
 
-    stages = dict(corpus_pipeline.STAGES)
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    good = stages["quality classifier"](spark, docs, DIR)
-    once = stages["exact dedup"](spark, good, DIR)
-    assert once.columns == docs.columns and once.count() == good.selectExpr("count(distinct lower(text))").first()[0]
-    assert corpus_pipeline.run(spark, DIR).selectExpr("count(distinct sequence_id)").first()[0] > 0
+    model = ordinal_quality.fit(docs, spark.read.parquet(f"{DIR}/labels.parquet"))
+    outs, frame = [docs.toPandas()], docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = written(stage(spark, frame, DIR), "test-stage")
+        assert frame.columns == docs.columns
+        outs.append(frame.toPandas())
+    everything, good, once, distinct, mixed = outs
+
+    def tail(text):
+        columns, values = ordinal_quality.features(text)
+        return 1 / (1 + np.exp(model.thresholds[0] - (model.weights[columns] * values).sum())) if len(columns) else 0.0
+
+    assert sorted(good.doc_id) == sorted(everything.doc_id[[tail(t) >= 0.5 for t in everything.text]]) and 0 < len(good) < len(everything)
+    assert sorted(once.doc_id) == sorted(sql(queries.EXACT_SQL, good).query("kept").doc_id) and len(once) < len(good)
+    assert sorted(distinct.doc_id) == sorted(sql(queries.NEAR_SQL, once).query("kept").doc_id) and len(distinct) < len(once)
+    mix = sql(queries.MIX_SQL, distinct).query("size > 0")
+    assert sorted(mixed.doc_id) == sorted(np.repeat(mix.doc_id, np.floor(mix.taken / mix["size"] + 0.5).astype(int)))
+    packed = corpus_pipeline.STAGES[-1][1](spark, frame, DIR).toPandas()
+    known, want = Tokenizer.from_file(packing.default_vocabulary()), []
+    for doc_id, text in zip(mixed.doc_id, mixed.text, strict=True):
+        ids = np.array([*known.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        want += [(doc_id, at // 4096, at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes())) for at in range(0, len(ids), 4096)]
+    assert sorted(want) == sorted(packed[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None))
+    for _, g in packed.sort_values("offset").groupby("sequence_id"):
+        assert list(g.offset) == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 4096
+    assert corpus_pipeline.run(spark, DIR).count() == len(packed)
