@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import string
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: What the operator at work remembers from task to task in this Python worker.
+_REMEMBERED: dict[tuple, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -117,6 +122,25 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return labels
 
 
+def settle() -> None:
+    """Python workers outlive their tasks: forgets what the operator before this one remembered, and gives freed memory back."""
+    _REMEMBERED.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def remembered(key: tuple, build):
+    """build(), once in each worker for as long as the same operator runs there."""
+    if key not in _REMEMBERED:
+        settle()
+        _REMEMBERED[key] = build()
+    return _REMEMBERED[key]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words, in place where it can."""
     x = x + np.uint64(0x9E3779B97F4A7C15)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm._base import Written, ascii_lower, fresh, written
+from tallyframe.llm._base import Written, ascii_lower, fresh, settle, written
 
 BLOCK = 4096
 #: Bytes of blocks that one task remembers while it looks for repeats.
@@ -32,6 +32,7 @@ CUT_ARROW = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.s
 
 def cut_blocks(batches: Iterator[pa.RecordBatch], block: int = BLOCK, remember: int = REMEMBER) -> Iterator[pa.RecordBatch]:
     """A row for each block; its bytes only where this task meets the block for the first time (since it last forgot)."""
+    settle()
     top = TaskContext.get().partitionId() << 40
     seen: dict[bytes, int] = {}
     held = n_rows = n_reps = 0

@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm._base import components, fresh, mix64, written
+from tallyframe.llm._base import components, fresh, mix64, settle, written
 
 WORDS, NUM, DEN = 5, 75, 100
 BANDS, ROWS = 64, 5
@@ -97,6 +97,7 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], bands: int, rows: int) ->
         found = dict(zip(full, band_hashes(sketches([sets[i] for i in full], bands * rows), bands, rows), strict=True))
         return pa.record_batch([ids, [len(x) for x in sets], digests, [found.get(i, ()) for i in range(len(sets))]], schema=SKETCHED)
 
+    settle()
     for batch in batches:
         ids, digests, sets, held = [], [], [], 0
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -114,12 +115,25 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], bands: int, rows: int) ->
 def set_batches(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
     """(digest, shingles as sorted longs, the low bits of the sketch) of each text with words."""
     schema = pa.schema([("digest", pa.binary()), ("shingles", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int16()))])
+
+    def flush(digests, sets):
+        low = (sketches(sets, t) & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
+        return pa.record_batch([digests, [x.view(np.int64) for x in sets], list(low)], schema=schema)
+
+    settle()
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            words = [w for w in (words_of(x.as_py()) for x in batch.column(0).slice(at, 500)) if w]
-            sets = [shingle_hashes(w) for w in words]
-            low = (sketches(sets, t) & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
-            yield pa.record_batch([[hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words], [x.view(np.int64) for x in sets], list(low)], schema=schema)
+        digests, sets, held = [], [], 0
+        for text in batch.column(0):
+            words = words_of(text.as_py())
+            if not words:
+                continue
+            digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+            sets.append(shingle_hashes(words))
+            held += len(sets[-1])
+            if held > 300_000 or len(sets) == 1000:
+                yield flush(digests, sets)
+                digests, sets, held = [], [], 0
+        yield flush(digests, sets)
 
 
 def likely(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._base import Bounded
+from tallyframe.llm._base import Bounded, remembered
 
 BITS, SAMPLE, CUT = 14, 3000, 0.5
 ROUNDS, RATE, RIDGE = 250, 0.1, 1e-4
@@ -146,15 +146,8 @@ class Scorer:
         return sum(map(self.shape.__getitem__, words)) / len(words) + sum(sorted(map(self.word.__getitem__, distinct))) / len(distinct) ** 0.5
 
 
-_scorers: dict[bytes, Scorer] = {}
-
-
 def scorer(model: Ordinal) -> Scorer:
-    key = model.weights.tobytes()
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model)
-    return _scorers[key]
+    return remembered(("scorer", model.weights.tobytes()), lambda: Scorer(model))
 
 
 def grades(batches: Iterator[pa.RecordBatch], model: Ordinal | None, grade: int, cut: float, at: int) -> Iterator[pa.RecordBatch]:

@@ -22,11 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._base import buckets_for, running_total, written
+from tallyframe.llm._base import buckets_for, remembered, running_total, written
 
 LIMIT, END = 4096, 1
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
-_encoders: dict[str, Runs] = {}
 
 
 def default_vocabulary() -> str:
@@ -99,9 +98,7 @@ class Runs(dict):
 
 
 def encoder(path: str) -> Runs:
-    if path not in _encoders:
-        _encoders[path] = Runs(path)
-    return _encoders[path]
+    return remembered(("encoder", path), lambda: Runs(path))
 
 
 def encode(texts: list[str], runs: Runs) -> Iterator[np.ndarray]:
