@@ -102,3 +102,11 @@ def json_array(col: Column, kind: str = "string") -> Column:
 def closeness(a: Column, b: Column) -> Column:
     """1 less the edit distance over the longer length."""
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+
+
+def surname_family(a: Column, b: Column) -> Column:
+    """Whether two surnames may be spellings of one: equal, much the same letters, one a prefix of the other, or one inside the other."""
+    x, y = F.array_distinct(F.split(a, "")), F.array_distinct(F.split(b, ""))
+    alike = (F.abs(F.length(a) - F.length(b)) <= 2) & (F.size(F.array_intersect(x, y)) * 10 >= F.least(F.size(x), F.size(y)) * 7)
+    inside = (F.least(F.length(a), F.length(b)) >= 4) & (F.contains(a, b) | F.contains(b, a))
+    return (a == b) | alike | F.startswith(a, b) | F.startswith(b, a) | inside
