@@ -38,6 +38,23 @@ def scored(candidates: DataFrame, key: str, other: str, score: str) -> DataFrame
     return out.select(key, F.when(F.col("_n") == 1, F.col("match")).alias("match"), score, F.when(F.col("_n") == 1, "MATCHED").otherwise("CONFLICT").alias("status"))
 
 
+def scored_by_group(people: DataFrame, key: str, group: str, known: DataFrame, other: str, other_group: str, hit: int, miss: int) -> DataFrame:
+    """As `scored` over all pairs of people and known ones, which score `hit` in the same group and `miss` otherwise, hit > miss.
+
+    No pair is made: candidates are counted once for each group, and once in all for people without one in their group. A key with
+    rows in several groups (a null is none) has the candidates of each, every one once."""
+    p = people.groupBy(key).agg(F.sort_array(F.collect_set(group)).alias("_g"))
+    k = known.select(F.col(other).alias("_o"), F.col(other_group).alias("_of")).distinct()
+    near = p.select("_g").distinct().select("_g", F.explode("_g").alias("_of")).join(k, "_of").select("_g", "_o").distinct()
+    near = near.groupBy("_g").agg(F.count("*").alias("_n"), F.min("_o").alias("_m"))
+    rest = k.select("_o").distinct().agg(F.count("*").alias("_all"), F.min("_o").alias("_first")).where("_all > 0")
+    out = p.join(near, "_g", "left").crossJoin(F.broadcast(rest))
+    best = F.col("_n").isNotNull()
+    n = F.coalesce("_n", "_all")
+    match = F.when(best, F.col("_m")).otherwise(F.col("_first"))
+    return out.select(key, F.when(n == 1, match).alias("match"), F.when(best, hit).otherwise(miss).alias("score"), F.when(n == 1, "MATCHED").otherwise("CONFLICT").alias("status"))
+
+
 def most_referenced(df: DataFrame, name: str, pid: str) -> DataFrame:
     """(pid, kept): each name's ids are remapped to the one that occurs most (ties: the least)."""
     n = df.groupBy(name, pid).agg(F.count("*").alias("_n"))

@@ -342,8 +342,8 @@ def provenance_grades(t):
  r AS (SELECT *, rank() OVER (PARTITION BY c_custkey ORDER BY score DESC) AS r FROM c), g AS (SELECT c_custkey, count(*) AS n, min(s_suppkey) AS m, max(score) AS score FROM r WHERE r = 1 GROUP BY 1)
  SELECT c_custkey, CASE WHEN n = 1 THEN m END AS match, score, CASE WHEN n = 1 THEN 'MATCHED' ELSE 'CONFLICT' END AS status FROM g""")
 def scored_matches(t):
-    c = t.customer.withColumn("k", F.col("c_custkey") % 97).join(t.supplier.withColumn("k", F.col("s_suppkey") % 97), "k").withColumn("score", F.when(F.col("c_nationkey") == F.col("s_nationkey"), 100).otherwise(65))
-    return I.scored(c, "c_custkey", "s_suppkey", "score")
+    # All pairs; the SQL meets those of equal residues only.
+    return I.scored_by_group(t.customer, "c_custkey", "c_nationkey", t.supplier, "s_suppkey", "s_nationkey", 100, 65)
 
 
 @query("""WITH n AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT l_suppkey, first(l_suppkey) OVER (PARTITION BY l_partkey ORDER BY n DESC, l_suppkey) AS kept FROM n""")

@@ -17,3 +17,19 @@ def test_folded_names_whole(spark, tmp_path):
     got = catalog.QUERIES["folded_names"](spark, put(spark, tmp_path, documents=(list(texts.items()), "doc_id long, text string"))).collect()
     fold = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).lower().strip(" ")
     assert {r.doc_id: r.name for r in got} == {i: None if x is None else fold(x) for i, x in texts.items()} and len(got) == len(texts)
+
+
+def test_scored_matches_whole(spark, tmp_path):
+    """Suppliers of the same nation in any residue, nations without suppliers or with one, null nations, a customer listed twice."""
+    customers = [(1, 1), (2, 1), (3, 2), (4, 3), (5, None), (98, 2), (6, 2), (6, 4), (7, 4), (7, 4), (8, 3), (8, 2)]
+    suppliers = [(1, 1), (2, 2), (3, 1), (99, None), (50, 4)]
+    want = {}
+    for c in {c for c, _ in customers}:
+        scores = {s: max(100 if a is not None and a == b else 65 for x, a in customers if x == c for y, b in suppliers if y == s) for s, _ in suppliers}
+        best = sorted(s for s, v in scores.items() if v == max(scores.values()))
+        want[c] = (best[0] if len(best) == 1 else None, max(scores.values()), "MATCHED" if len(best) == 1 else "CONFLICT")
+    folder = put(spark, tmp_path, customer=(customers, "c_custkey long, c_nationkey int"), supplier=(suppliers, "s_suppkey long, s_nationkey int"))
+    got = catalog.QUERIES["scored_matches"](spark, folder).collect()
+    assert {r.c_custkey: (r.match, r.score, r.status) for r in got} == want and len(got) == len(want)
+    none = put(spark, tmp_path / "none", customer=(customers, "c_custkey long, c_nationkey int"), supplier=([], "s_suppkey long, s_nationkey int"))
+    assert catalog.QUERIES["scored_matches"](spark, none).count() == 0
