@@ -33,3 +33,16 @@ def test_scored_matches_whole(spark, tmp_path):
     assert {r.c_custkey: (r.match, r.score, r.status) for r in got} == want and len(got) == len(want)
     none = put(spark, tmp_path / "none", customer=(customers, "c_custkey long, c_nationkey int"), supplier=([], "s_suppkey long, s_nationkey int"))
     assert catalog.QUERIES["scored_matches"](spark, none).count() == 0
+
+
+def test_provenance_grades_whole(spark, tmp_path):
+    """Edges of any line count for the ends' degrees; repeated ones once."""
+    lines = [(1, 10, 7), (1, 11, 2), (2, 20, 7), (3, 20, 1), (4, 40, 3), (4, 40, 7), (5, 50, 1)]
+    edges = {(a, b) for a, b, _ in lines}
+    want = set()
+    for a, b in edges:
+        left, right = sum(x == a for x, _ in edges), sum(y == b for _, y in edges)
+        want.add((a, b, "HIGH" if left == right == 1 else "MEDIUM", "several_left" if right > 1 else "several_right" if left > 1 else "one_to_one"))
+    folder = put(spark, tmp_path, lineitem=(lines, "l_partkey long, l_suppkey long, l_linenumber int"))
+    got = [tuple(r) for r in catalog.QUERIES["provenance_grades"](spark, folder).select("l", "r", "grade", "reason").collect()]
+    assert set(got) == want and len(got) == len(want)
