@@ -1,12 +1,13 @@
 """Mixing sources to target weights by a low-discrepancy schedule. DataFrame functions only.
 
 The mix is a sequence of slots of BLOCK words. Slot k is mapped to a point of a golden-ratio lattice on [0, 1), the point through the
-cumulative target shares to a source, and the slot's rank within its source to one of the equal blocks into which the source's
-documents, shuffled by a hash, are cut. A source with fewer blocks than slots starts over. Any run of slots holds each source in
-nearly its share, and the same rows always give the same mix.
+cumulative target shares to a source (`schedule`), so that any run of slots holds each source in nearly its share. A source's slots go
+through its documents, shuffled by a hash, word after word and around their end, until its target is reached to the word: what the mix
+takes of a document follows from the target and the document's place alone (`mix`), however small its source is. The same rows always
+give the same mix.
 
 Sources weigh 1, 2, 3, repeating, by code point order, null last. Targets share all words by weight; none exceeds LIMIT times its
-source's words, the excess being reshared by weight. No block is taken more than LIMIT times.
+source's words, the excess being reshared by weight. No word is taken more than LIMIT times.
 
 Nulls: a null text has no words; a null source is a source. Documents without words take none. Empty tables give empty results;
 repeated rows are rows of their own.
@@ -60,33 +61,23 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     return points.withColumn("cell", F.shiftright("at", shift)).join(bounds, "cell").where("at >= lo and at < hi").select("slot", "nth")
 
 
-def mix(docs: DataFrame, block: int = BLOCK, limit: int = LIMIT) -> DataFrame:
+def mix(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, size, source, source_size, target, taken for each row; `taken` counts repeats."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
     rows = written(rows, "sized")
     sources = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), limit), "sources")
-    n_rows, words = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    n_rows = rows.count()
     named = rows.join(sources.select(F.col("source").alias("_s"), "nth", "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     # Shuffled order within the source: by hash of the id. The hash's leading digits deal a hot source into buckets.
     key = F.md5(F.concat_ws(":", F.lit("mix"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string")))
     deal = buckets_for(n_rows)
     named = named.withColumn("_key", key).withColumn("_deal", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") / ((1 << 32) / deal)))
     placed = running_total(named, ["nth"], "_deal", ["_key", "doc_id", "size"], F.col("size"), "at")
-    placed = written(placed.select("doc_id", "source", "nth", "size", "source_size", "target", "at"), "placed")
-    slots = -(-words // block)
-    # Rank of a slot within its source, over chunks of slots so that a heavy source is not one task's.
-    chosen = schedule(sources, slots).withColumn("_chunk", F.shiftright("slot", 12))
-    ranked = running_total(chosen, ["nth"], "_chunk", ["slot"], F.lit(1), "rank")
-    blocks = sources.select("nth", F.ceil(F.col("source_size") / block).alias("blocks")).where("blocks > 0")
-    used = ranked.join(blocks, "nth").where(F.col("rank") < F.col("blocks") * limit)
-    used = used.groupBy("nth", F.pmod("rank", "blocks").alias("block")).agg(F.count("*").alias("times"))
-    first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)
-    spans = placed.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
-    spans = spans.withColumn("words", F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block))
-    hit = spans.join(used, ["nth", "block"], "left").groupBy("nth", "at", "doc_id", "size", "source", "source_size", "target").agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).alias("taken"))
-    none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    columns = ["doc_id", "size", "source", "source_size", "target", "taken"]
-    return hit.select(*columns).union(none.select(*columns))
+    # Whole passes over the source, and the first `part` words once more.
+    words = F.least(F.round("target").cast("long"), F.col("source_size") * limit)
+    placed = placed.withColumn("part", F.when(F.col("source_size") > 0, F.pmod(words, F.col("source_size"))).otherwise(0)).withColumn("passes", F.when(F.col("source_size") > 0, F.floor((words - F.col("part")) / F.col("source_size"))).otherwise(0))
+    taken = F.col("size") * F.col("passes") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - F.col("at")))
+    return placed.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
