@@ -7,8 +7,9 @@ features in each. Two chains are compared filter by filter: shared bits beyond w
 be shared; each filter of the shorter chain counts with its best partner.
 
 Windows of hardly any entropy (under LEAST) are passed over; a text without features then has its most voted windows. A text of under
-SHORT code points has too few windows to rank: all its windows of NARROW bytes (or the text, if shorter) are its features. An empty text
-has an empty fingerprint, and only equal fingerprints are alike then.
+SHORT code points has too few windows to rank: all its windows of NARROW bytes (or the text, if shorter) are its features. Where only
+one of two compared texts is that short, the windows of NARROW bytes of both are compared. An empty text has an empty fingerprint, and
+only equal fingerprints are alike then.
 
 Nulls: a null text is empty; null ids come last in the order of ids. Rows with equal ids are ordered by text. The document after the
 last is the first, and a lone document is its own neighbour.
@@ -128,6 +129,22 @@ def in_order(hashes: np.ndarray) -> np.ndarray:
     return hashes[np.sort(first)]
 
 
+def hashed(found: np.ndarray) -> np.ndarray:
+    """Hashes of windows, a row of bytes each."""
+    words = found.copy().view(np.uint64)
+    h = np.zeros(len(words), np.uint64)
+    for k in range(words.shape[1]):
+        h = mix64(h ^ words[:, k])
+    return h
+
+
+def narrow_hashes(raw: bytes) -> np.ndarray:
+    """The hashes of the distinct windows of NARROW bytes, in order."""
+    if len(raw) < NARROW:
+        return np.array([xxhash.xxh3_64_intdigest(raw)] if raw else [], np.uint64)
+    return in_order(hashed(np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), NARROW)))
+
+
 def feature_hashes(originals: list[str], rank: np.ndarray) -> list[np.ndarray]:
     """The hashes of each text's distinct features, in order."""
     out: list[np.ndarray] = []
@@ -147,18 +164,16 @@ def feature_hashes(originals: list[str], rank: np.ndarray) -> list[np.ndarray]:
         votes = np.bincount(voters, minlength=len(key))
         chosen = np.flatnonzero(votes >= VOTES)
         bounds = np.searchsorted(chosen, starts)
-        words = np.lib.stride_tricks.sliding_window_view(flat, WIDTH)[chosen].copy().view(np.uint64) if len(chosen) else np.zeros((0, 8), np.uint64)
-        h = np.zeros(len(words), np.uint64)
-        for k in range(words.shape[1]):
-            h = mix64(h ^ words[:, k])
+        wide = np.lib.stride_tricks.sliding_window_view(flat, WIDTH) if len(flat) >= WIDTH else np.zeros((0, WIDTH), np.uint8)
+        h = hashed(wide[chosen])
         for i in range(b - a):
             own = h[bounds[i] : bounds[i + 1]]
             raw = texts[a + i]
             if raw and len(originals[a + i]) < SHORT:
-                own = np.array([xxhash.xxh3_64_intdigest(raw[p : p + NARROW]) for p in range(max(1, len(raw) - NARROW + 1))], np.uint64)
+                own = narrow_hashes(raw)
             elif raw and not len(own):
                 most = votes[starts[i] : starts[i + 1]]
-                own = np.array([xxhash.xxh3_64_intdigest(raw[p : p + WIDTH]) for p in (np.flatnonzero(most == most.max()) if most.max() else [0])], np.uint64)
+                own = hashed(wide[starts[i] + (np.flatnonzero(most == most.max()) if most.max() else np.zeros(1, np.int64))])
             out.append(in_order(own))
     return out
 
@@ -191,6 +206,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return min(1.0, total / len(x))
 
 
+def alike(text: str, own: np.ndarray, other: str, its: np.ndarray) -> float:
+    """The likeness of two texts with these chains, by features of one kind."""
+    if len(own) and len(its) and (len(text) < SHORT) != (len(other) < SHORT):
+        own, its = (own, chain(narrow_hashes(other.encode()))) if len(text) < SHORT else (chain(narrow_hashes(text.encode())), its)
+    return likeness(own, its)
+
+
 def written_out(filters: np.ndarray) -> str:
     return f"{len(filters)}:{base64.b64encode(filters.tobytes()).decode()}" if len(filters) else ""
 
@@ -247,7 +269,7 @@ def fingerprint_rows(batches: Iterator[pa.RecordBatch], rank: np.ndarray, keep_t
         changed = [edited(rows[i][1], rows[j][1]) for i, j in pairs]
         others = [chain(f) for f in feature_hashes(changed, rank)]
         last = changed if keep_text else [hashlib.sha256(c.encode()).hexdigest() for c in changed]
-        return pa.record_batch([[rows[i][0] for i, _ in pairs], [len(rows[i][1]) for i, _ in pairs], last, [written_out(prints[i]) for i, _ in pairs], [written_out(o) for o in others], [likeness(prints[i], o) for (i, _), o in zip(pairs, others, strict=True)], [likeness(prints[i], prints[j]) for i, j in pairs]], schema=OUT)
+        return pa.record_batch([[rows[i][0] for i, _ in pairs], [len(rows[i][1]) for i, _ in pairs], last, [written_out(prints[i]) for i, _ in pairs], [written_out(o) for o in others], [alike(rows[i][1], prints[i], c, o) for (i, _), c, o in zip(pairs, changed, others, strict=True)], [alike(rows[i][1], prints[i], rows[j][1], prints[j]) for i, j in pairs]], schema=OUT)
 
     size = 0
     for batch in batches:

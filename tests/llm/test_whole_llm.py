@@ -1,6 +1,8 @@
 """The training-data operators on small sources, lengths at both sides of a limit, and page layouts."""
 
-from tallyframe.llm import mixing
+import numpy as np
+
+from tallyframe.llm import mixing, rare_features
 
 
 def test_mix_small_sources(spark):
@@ -17,3 +19,15 @@ def test_mix_small_sources(spark):
     assert (abs(by.taken - by.target) <= 0.5).all() and (by.target[:-1] == 3 * by["size"][:-1]).all()
     whole = mixing.mixed_documents(docs).groupBy("source").count().toPandas().set_index("source")["count"]
     assert [whole[s] for s in "abcdefg"] == [3, 3, 3, 6, 9, 27, 3]
+
+
+def test_fingerprints_across_the_limit(spark):
+    """Near copies at both sides of SHORT, texts that the edit takes below it, and unlike texts of both kinds."""
+    rng = np.random.default_rng(3)
+    make = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(n))[:n]
+    base, other, long = make(405), make(420), make(3000)
+    texts = {9: base, 8: base[:395], 7: other, 6: make(60), 5: long, 4: long[1000:1300]}
+    got = {r.doc_id: r for r in rare_features.fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[9].near_next > 0.9 and got[5].near_next > 0.5
+    assert got[7].near_edited > 0.5  # 280 of its 420 characters and 60 others
+    assert got[8].near_next < 0.1 and got[7].near_next < 0.1 and got[6].near_next < 0.1
