@@ -1,18 +1,25 @@
 """Main text of web pages: flat text blocks, classified by a decision tree (after Kohlschuetter, Fankhauser, Nejdl, "Boilerplate
 detection using shallow text features").
 
-A page becomes a flat sequence of blocks, cut at block-level tags. A block has its word count, its link density (share of words inside
-links), those of its neighbours, whether it is inside an article, inside an element that by its tag, class, id or role holds menus,
-adverts and the like, and whether it is a heading. A decision tree, grown by Gini impurity on the labelled table EXAMPLES, says which
-blocks are main text.
+A page becomes a flat sequence of blocks, cut at block-level tags. A block has its word count and its link density (the share of its
+words inside links), those of its two neighbours, and what its tags say: whether it is a heading, whether it is inside the article, and
+whether it is in a menu, side, foot or form element. Class names and ids are not read. A decision tree, grown by Gini impurity on the
+labelled table PAGES, says which blocks are main text.
 
-Null html is empty and gives an empty text; pages of any length are read whole; every row gives a result, repeated rows too.
+The article is what `article` elements hold, or `main` where a page has none; on pages with neither, all blocks are on a par. Elements
+around an article (a form around the whole page, say) say nothing about what it holds; an article inside an article is a remark on it.
+Scripts, styles and form controls have no blocks; all else that an element holds is text.
+
+A tag whose quotes never close ends at the next `>`; after SPOILT such tags all the page's tags do. A tag or comment that never ends is
+no text. Time is linear in a page's length but for SPOILT scans. Null html is empty and gives an empty text; pages of any length are
+read whole; every row gives a result, repeated rows too; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,21 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
-# Fixed values of HTML.
-SKIPPED = frozenset("script style noscript template svg math iframe object canvas select textarea option button title audio video".split())
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+SPOILT = 50
+# Fixed values of HTML. First those whose content is no markup, then those whose content is not shown as text.
+RAW = frozenset("script style title textarea iframe noscript template".split())
+MUTE = frozenset("button select option datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big button canvas cite code data datalist del dfn em font i img input ins kbd label mark math meter object option output picture progress q rp rt ruby s samp select small span strike strong sub sup svg time tt u var video wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SECTIONS = frozenset("nav aside footer form dialog menu".split())
 #: What the start of a tag ends if it is open.
 CLOSES = {t: frozenset({"p"}) for t in "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()} | {"li": frozenset({"li", "p"}), "dt": frozenset({"dt", "dd", "p"}), "dd": frozenset({"dt", "dd", "p"}), "tr": frozenset({"tr", "td", "th", "p"}), "td": frozenset({"td", "th", "p"}), "th": frozenset({"td", "th", "p"})}
 #: Elements that such an end does not look beyond.
 WALLS = frozenset("table ul ol dl article section div main body html nav aside header footer form td th".split())
-AROUND = frozenset("nav aside footer form dialog menu".split())
-NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar side rail aside footer masthead topbar toolbar search searchbox comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations widget widgets copyright hidden complementary contentinfo dialog".split())
-OUTER_NAMES = frozenset("header heading-bar".split())
-REMARKS = frozenset("comment comments commentlist reply replies".split())
+CLOSING = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>|</{t}[^>]*\Z", re.IGNORECASE) for t in RAW}
 
 
 @dataclass
@@ -44,209 +51,190 @@ class Block:
     words: int = 0
     density: float = 0.0
     article: int = 0
-    around: int = 0
+    section: int = 0
     heading: int = 0
+    main: bool = False
 
 
-def names_of(attributes: str) -> set[str]:
-    out: set[str] = set()
-    if attributes.isspace() or not attributes:
-        return out
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            out.add("hidden")
-        elif name in ("class", "id", "role"):
-            for word in value.split():
-                word = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word).lower()
-                out.update(x for x in re.split(r"[^a-z]+", word) if x)
-    return out
+class Page:
+    """Reads a page from its start to its end; `blocks` are what it has found."""
 
+    def __init__(self) -> None:
+        self.blocks: list[Block] = []
+        #: Text of the block at work, and whether it is inside a link.
+        self.parts: list[tuple[str, bool]] = []
+        #: Open elements, each with the count of sections around it; and how often each tag is open.
+        self.stack: list[tuple[str, int]] = []
+        self.open: Counter[str] = Counter()
+        #: Elements open that say that their text is of a menu, side, foot, form or remark.
+        self.sections = 0
 
-def blocks_of(page: str) -> list[Block]:
-    blocks: list[Block] = []
-    #: Open elements: tag, whether it holds boilerplate, whether it is an article.
-    stack: list[tuple[str, bool, bool]] = []
-    parts: list[tuple[str, bool]] = []
-    around = inside = links = heading = 0
-    any_article = False
-
-    def flush() -> None:
-        raw = "".join(t for t, _ in parts)
-        text = " ".join(html.unescape(raw).split())
-        if text:
-            linked = len("".join(t for t, a in parts if a).split())
-            words = len(text.split())
-            blocks.append(Block(text, words, min(1.0, linked / words), 1 if inside else 0, 1 if around else 0, 1 if heading else 0))
-        parts.clear()
-
-    def pop() -> None:
-        nonlocal around, inside, links, heading
-        tag, bad, art = stack.pop()
-        around -= bad
-        inside -= art
-        links -= tag == "a"
-        heading -= tag in HEADINGS
-
-    at, end, lower = 0, len(page), ""
-    while at < end:
-        m = TOKEN.search(page, at)
-        if not m:
-            parts.append((page[at:], links > 0))
-            break
-        if m.start() > at:
-            parts.append((page[at : m.start()], links > 0))
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag, closing = m[2].lower(), m[1] == "/"
-        if tag in SKIPPED:
-            if not closing and not m[3].endswith("/"):
-                lower = lower or page.lower()
-                stop = lower.find("</" + tag, at)
-                shut = -1 if stop < 0 else lower.find(">", stop)
-                if stop >= 0:
-                    at = end if shut < 0 else shut + 1
-                elif tag in ("script", "style", "template", "noscript"):
-                    at = end
-            if tag not in ("button", "select", "svg"):
-                flush()
+    def text(self, raw: str) -> None:
+        if raw and not any(self.open[t] for t in MUTE if t in self.open):
+            self.parts.append((html.unescape(raw) if "&" in raw else raw, self.open["a"] > 0))
+
+    def flush(self) -> None:
+        words = " ".join("".join(t for t, _ in self.parts).split())
+        if words:
+            n, linked = words.count(" ") + 1, len("".join(t for t, a in self.parts if a).split())
+            heading = any(self.open[t] for t in HEADINGS)
+            self.blocks.append(Block(words, n, min(1.0, linked / n), int(self.open["article"] > 0), int(self.sections > 0), int(heading), self.open["main"] > 0))
+        self.parts.clear()
+
+    def push(self, tag: str) -> None:
+        self.stack.append((tag, self.sections))
+        inside = self.open["article"]
+        if tag == "article":
+            self.sections = self.sections + 1 if inside else 0
+        elif tag == "main" and not inside:
+            self.sections = 0
+        elif tag in SECTIONS or tag == "header" and not inside:
+            self.sections += 1
+        self.open[tag] += 1
+
+    def pop(self) -> str:
+        tag, self.sections = self.stack.pop()
+        self.open[tag] -= 1
+        return tag
+
+    def start(self, tag: str) -> None:
+        closes = CLOSES.get(tag, frozenset())
+        if any(self.open[t] for t in closes):
+            for depth in range(len(self.stack) - 1, -1, -1):
+                if self.stack[depth][0] in closes:
+                    while len(self.stack) > depth:
+                        self.pop()
+                    break
+                if self.stack[depth][0] in WALLS:
+                    break
+        self.push(tag)
+
+    def end(self, tag: str) -> None:
+        while self.open[tag] and self.pop() != tag:
+            pass
+
+    def read(self, page: str) -> list[Block]:
+        at, spoilt, never = 0, 0, set()
+        while (lt := page.find("<", at)) >= 0:
+            self.text(page[at:lt])
+            if page.startswith("<!--", lt):
+                stop = page.find("-->", lt + 2)
+                at = len(page) if stop < 0 else stop + 3
+                continue
+            if page.startswith(("<!", "<?"), lt):
+                stop = page.find(">", lt)
+                at = len(page) if stop < 0 else stop + 1
+                continue
+            m = TAG.match(page, lt) if spoilt < SPOILT else None
+            if m:
+                at, closing, tag, alone = m.end(), m[1], m[2].lower(), m[3].endswith("/")
+            elif m := NAME.match(page, lt):
+                spoilt += 1
+                stop = page.find(">", m.end())
+                at, closing, tag, alone = len(page) if stop < 0 else stop + 1, m[1], m[2].lower(), False
             else:
-                parts.append((" ", False))
-            continue
-        if tag not in INLINE and tag != "br":
-            flush()
-        elif tag == "br":
-            parts.append((" ", False))
-        if closing:
-            if any(t == tag for t, _, _ in stack):
-                while stack[-1][0] != tag:
-                    pop()
-                pop()
-            continue
-        if tag in VOID:
-            continue
-        for depth in range(len(stack) - 1, -1, -1) if tag in CLOSES else ():
-            if stack[depth][0] in CLOSES[tag]:
-                while len(stack) > depth:
-                    pop()
-                break
-            if stack[depth][0] in WALLS:
-                break
-        names = names_of(m[3])
-        art = tag in ("article", "main") or "main" in names and tag not in ("body", "html")
-        if tag in ("body", "html"):
-            bad = False
-        elif tag in ("article", "main"):
-            bad = bool(names & REMARKS)
-        elif tag == "header" or names & OUTER_NAMES:
-            bad = not inside or bool(names & NAMES)
-        else:
-            bad = tag in AROUND or bool(names & NAMES)
-        any_article |= art and not bad and not around
-        stack.append((tag, bad, art))
-        around += bad
-        inside += art
-        links += tag == "a"
-        heading += tag in HEADINGS
-    flush()
-    if any_article:
+                self.text("<")
+                at = lt + 1
+                continue
+            if tag == "br":
+                self.parts.append((" ", False))
+            elif tag not in INLINE:
+                self.flush()
+            if tag in RAW:
+                # What an element of raw text holds is passed over; one that never ends is passed over alone, but a script or style to the page's end.
+                if not closing and not alone and tag not in never:
+                    if stop := CLOSING[tag].search(page, at):
+                        at = stop.end()
+                    elif tag in ("script", "style"):
+                        at = len(page)
+                    else:
+                        never.add(tag)
+            elif closing:
+                self.end(tag)
+            elif tag not in VOID:
+                self.start(tag)
+        self.text(page[at:])
+        self.flush()
+        return self.blocks
+
+
+def blocks_of(page: str) -> list[Block]:
+    blocks = Page().read(page)
+    if not any(b.article for b in blocks):
+        for b in blocks:
+            b.article = int(b.main)
+    if any(b.article for b in blocks):
         for b in blocks:
             b.article = 1 if b.article else -1
     return blocks
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "article", "around", "heading")
-# The labelled table. Columns as FEATURES (article: 1 inside, 0 the page has none, -1 outside one), then 1 for main text.
-EXAMPLES = """
-40 0 12 0 55 0 1 0 0 1
-3 0 60 0 44 0 1 0 0 1
-1 0 30 0 2 0 1 0 0 1
-8 0 0 0 35 0 1 0 1 1
-90 0.1 8 0 20 0 1 0 0 1
-12 0 40 0 0 0 1 0 0 1
-5 0.2 3 0 4 0 1 0 0 1
-25 0.5 60 0 60 0 1 0 0 1
-6 1 50 0 40 0 1 0 0 1
-2 1 1 1 30 0 1 0 0 1
-150 0 2 1 3 1 1 0 0 1
-7 0 1 1 9 0 1 0 1 1
-4 0 4 0 4 0 1 0 0 1
-1 1 1 1 1 1 -1 0 0 0
-2 1 2 1 2 1 -1 0 0 0
-12 0 1 1 8 0 -1 0 0 0
-45 0 20 0 30 0 -1 0 0 0
-9 0.1 60 0 0 0 -1 0 0 0
-80 0 6 0 1 1 -1 0 0 0
-3 0 0 0 2 1 -1 0 1 0
-30 0 1 0 25 0 -1 0 0 0
-1 1 1 1 1 1 1 1 0 0
-20 0 40 0 30 0 1 1 0 0
-8 0 60 0 50 0 1 1 0 0
-55 0.2 50 0 40 0 1 1 0 0
-4 0 40 0 20 0 1 1 1 0
-35 0 10 0 12 0 1 1 0 0
-1 1 1 1 1 1 0 1 0 0
-18 0 3 1 40 0 0 1 0 0
-60 0 30 0 45 0 0 1 0 0
-6 0 1 0 7 0 0 1 1 0
-25 0.8 40 0 0 0 0 1 0 0
-50 0 2 1 70 0 0 1 0 0
-2 1 2 1 3 1 -1 1 0 0
-14 0 3 1 6 0 -1 1 0 0
-40 0 5 0 9 0 -1 1 0 0
-5 0 2 1 30 0 -1 1 1 0
-60 0 7 0 45 0 0 0 0 1
-35 0.1 40 0 50 0 0 0 0 1
-14 0 50 0 60 0 0 0 0 1
-5 0 45 0 50 0 0 0 0 1
-2 0 70 0 25 0 0 0 0 1
-9 0 2 1 40 0 0 0 1 1
-6 0 0 0 55 0 0 0 1 1
-4 0 30 0 28 0 0 0 1 1
-28 0 6 0 3 1 0 0 0 1
-22 0 0 0 0 0 0 0 0 1
-17 0.2 9 0 18 0 0 0 0 1
-1 1 1 1 1 1 0 0 0 0
-2 1 1 1 4 1 0 0 0 0
-4 0.8 2 1 3 1 0 0 0 0
-15 0.9 2 1 6 1 0 0 0 0
-30 0.9 3 0.9 20 1 0 0 0 0
-3 0 2 1 2 1 0 0 0 0
-6 0 1 1 4 0.7 0 0 0 0
-5 0 4 1 3 0 0 0 1 0
-7 0.6 50 0 2 1 0 0 0 0
-1 0 2 0 7 0 1 0 0 1
-2 0 90 0 1 0 1 0 0 1
-3 0 1 0 3 0 1 0 0 1
-1 0 1 0 1 0 1 0 0 1
-2 1 2 1 2 1 1 0 0 1
-4 0.5 2 0 2 1 1 0 1 1
-11 1 0 0 0 0 1 0 0 1
-6 0 2 1 60 0 -1 0 0 0
-20 0 0 0 90 0 -1 0 0 0
-9 0 0 0 50 0 -1 0 1 0
-35 0 8 0 75 0 -1 0 0 0
-50 0.1 60 0 45 0 -1 0 0 0
-2 1 2 1 60 0 0 0 0 0
-3 1 1 1 48 0 0 0 0 0
-1 1 40 0 70 0 0 0 0 0
-2 0 4 0 0 0 -1 1 0 0
-6 0 40 0 0 0 -1 1 0 0
-12 0 90 0 0 0 -1 1 0 0
-3 0 12 0 8 0 -1 1 0 0
-1 0 9 0 14 0 1 1 0 0
-5 0 50 0 60 0 1 1 0 0
-10 0 3 0 44 0 0 1 0 0
-4 0 60 0 55 0 0 1 0 0
-15 0 2 1 30 0 0 1 1 0
-12 0 1 1 60 0 0 1 1 0
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "heading", "section", "article")
+# The labelled table, a page a line and its blocks in order. + is main text and - is not; then the words; L: all of them
+# are linked, l: half, q: a quarter; h: a heading; s: in a menu, side, foot or form element; a: in an article or main element.
+PAGES = """
+-1Ls -1Ls -2Ls -1Ls -8 +9ha +45a +120a +4a +60a -9s
+-1Ls -1Ls -1Ls -2Ls -1Ls -12 +12ha +1a +33a +2a -6s
+-2Ls -1Ls -3Ls -20 +7ha +5a +18a +9a +75a +6La +40a -15s
+-1Ls -1Ls -1Ls -30 +3ha +90a +25la +60a -2La -3La -2La -11s -40
+-1L -1L -2L -1L -11 +8ha +55a +16a +150qa +3a -1La -1La -1La -14
+-3L -2L -1L -4h -2L -2L +10ha +8a +22a +70a +11ha +35a -12sa -50sa -9
+-1L -1L -1L -1L -9 +8h +50 +33 +12 +80 -8
+-1L -2L -1L -1L -1L -15 +11h +28 +95 +6 +41 +19 -14
+-2L -1L -1L -7 +4h +66 +5h +38 +110q +3h +45 -2L -1L -4
+-1L -1L -1L -1L -1L -1L -10 +9h +24 +18 +60 -5
+-1Ls -1Ls -2Ls -1Ls +7h +40 +13 +85 +30q +52 -10s
+-1Ls -1Ls -1Ls +12h +21 +9 +74 +36 -3L -2L -4L -8s
+-4L -6L -5L -3L -7L -5L -2 -4L -6L -5L -3L -9
+-1L -1L -3 -12l -2L -9l -3L -11l -2L -10l -3L -6
+-1L -1L -1L +6h +130 +5 +90 +8 +140 +4 +77 -3h -6L -7L -5L -12
+-2L -2L -2L -5h +30 +48 +35 -18Ls -25s -30s -2Ls -1Ls -6s
+-1Ls -2Ls +16h +55 +62 +44 -40s -60s -35s -20s -1Ls -9s
+-1L -1L -1L -1L -13 +10h +70 +31 +47 +4 +88 +26 -12
+-1L -3L -1L -2L -6 +5h +15 +58 +11 +23 +100 -2L -2L -16
+-1Ls -1Ls -1Ls -1Ls -1Ls -6 +2ha +300a +14a +7a -16s
+-1L -1L -2L +9ha +45a +3a +60a -25 -40 -18 -6
+-1Ls -2Ls +6ha +80a +12a -3h -14 -33 -70 -9s
+-1Ls -1Ls -9 +4ha +2a +1a +3a +50a
+-35 -60 +8ha +28a +41a +2a -22 -48
+-2L -1L -70 +110a +1a -90
++9ha +40a +3a
++120a
++1a
++3ha +6La +55a +2a +4a +1a
++5h +80
++60
++8h +33 +51 +44
++7h +18 +90 +26 +61
++9ha +90a +20a
++4ha +70a +6a
++60a +130a +15a +9a
++3ha +100a +4a -2L -1L -1L
++5ha +7a +85a +12a -3L -2L -9
++2ha +64a +1a -1Ls -1Ls
 """
+MARKS = {"L": ("density", 1.0), "l": ("density", 0.5), "q": ("density", 0.25), "h": ("heading", 1), "s": ("section", 1), "a": ("article", 1)}
+NOTHING = Block("")
 
 
 def examples() -> tuple[np.ndarray, np.ndarray]:
-    table = np.array([[float(x) for x in line.split()] for line in EXAMPLES.split("\n") if line])
-    return table[:, :-1], table[:, -1].astype(int)
+    rows, labels = [], []
+    for line in PAGES.split("\n"):
+        blocks = []
+        for item in line.split():
+            n = re.match(r"\d+", item[1:])[0]
+            blocks.append(Block("", int(n), **dict(MARKS[c] for c in item[1 + len(n) :])))
+            labels.append(int(item[0] == "+"))
+        if any(b.article for b in blocks):
+            for b in blocks:
+                b.article = b.article or -1
+        rows += [features(blocks, i) for i in range(len(blocks))]
+    return np.array(rows, float), np.array(labels)
+
+
+def features(blocks: list[Block], i: int) -> tuple:
+    b, before, after = blocks[i], blocks[i - 1] if i else NOTHING, blocks[i + 1] if i + 1 < len(blocks) else NOTHING
+    return b.words, b.density, before.words, before.density, after.words, after.density, b.heading, b.section, b.article
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
@@ -281,12 +269,7 @@ def classify(tree, row: tuple) -> int:
 def main_text(page: str | None, tree) -> tuple[str, int, int]:
     """The main text, and how many blocks the page has and how many of them it is made of."""
     blocks = blocks_of(page or "")
-    none = Block("")
-    kept = []
-    for i, b in enumerate(blocks):
-        before, after = blocks[i - 1] if i else none, blocks[i + 1] if i + 1 < len(blocks) else none
-        if classify(tree, (b.words, b.density, before.words, before.density, after.words, after.density, b.article, b.around, b.heading)):
-            kept.append(b.text)
+    kept = [b.text for i, b in enumerate(blocks) if classify(tree, features(blocks, i))]
     return "\n".join(kept), len(blocks), len(kept)
 
 

@@ -1,246 +1,244 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the letters of a word byte by byte in both directions, gives every position a distribution over the languages, and a
-document's distribution is the mean over all positions of its whole text. White space and other ASCII characters that are not letters
-end a word and reset the state, as does every CHUNK bytes; so a word's positions need computing once only, and each process keeps what
-it has computed for recent words. Training is backpropagation through time in numpy, on the driver, over a bounded sample: SAMPLE_DOCS
-documents of each language, WORDS_PER_DOC words of each, drawn by hash over the whole text.
-
-Nulls and texts without letters are `und` with score 0; so is all where there is nothing to learn from. Only text and lang are learned
-from, and only text is read to predict. A null doc_id is not held out and not learned from. Repeated rows get equal results.
+The network reads the bytes of a text (A-Z lower-cased, all others as they are) in both directions, labels every position with a
+distribution over the languages, and a document's distribution is the mean over all positions of its whole text. So that long texts keep
+to bounded memory and many positions are computed at once, a text is read in lanes of LANE bytes, each with CONTEXT bytes more at both
+sides: these bring the states up and are labelled in their own lanes.
+
+Training is backpropagation through time in numpy, on the driver, over SAMPLE_DOCS documents of each language at most, those with the
+lowest hashes of their ids; their texts are read whole. Only text and lang are learned from, and only text is read to predict.
+
+Nulls and texts without letters are `und` with score 0; so is all where there is nothing to learn from. A null doc_id is not held out
+and not learned from. Repeated rows get equal results; ties go to the first language by code point. Empty tables give empty results;
+other columns are not read.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HIDDEN, CHUNK = 16, 32
-SAMPLE_DOCS, WORDS_PER_DOC, MAX_LANGS = 300, 30, 400
-EPOCHS, BATCH, RATE = 2, 256, 0.01
-#: A-Z are lower-cased; other ASCII that is no letter becomes a space.
-LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-
+from tallyframe.llm._base import settle
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(LETTERS).split()
+HIDDEN, LANE, CONTEXT = 6, 512, 32
+#: Lanes that are computed together, and bytes of text that are gathered for them.
+TOGETHER, GATHER = 1024, 2_000_000
+SAMPLE_DOCS = 60
+EPOCHS, BATCH, TRAIN_LANE, RATE = 2, 64, 128, 0.02
+LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 
 
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def soft(x: np.ndarray, room: np.ndarray) -> None:
+    """x / (1 + |x|) in place: the squashing function, in place of tanh, which takes most of the time else. Its slope is (1 - |y|)**2."""
+    np.abs(x, out=room)
+    room += 1
+    x /= room
+
+
+def slope(y: np.ndarray) -> np.ndarray:
+    return np.square(1 - np.abs(y))
 
 
 @dataclass
 class Network:
+    """States are (hidden, lanes). `weights`: per direction what a byte adds to the gates (3 x hidden, 256) and the recurrent weights
+    (3 x hidden, hidden), then the output layer (languages, 2 x hidden) and its offsets."""
+
     langs: list[str]
-    #: Per direction: what a byte adds to the gates (256 x 3H) and the recurrent weights (H x 3H); then the output layer.
     weights: list[np.ndarray]
 
     @classmethod
     def fresh(cls, langs: list[str], hidden: int = HIDDEN, seed: int = 7) -> Network:
         r = np.random.default_rng(seed)
         one = lambda *s: (r.standard_normal(s) * 0.3).astype(np.float32)
-        return cls(langs, [one(256, 3 * hidden), one(hidden, 3 * hidden), one(256, 3 * hidden), one(hidden, 3 * hidden), one(2 * hidden, len(langs)), np.zeros(len(langs), np.float32)])
-
-    def direction(self, x: np.ndarray, mask: np.ndarray, e: np.ndarray, u: np.ndarray, steps, keep: list | None = None) -> np.ndarray:
-        """States at every position; x and mask are (length, words)."""
-        hidden = u.shape[0]
-        h = np.zeros((x.shape[1], hidden), np.float32)
-        out = np.empty((*x.shape, hidden), np.float32)
+        return cls(langs, [one(3 * hidden, 256), one(3 * hidden, hidden), one(3 * hidden, 256), one(3 * hidden, hidden), one(len(langs), 2 * hidden), np.zeros((len(langs), 1), np.float32)])
+
+    def direction(self, x: np.ndarray, there: np.ndarray, e: np.ndarray, u: np.ndarray, steps, keep: list | None = None) -> np.ndarray:
+        """States after every position; x and there are (length, lanes). Where nothing is there, the state is nil."""
+        hidden = u.shape[1]
+        h = np.zeros((hidden, x.shape[1]), e.dtype)
+        out = np.empty((len(x), *h.shape), e.dtype)
+        whole = there.all(axis=1)
+        a, room = np.empty((3 * hidden, x.shape[1]), e.dtype), np.empty((2 * hidden, x.shape[1]), e.dtype)
         for t in steps:
-            a, g, m = e[x[t]], h @ u, mask[t][:, None]
-            zr = sigmoid(a[:, : 2 * hidden] + g[:, : 2 * hidden])
-            z, r = zr[:, :hidden], zr[:, hidden:]
-            n = np.tanh(a[:, 2 * hidden :] + r * g[:, 2 * hidden :])
+            np.take(e, x[t], axis=1, out=a, mode="clip")
+            g = u @ h
+            zr = a[: 2 * hidden] + g[: 2 * hidden]
+            soft(zr, room)
+            zr *= 0.5
+            zr += 0.5
+            n = zr[hidden:] * g[2 * hidden :]
+            n += a[2 * hidden :]
+            soft(n, room[:hidden])
             if keep is not None:
-                keep.append((t, h, z, r, n, g[:, 2 * hidden :], m))
-            h = m * (n + z * (h - n)) + (1 - m) * h
+                keep.append((t, h, zr[:hidden], zr[hidden:], n, g[2 * hidden :]))
+            h = h - n
+            h *= zr[:hidden]
+            h += n
+            if not whole[t]:
+                h *= there[t]
             out[t] = h
         return out
 
-    def backward(self, x: np.ndarray, kept: list, dout: np.ndarray, u: np.ndarray, de: np.ndarray, du: np.ndarray) -> None:
-        """Through time, from the last step that was taken to the first."""
-        dh = np.zeros_like(dout[0])
-        for t, h, z, r, n, gn, m in reversed(kept):
-            dh = dh + dout[t]
-            new = dh * m
-            dn = new * (1 - z) * (1 - n * n)
-            dz, dr = new * (h - n) * z * (1 - z), dn * gn * r * (1 - r)
-            np.add.at(de, x[t], np.concatenate([dz, dr, dn], axis=1))
-            dg = np.concatenate([dz, dr, dn * r], axis=1)
-            du += h.T @ dg
-            dh = dh * (1 - m) + new * z + dg @ u.T
-
-    def positions(self, x: np.ndarray, mask: np.ndarray, keep: tuple[list, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def backward(self, x: np.ndarray, there: np.ndarray, kept: list, dout: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Through time, from the last step that was taken to the first: the gradients of e and u."""
+        dh, du = np.zeros_like(dout[0]), np.zeros_like(u)
+        at, gates = [], []
+        for t, h, z, r, n, gn in reversed(kept):
+            new = (dh + dout[t]) * there[t]
+            dn = new * (1 - z) * slope(n)
+            dz, dr = new * (h - n) * 0.5 * slope(2 * z - 1), dn * gn * 0.5 * slope(2 * r - 1)
+            dg = np.concatenate([dz, dr, dn * r])
+            du += dg @ h.T
+            dh = new * z + u.T @ dg
+            at.append(x[t])
+            gates.append(np.concatenate([dz, dr, dn]))
+        at, gates = np.concatenate(at), np.concatenate(gates, axis=1)
+        return np.stack([np.bincount(at, row, 256) for row in gates]).astype(u.dtype), du
+
+    def positions(self, x: np.ndarray, there: np.ndarray, keep: tuple[list, list] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The states of both directions and, for every position, the languages' probabilities (length, languages, lanes)."""
         ef, uf, eb, ub, w, b = self.weights
-        n = len(x)
-        h = np.concatenate([self.direction(x, mask, ef, uf, range(n), keep and keep[0]), self.direction(x, mask, eb, ub, range(n - 1, -1, -1), keep and keep[1])], axis=2)
-        s = h @ w + b
-        p = np.exp(s - s.max(axis=2, keepdims=True))
-        return h, p / p.sum(axis=2, keepdims=True)
-
-    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        n, hidden = len(x), uf.shape[1]
+        f = self.direction(x, there, ef, uf, range(n), keep and keep[0])
+        g = self.direction(x, there, eb, ub, range(n - 1, -1, -1), keep and keep[1])
+        p = np.matmul(np.ascontiguousarray(w[:, :hidden]), f)
+        p += np.matmul(np.ascontiguousarray(w[:, hidden:]), g)
+        p += b
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True)
+        return f, g, p
+
+    def gradients(self, x: np.ndarray, there: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """The mean loss of all positions, where lane i is of language y[i], and its gradients."""
         keep: tuple[list, list] = ([], [])
-        h, p = self.positions(x, mask, keep)
-        total = mask.sum()
-        rows = np.arange(x.shape[1])
-        loss = float(-(np.log(p[:, rows, y] + 1e-9) * mask).sum() / total)
+        f, g, p = self.positions(x, there, keep)
+        total, lanes, w = there.sum(), np.arange(x.shape[1]), self.weights[4]
+        loss = float(-(np.log(p[:, y, lanes] + 1e-9) * there).sum() / total)
         ds = p.copy()
-        ds[:, rows, y] -= 1
-        ds *= mask[:, :, None] / total
-        grads = [np.zeros_like(w) for w in self.weights]
-        grads[4] = np.einsum("tnh,tnc->hc", h, ds)
-        grads[5] = ds.sum(axis=(0, 1))
-        dh, hidden = ds @ self.weights[4].T, self.weights[1].shape[0]
-        self.backward(x, keep[0], dh[:, :, :hidden], self.weights[1], grads[0], grads[1])
-        self.backward(x, keep[1], dh[:, :, hidden:], self.weights[3], grads[2], grads[3])
-        return loss, grads
-
-    def words(self, words: list[bytes]) -> np.ndarray:
-        """For each word the sums over its positions of the languages' probabilities; the last column counts positions."""
-        parts = [(i, w[k : k + CHUNK]) for i, w in enumerate(words) for k in range(0, len(w), CHUNK)]
-        parts.sort(key=lambda p: len(p[1]))
-        out = np.zeros((len(words), len(self.langs) + 1), np.float32)
-        for at in range(0, len(parts), 4096):
-            some = parts[at : at + 4096]
-            x, mask = padded([p[1] for p in some])
-            _, p = self.positions(x, mask)
-            sums = (p * mask[:, :, None]).sum(axis=0)
-            np.add.at(out, [p[0] for p in some], np.concatenate([sums, mask.sum(axis=0)[:, None]], axis=1))
-        return out
-
-
-def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    longest = max(map(len, words))
-    x = np.frombuffer(b"".join(w.ljust(longest, b"\0") for w in words), np.uint8).reshape(len(words), longest).T
-    return x, (np.arange(longest)[:, None] < np.array([len(w) for w in words])[None, :]).astype(np.float32)
-
-
-def train(sample: list[tuple[str, list[bytes]]], epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> Network | None:
-    """From (language, words). The same sample, in whatever order, gives the same network."""
-    sample = sorted((lang, sorted(words)) for lang, words in sample if words)
+        ds[:, y, lanes] -= 1
+        ds *= there[:, None, :] / total
+        hidden = f.shape[1]
+        over = lambda h: np.einsum("tcl,thl->ch", ds, h, optimize=True)
+        de_f, du_f = self.backward(x, there, keep[0], np.matmul(w[:, :hidden].T, ds), self.weights[1])
+        de_g, du_g = self.backward(x, there, keep[1], np.matmul(w[:, hidden:].T, ds), self.weights[3])
+        return loss, [de_f, du_f, de_g, du_g, np.concatenate([over(f), over(g)], axis=1), ds.sum(axis=(0, 2))[:, None]]
+
+    def pooled(self, texts: list[bytes]) -> np.ndarray:
+        """For each text the mean of its positions' probabilities; zeros for an empty one."""
+        flat = np.frombuffer(b"".join(texts), np.uint8)
+        owner, first, last, begin, end = lanes_of([len(t) for t in texts])
+        sums = np.zeros((len(texts), len(self.langs)))
+        order = np.argsort(end - begin, kind="stable")
+        for k in range(0, len(order), TOGETHER):
+            some = order[k : k + TOGETHER]
+            x, there, at = padded(flat, begin[some], end[some])
+            own = there & (at >= first[some]) & (at < last[some])
+            _, _, p = self.positions(x, there)
+            np.add.at(sums, owner[some], np.einsum("tcl,tl->lc", p, own.astype(np.float32)))
+        return sums / np.maximum(1, [[len(t)] for t in texts]) if texts else sums
+
+
+def lanes_of(lengths: list[int], lane: int = LANE, context: int = CONTEXT) -> tuple[np.ndarray, ...]:
+    """Of each lane: the number of its text, where in the joined texts its own bytes begin and end, and the same with context."""
+    n = np.array(lengths, np.int64)
+    ends = np.cumsum(n)
+    owner = np.repeat(np.arange(len(n)), -(-n // lane))
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(-(-n // lane)) - -(-n // lane), -(-n // lane))
+    low, high = (ends - n)[owner], ends[owner]
+    first = low + nth * lane
+    last = np.minimum(first + lane, high)
+    return owner, first, last, np.maximum(first - context, low), np.minimum(last + context, high)
+
+
+def padded(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes begin..end of each lane, whether they are there, and their places; (length, lanes) each."""
+    at = begin + np.arange((end - begin).max())[:, None]
+    there = at < end
+    return flat[np.where(there, at, 0)].astype(np.intp), there, at
+
+
+def train(sample: list[tuple[str, bytes]], epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> Network | None:
+    """From (language, text). The same sample, in whatever order, gives the same network."""
+    sample = sorted((lang, text) for lang, text in sample if text)
     langs = sorted({lang for lang, _ in sample})
     if not langs:
         return None
     net = Network.fresh(langs)
-    pairs = [(w[:CHUNK], langs.index(lang)) for lang, words in sample for w in words]
+    flat = np.frombuffer(b"".join(t for _, t in sample), np.uint8)
+    owner, begin, end, _, _ = lanes_of([len(t) for _, t in sample], TRAIN_LANE)
+    y = np.array([langs.index(lang) for lang, _ in sample])[owner]
     r = np.random.default_rng(seed)
     m, v, step = [np.zeros_like(w) for w in net.weights], [np.zeros_like(w) for w in net.weights], 0
+    total = epochs * -(-len(owner) // batch)
     for _ in range(epochs):
-        order = r.permutation(len(pairs))
-        for at in range(0, len(order), batch):
-            some = [pairs[i] for i in order[at : at + batch]]
-            x, mask = padded([w for w, _ in some])
-            _, grads = net.gradients(x, mask, np.array([y for _, y in some]))
+        order = r.permutation(len(owner))
+        for k in range(0, len(order), batch):
+            some = order[k : k + batch]
+            x, there, _ = padded(flat, begin[some], end[some])
+            _, grads = net.gradients(x, there, y[some])
             step += 1
+            now = rate * (1 - 0.9 * step / total)
             for w, g, a, b in zip(net.weights, grads, m, v, strict=True):
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
-                w -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+                w -= now * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
     return net
 
 
-class Lexicon(dict):
-    """Words seen, by number; those that the network has yet to read are pending."""
-
-    def __init__(self, net: Network, most: int = 400_000):
-        super().__init__()
-        self.net, self.most, self.pending = net, most, []
-        self.table = np.zeros((0, len(net.langs) + 1), np.float32)
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.pending.append(word)
-        return number
-
-    def means(self, docs: list[np.ndarray]) -> np.ndarray:
-        """For each document (numbers of its words) the mean probabilities; zeros without words."""
-        if self.pending:
-            self.table = np.concatenate([self.table, self.net.words(self.pending)])
-            self.pending = []
-        out = np.zeros((len(docs), self.table.shape[1] - 1), np.float64)
-        for i, numbers in enumerate(docs):
-            if len(numbers):
-                sums = self.table[numbers].sum(axis=0, dtype=np.float64)
-                out[i] = sums[:-1] / sums[-1]
-        if len(self) > self.most:
-            self.clear()
-            self.table = self.table[:0]
-        return out
-
-
-_lexicons: dict[int, Lexicon] = {}
-
-
-def lexicon(net: Network) -> Lexicon:
-    """One for each process and network; another network replaces it."""
-    key = xxhash.xxh3_64_intdigest(b"".join(w.tobytes() for w in net.weights) + repr(net.langs).encode())
-    if key not in _lexicons:
-        _lexicons.clear()
-        _lexicons[key] = Lexicon(net)
-    return _lexicons[key]
+def predict(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
+    def flush(ids: list, held: list, texts: list[bytes], alpha: list[bool]) -> pa.RecordBatch:
+        if net is None:
+            return pa.record_batch([ids, held, ["und"] * len(ids), [0.0] * len(ids)], schema=schema)
+        p = net.pooled(texts)
+        best = p.argmax(axis=1) if len(p) else []
+        return pa.record_batch([ids, held, [net.langs[b] if a else "und" for b, a in zip(best, alpha, strict=True)], [min(1.0, float(q[b])) if a else 0.0 for q, b, a in zip(p, best, alpha, strict=True)]], schema=schema)
 
-def predict(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[pa.RecordBatch]:
-    known = lexicon(net) if net else None  # empty at first, so never asked for its truth
+    settle()
     for batch in batches:
-        langs, scores, docs, held = [], [], [], 0
-
-        def flush() -> None:
-            for p, alpha in zip(known.means([d for d, _ in docs]) if known is not None else np.zeros((len(docs), 1)), (a for _, a in docs), strict=True):
-                best = int(p.argmax())
-                langs.append(net.langs[best] if net and alpha else "und")
-                scores.append(min(1.0, float(p[best])) if net and alpha else 0.0)
-            docs.clear()
-
-        for text in batch.column(2):
-            text = text.as_py()
-            words = words_of(text)
+        rows: tuple[list, list, list, list] = ([], [], [], [])
+        size = 0
+        for i, held in enumerate(batch.column(1).to_pylist()):
+            text = batch.column(2)[i].as_py()
             alpha = has_letter(text)
-            docs.append((np.fromiter(map(known.__getitem__, words), np.int64, len(words)) if known is not None else (), alpha))
-            held += len(words)
-            if held > 100_000:
-                flush()
-                held = 0
-        flush()
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
-
-
-def sample_words(frames: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
-    """Of each text the words whose occurrences hash lowest, over the whole text."""
-    for pdf in frames:
-        rows = []
-        for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-            words = words_of(text)
-            if len(words) > most:
-                words = [words[i] for _, i in sorted((xxhash.xxh3_64_intdigest(b"%d:" % i + w), i) for i, w in enumerate(words))[:most]]
-            rows.append((lang, [bytes(w[:CHUNK]) for w in words]))
-        yield pd.DataFrame(rows, columns=["lang", "words"])
-
-
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, words_per_doc: int = WORDS_PER_DOC) -> Network | None:
-    """A network from `text` and `lang` of `docs`: at most MAX_LANGS languages (the most frequent; there are fewer than that in use),
-    sample_docs documents of each, chosen by a hash of the id."""
-    known = docs.where("lang is not null and doc_id is not null")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+            raw = text.encode().translate(LOWER) if alpha else b""
+            for column, value in zip(rows, (batch.column(0)[i].as_py(), held, raw, alpha), strict=True):
+                column.append(value)
+            size += len(raw)
+            if size > GATHER:
+                yield flush(*rows)
+                rows, size = ([], [], [], []), 0
+        yield flush(*rows)
+
+
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network | None:
+    """A network from `text` and `lang` of `docs`: of each language the sample_docs documents whose ids hash lowest.
+
+    Languages are taken to be few enough for the driver, as a classifier's classes are; every one in the table is learned."""
+    known = docs.where("lang is not null and doc_id is not null and text is not null and text <> ''")
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return None
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.2 * (sample_docs + 5) / r["count"])))])
+    # First a draw by share, so that the window behind it ranks a few rows only: half as many again, and 40, are never too few.
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, (1.5 * sample_docs + 40) / r["count"])))])
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     drawn = known.withColumn("draw", draw).where(F.col("draw") < F.element_at(share, F.col("lang")))
-    rows = drawn.select("lang", "text").mapInPandas(lambda it: sample_words(it, words_per_doc), "lang string, words array<binary>").collect()
-    return train([(r["lang"], [bytes(w) for w in r["words"]]) for r in rows])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))
+    rows = drawn.withColumn("nth", nth).where(F.col("nth") <= sample_docs).select("lang", "text").collect()
+    return train([(r["lang"], r["text"].encode().translate(LOWER)) for r in rows])
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
