@@ -20,9 +20,11 @@ _REMEMBERED: dict[tuple, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of our own, but on one machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _OWN.setdefault("dir", f"file://{tempfile.gettempdir()}/tallyframe-{uuid.uuid4().hex}")
     return base.rstrip("/")
 
@@ -97,6 +99,24 @@ def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[Colum
     return inner.join(sums, [*keys, bucket]).withColumn(out, (F.col("_before") + F.col("_inner")).cast("long")).drop("_before", "_inner")
 
 
+def ranked(df: DataFrame, order: list[Column | str], name: str) -> tuple[DataFrame, str]:
+    """`df`, written, and a SQL expression of each row's place in `order`, from 0.
+
+    One range-partitioned shuffle; ties are dealt out by Spark's bounds, so `order` should tell rows apart that are not alike. The
+    places before each partition are a table of as many rows as there are partitions."""
+    (at,) = fresh(df, "_at")
+    parts = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), name)
+    counts = sorted((r["p"], r["n"]) for r in parts.groupBy(F.shiftright(at, 33).alias("p")).agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for p, n in counts:
+        before.append((p, total))
+        total += n
+    table = df.sparkSession.createDataFrame(before, "_part long, _before long")
+    joined = parts.join(F.broadcast(table), F.shiftright(at, 33) == F.col("_part"))
+    place = F.col("_before") + F.col(at).bitwiseAND((1 << 33) - 1)
+    return joined.withColumn("_place", place).drop(at, "_part", "_before"), "_place"
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, label): the smallest node that each node of `edges` (a, b: long) reaches.
 

@@ -1,10 +1,12 @@
 """Shards along a Hilbert curve, so that files can be pruned by several metadata columns at once. DataFrame functions only.
 
-Each dimension is quantised to 2**BITS cells; the cells' index on the curve orders the rows, and runs of that order are cut so that
-the shards' row counts are at most one apart (law `rows`). Within a cell rows follow a hash of text and id, then the id.
+Each dimension (source, lang, size) is quantised to 2**bits cells at quantiles of its whole values: a value's cell is its share of the
+rows that come before it in the values' order. The cells' index on the curve orders the rows, and runs of that order are cut so that the
+shards' row counts are at most one apart (law `rows`). Rows of one cell follow source, lang and size, then checksum and id: a cell of any
+number of rows stays ordered, and equal texts with equal metadata are neighbours. `bits` grows with the rows (see `bits_for`).
 
-String columns are quantised at quantiles of their first seven bytes, found over all rows by a mergeable sketch whose result is
-2**BITS - 1 numbers. Nulls in a dimension go to cell 0; a null text counts as empty (size 1). Repeated rows are rows of their own.
+Nulls in a dimension come before all values; a null text counts as empty (size 1). Repeated rows are rows of their own, in any order
+among themselves. Empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -12,9 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._base import buckets_for, running_total, written
+from tallyframe.llm._base import ranked, written
 
-BITS = 4
+#: Values of a dimension up to this many are broadcast; more are joined by shuffle.
+FEW = 100_000
+
+
+def bits_for(rows: int) -> int:
+    """Bits of each of three dimensions: about as many cells as rows / 64, from 4 bits to 16."""
+    return min(16, max(4, -(-max(0, (rows // 64).bit_length()) // 3)))
 
 
 def hilbert_index(dims: list[Column], bits: int) -> Column:
@@ -49,51 +57,49 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
     return F.aggregate(places, long(0), interleave)
 
 
-def prefix_number(text: Column) -> Column:
-    """The first seven bytes as a number, in the order of the bytes."""
-    padded = F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(padded, 16, 10).cast("long")
+def quantised(rows: DataFrame, name: str, bits: int, total: int) -> DataFrame:
+    """Adds `name`_cell: the share of the rows whose value of `name` comes before this row's, in 2**bits steps.
 
+    Values are counted before they are shuffled. Their running totals take two levels: within the partitions of their order, and over
+    these."""
+    counts = rows.groupBy(name).agg(F.count("*").alias("_n"))
+    placed, place = ranked(counts, [F.col(name).asc_nulls_first()], f"{name}-values")
+    few = placed.count() <= FEW
+    # Blocks of values by place: their totals are few, and each block's own running total is short.
+    step = 4096
+    placed = placed.withColumn("_block", F.floor(F.col(place) / step))
+    blocks = placed.groupBy("_block").agg(F.sum("_n").alias("_sum"))
+    above = F.expr("coalesce(sum(_sum) over (order by _block rows between unbounded preceding and 1 preceding), 0)")
+    inside = F.expr(f"coalesce(sum(_n) over (partition by _block order by {place} rows between unbounded preceding and 1 preceding), 0)")
+    placed = placed.withColumn("_inside", inside).join(blocks.select("_block", above.alias("_above")), "_block")
+    cells = placed.select(F.col(name).alias("_value"), F.least(F.lit(2**bits - 1), F.floor((F.col("_above") + F.col("_inside")) * float(2**bits) / max(1, total))).cast("int").alias(f"{name}_cell"))
+    return rows.join(F.broadcast(cells) if few else cells, F.col(name).eqNullSafe(F.col("_value"))).drop("_value")
 
-def quantise(df: DataFrame, columns: list[str], bits: int = BITS) -> list[Column]:
-    """For each string column its cell: how many of the quantiles of its prefix number lie at or below its own."""
-    shares = [k / 2**bits for k in range(1, 2**bits)]
-    cuts = df.agg(*[F.percentile_approx(prefix_number(F.col(c)), shares, 10_000).alias(c) for c in columns]).first()
-    out = []
-    for c in columns:
-        cell = F.lit(0)
-        for cut in sorted(set(cuts[c] or [])):
-            cell = cell + F.when(prefix_number(F.col(c)) >= F.lit(cut), 1).otherwise(0)
-        out.append(cell)
-    return out
 
-
-def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
+def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert for each row of documents."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    size = F.octet_length(text).cast("long") + 1
-    source, lang = quantise(docs, ["source", "lang"], bits)
-    scale = F.least(F.lit(2**bits - 1), F.greatest(F.lit(0), F.floor(F.log2("size") * (2**bits / 16.0) - 2)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), source.alias("s"), lang.alias("l"))
-    # The only pass over the texts; what follows reads a few numbers for each row.
-    rows = written(rows.withColumn("cell", (F.col("s") * 2**bits + F.col("l")) * 2**bits + scale.cast("int")).drop("s", "l"), "metadata")
-    # The cells are at most 2**(3 * bits), at any size of the input: their table may be broadcast, and its running total fits one task.
-    cells = rows.groupBy("cell").agg(F.count("*").alias("_n"))
+    # The only pass over the texts; what follows reads a few numbers and names for each row.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
+    rows = written(rows, "metadata")
+    total = rows.count()
+    bits = bits or bits_for(total)
+    for name in ("source", "lang", "size"):
+        rows = quantised(rows, name, bits, total)
+    # The curve is computed for cells, not rows: few beside the rows, and joined back by their own number.
+    number = ((F.col("source_cell").cast("long") * 2**bits + F.col("lang_cell")) * 2**bits + F.col("size_cell")).alias("cell")
+    rows = written(rows.select("doc_id", "size", "text_crc32", "source", "lang", number), "cells")
     axes = [F.shiftright("cell", 2 * bits), F.shiftright("cell", bits).bitwiseAND(2**bits - 1), F.col("cell").bitwiseAND(2**bits - 1)]
-    cells = cells.withColumn("hilbert", hilbert_index(axes, bits)).withColumn("_one", F.lit(0))
-    cells = written(running_total(cells, ["_one"], "hilbert", ["hilbert"], F.col("_n"), "_cell_at").select("cell", "hilbert", "_n", "_cell_at"), "cells")
-    total = cells.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    deal = buckets_for(total)
-    rows = rows.withColumn("_deal", F.pmod(F.xxhash64("text_crc32", "size", F.floor(F.coalesce("doc_id", F.lit(0)) / 64)), F.lit(deal)))
-    ranked = running_total(rows, ["cell"], "_deal", ["text_crc32", "doc_id", "size"], F.lit(1), "_in_cell")
-    rank = F.col("_cell_at") + F.col("_in_cell")
+    cells = rows.select("cell").distinct().withColumn("hilbert", hilbert_index(axes, bits))
+    cells = written(cells, "curve")
+    rows = rows.join(F.broadcast(cells) if cells.count() <= FEW else cells, "cell")
+    placed, place = ranked(rows.drop("cell"), ["hilbert", F.col("source").asc_nulls_first(), F.col("lang").asc_nulls_first(), "size", "text_crc32", "doc_id"], "curve-order")
     each, more = divmod(total, shards)
     # The first `more` shards hold one row more than the rest.
-    edge = more * (each + 1)
+    rank, edge = F.col(place), more * (each + 1)
     shard = F.when(rank < edge, F.floor(rank / (each + 1))).otherwise(more + F.floor((rank - edge) / max(each, 1))).cast("int")
     start = F.col("shard").cast("long") * each + F.least(F.col("shard"), F.lit(more))
-    out = ranked.join(F.broadcast(cells.drop("_n")), "cell").withColumn("_rank", rank).withColumn("shard", shard)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_rank") - start).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+    return placed.withColumn("shard", shard).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (rank - start).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
 def reference_index(point: list[int], bits: int) -> int:
@@ -114,4 +120,3 @@ def reference_index(point: list[int], bits: int) -> int:
         if x[-1] & q:
             t ^= q - 1
     return sum(((x[i] ^ t) >> b & 1) << (b * n + n - 1 - i) for b in range(bits) for i in range(n))
-

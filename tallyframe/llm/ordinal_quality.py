@@ -1,12 +1,14 @@
 """Quality by ordinal regression: P(grade <= k) = sigmoid(threshold_k - z), with one z for all grades and ordered thresholds.
 
-z is linear in hashed features of the text: the mean over words of a weight for the word's shape (letter case, digits, marks), plus the
-sum over distinct words of a weight for the word, over the root of their number. Grades: 0 where quality is 0, 1 where it is 1 but the
-text toxic, 2 otherwise. The model is fitted on at most SAMPLE labelled rows, chosen by a hash of the id; scoring reads every text whole.
-
-A document is kept if its tail probability P(grade >= 1) is CUT at least. Nulls and texts without words: grade and tail 0, not kept. With
-no labels at all nothing is rejected (tail 1). Rows without a quality label are not learned from; a document labelled twice has its
-lowest grade. Repeated rows get equal results; other columns are passed on by `keep_good` only.
+A text is cut into pieces, runs of at most PIECE bytes without white space, so that texts without spaces have many pieces too. z is
+linear in hashed features of the pieces: the mean over them of a weight for the piece's shape (letter case, digits, marks), plus the sum
+over distinct pieces of a weight for the piece, over the root of their number. Grades: 0 where quality is 0, 1 where it is 1 but the text
+toxic, 2 otherwise. The model is fitted on the SAMPLE labelled rows at most whose ids hash lowest; fitting and scoring read texts whole.
+
+A document is kept if its tail probability P(grade >= 1) is CUT at least. Nulls and texts without pieces: grade and tail 0, not kept.
+With no labels at all nothing is rejected (tail 1). Rows without a quality label are not learned from; a document labelled twice has its
+lowest grade, an id with several texts is learned from by the least of them. Repeated rows get equal results; empty tables give empty
+results. `grade_documents` reads doc_id and text only; `keep_good` passes on every column, whatever its name.
 """
 
 from __future__ import annotations
@@ -21,32 +23,38 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from tallyframe.llm._base import Bounded, remembered
+from tallyframe.llm._base import Bounded, fresh, remembered
 
-BITS, SAMPLE, CUT = 14, 3000, 0.5
+BITS, SAMPLE, CUT, PIECE = 14, 3000, 0.5, 16
 ROUNDS, RATE, RIDGE = 250, 0.1, 1e-4
 #: Letters become a or A, digits 0; marks stay.
 SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
+_pieces = re.compile(rb"\S{1,%d}" % PIECE).findall
 _again = re.compile(rb"(.)\1+", re.DOTALL)
 _edges = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
-def shape_of(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(_again.sub(rb"\1\1", word[:200].translate(SHAPE))[:12]) >> (64 - BITS)
+def pieces_of(text: str | None) -> list[bytes]:
+    return _pieces((text or "").encode())
+
+
+def shape_of(piece: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(_again.sub(rb"\1\1", piece.translate(SHAPE))) >> (64 - BITS)
 
 
-def word_of(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word.strip(_edges).lower(), seed=1) >> (64 - BITS)
+def word_of(piece: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(piece.strip(_edges).lower(), seed=1) >> (64 - BITS)
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Columns and values: shapes first, then words."""
-    words = (text or "").encode().split()
-    if not words:
+    pieces = pieces_of(text)
+    if not pieces:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    shapes = np.bincount([shape_of(w) for w in words], minlength=1 << BITS) / len(words)
-    distinct = set(words)
+    shapes = np.bincount([shape_of(w) for w in pieces], minlength=1 << BITS) / len(pieces)
+    distinct = set(pieces)
     kinds = np.bincount([word_of(w) for w in distinct], minlength=1 << BITS) / np.sqrt(len(distinct))
     both = np.concatenate([shapes, kinds])
     columns = np.flatnonzero(both)
@@ -114,24 +122,24 @@ def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = RO
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal | None:
     grade = F.when(F.col("quality") == 0, 0).when(F.coalesce(F.col("toxic"), F.lit(0)) == 1, 1).otherwise(2)
     graded = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), grade.alias("grade"))
-    share = min(1.0, sample / max(1, graded.count()))
     draw = F.pmod(F.xxhash64(F.lit("grade"), "_id"), F.lit(1 << 30)) / float(1 << 30)
-    graded = graded.where(draw < share).groupBy("_id").agg(F.min("grade").alias("grade"))
-    # About `sample` rows of two numbers: that is what is broadcast.
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(graded), "_id").select("grade", "text")
+    # By share first, a fifth more than asked for, so that what is broadcast and collected is bounded; then by rank.
+    share = min(1.0, (1.2 * sample + 100) / max(1, graded.count()))
+    graded = graded.withColumn("draw", draw).where(F.col("draw") < share).groupBy("_id", "draw").agg(F.min("grade").alias("grade"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(F.broadcast(graded), "_id").groupBy("_id", "draw", "grade").agg(F.min("text").alias("text")).select("draw", "_id", "grade", "text")
 
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             found = [features(t) for t in pdf["text"]]
-            yield pd.DataFrame({"grade": pdf["grade"], "columns": [c for c, _ in found], "values": [v for _, v in found]})
+            yield pd.DataFrame({"draw": pdf["draw"], "_id": pdf["_id"], "grade": pdf["grade"], "columns": [c for c, _ in found], "values": [v for _, v in found]})
 
-    got = rows.mapInPandas(extract, "grade int, columns array<int>, values array<float>").collect()
-    got = sorted(((r["grade"], tuple(r["columns"]), tuple(r["values"])) for r in got if r["columns"]))[: 2 * sample]
-    return fit_ordinal([(g, np.array(c, np.int64), np.array(v)) for g, c, v in got])
+    got = rows.mapInPandas(extract, "draw double, _id long, grade int, columns array<int>, values array<float>").where("size(columns) > 0").orderBy("draw", "_id").limit(sample).collect()
+    return fit_ordinal([(r["grade"], np.array(r["columns"], np.int64), np.array(r["values"])) for r in got])
 
 
 class Scorer:
-    """z of texts; weights of recent words are remembered."""
+    """z of texts; weights of recent pieces are remembered."""
 
     def __init__(self, model: Ordinal):
         shapes, words = model.weights[: 1 << BITS], model.weights[1 << BITS :]
@@ -139,19 +147,19 @@ class Scorer:
         self.word = Bounded(lambda w: float(words[word_of(w)]), 300_000)
 
     def z(self, text: str | None) -> float | None:
-        words = (text or "").encode().split()
-        if not words:
+        pieces = pieces_of(text)
+        if not pieces:
             return None
-        distinct = set(words)
-        return sum(map(self.shape.__getitem__, words)) / len(words) + sum(sorted(map(self.word.__getitem__, distinct))) / len(distinct) ** 0.5
+        distinct = set(pieces)
+        return sum(map(self.shape.__getitem__, pieces)) / len(pieces) + sum(sorted(map(self.word.__getitem__, distinct))) / len(distinct) ** 0.5
 
 
 def scorer(model: Ordinal) -> Scorer:
     return remembered(("scorer", model.weights.tobytes()), lambda: Scorer(model))
 
 
-def grades(batches: Iterator[pa.RecordBatch], model: Ordinal | None, grade: int, cut: float, at: int) -> Iterator[pa.RecordBatch]:
-    """Puts expected_grade, tail_prob and kept behind each row; column `at` is the text."""
+def grades(batches: Iterator[pa.RecordBatch], model: Ordinal | None, grade: int, cut: float, at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Puts the expected grade, the tail probability and whether the row is kept behind each row; column `at` is the text."""
     own = scorer(model) if model else None
     for batch in batches:
         z = [own.z(t.as_py()) if own else 0.0 for t in batch.column(at)]
@@ -159,20 +167,22 @@ def grades(batches: Iterator[pa.RecordBatch], model: Ordinal | None, grade: int,
         values = np.array([x or 0.0 for x in z])
         expected = np.where(there, model.expected(values), 0.0) if model else np.zeros(len(z))
         tail = np.where(there, model.tail(values, grade), 0.0) if model else np.ones(len(z))
-        yield pa.record_batch([*batch.columns, pa.array(expected), pa.array(tail), pa.array(tail >= cut)], names=[*batch.schema.names, "expected_grade", "tail_prob", "kept"])
+        yield pa.record_batch([*batch.columns, pa.array(expected), pa.array(tail), pa.array(tail >= cut)], names=[*batch.schema.names, *names])
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame, grade: int = 1, cut: float = CUT) -> DataFrame:
     """doc_id, text, expected_grade, tail_prob, kept for each row."""
     model = fit(docs, labels)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(lambda it: grades(it, model, grade, cut, 1), "doc_id long, text string, expected_grade double, tail_prob double, kept boolean")
+    return source.mapInArrow(lambda it: grades(it, model, grade, cut, 1, ["expected_grade", "tail_prob", "kept"]), "doc_id long, text string, expected_grade double, tail_prob double, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, grade: int = 1, cut: float = CUT) -> DataFrame:
-    """The rows of documents that are kept, with the columns they had."""
+    """The rows of `docs` that are kept, with all the columns they had."""
     model = fit(docs, labels)
-    names = ["doc_id", "text", "lang", "source", "n_chars"]
-    source = docs.select(*names)
-    kinds = ", ".join(f"{n} {source.schema[n].dataType.simpleString()}" for n in names)
-    return source.mapInArrow(lambda it: grades(it, model, grade, cut, 1), f"{kinds}, expected_grade double, tail_prob double, kept boolean").where("kept").select(*names)
+    names = fresh(docs, "_expected", "_tail", "_kept")
+    source, at = docs, docs.columns.index("text")
+    if docs.schema["text"].dataType.typeName() != "string":
+        source, at = docs.withColumn(*fresh(docs, "_text"), F.col("text").cast("string")), len(docs.columns)
+    schema = StructType([*source.schema.fields, *map(StructField, names, (DoubleType(), DoubleType(), BooleanType()))])
+    return source.mapInArrow(lambda it: grades(it, model, grade, cut, at, names), schema).where(F.col(names[2])).select(*docs.columns)

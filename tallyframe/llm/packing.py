@@ -1,17 +1,22 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
-Only the counts of lengths matter for where pieces go, and there are at most LIMIT of them whatever the input's size. For the longest
-length left, the gap up to LIMIT is looked up as a single length, then as a sum of two, then of three; whole multiples of such an exactly
-full combination are consumed while all its members last. What remains is packed best fit: the longest piece first, then again and
-again the longest length that fits. Each combination is a row `pattern x times`; each uses up at least one length, so the plan is
-small, and pieces find their place by their rank among those of their length.
+Only the counts of lengths matter for where pieces go, and there are at most LIMIT of them whatever the input's size. The sums of all
+pairs of these lengths and of all triples are indexed by sum. From the longest length to the shortest, the gap up to LIMIT is looked up
+as a single length, as a pair's sum, as a triple's; each combination found fills the gap exactly, and as many of it are consumed as the
+counts of its members allow. What remains is packed best fit: the longest piece first, then again and again the longest length that
+fits. Each combination is a row `pattern x times`; each uses up a length, so the plan is small, and pieces find their place by their rank
+among those of their length.
 
 A document: its ids plus END; documents over LIMIT are cut into pieces of LIMIT. Null texts are empty (one END). Repeated rows are rows
-of their own; empty tables give empty results; null ids stay null.
+of their own; empty tables give empty results; null ids stay null; other columns are not read.
 """
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -34,22 +39,42 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Characters of ASCII that are neither letters, white space nor the apostrophe (which may begin a word's ending).
+MARKS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalpha() and chr(b) != "'")
+_mark = re.escape(MARKS).encode()
+#: Runs of letters, and of marks, if white space, the end or one of the other kind follows; else all up to the next white space.
+_parts = re.compile(rb"[a-z]++(?![^a-z\s%s])|[%s]++(?![^a-z\s%s])|\S++" % (_mark, _mark, _mark)).findall
+
+
 class Runs(dict):
-    """Runs of text without ASCII white space, by number, with their ids in one flat array.
+    """Runs of text, by number, with their ids in one flat array.
 
-    The vocabulary drops white space and never joins across it, so the ids of a text are those of its runs, one after the other. New
-    runs are encoded many at once, divided by a special token that no run holds."""
+    Runs end at ASCII white space, and at borders of a letter and a mark; `divides` holds the vocabulary to its never joining across
+    these, so the ids of a text are those of its runs, one after the other. A vocabulary that joins is called with whole texts. New runs
+    of plain letters go to the vocabulary's model at once, if that gives the same (`plain`); others are encoded many at once, divided by
+    a special token that no run holds."""
 
     def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one thread
         self.known, self.most = Tokenizer.from_file(path), most
         same = lambda a, b: self.known.encode(a, add_special_tokens=False).ids == self.known.encode(b, add_special_tokens=False).ids
         self.folds = same("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        self.divides = self.folds and all(self.alone(a, "", b) and self.alone(b, "", a) for a in string.ascii_lowercase for b in MARKS) and all(self.alone(a, w, b) for w in " \t\n\r\v\f" for a in "az19.'" for b in "az19.'")
+        self.plain = self.folds and all(self.by_model(x.encode()) == self.known.encode(x, add_special_tokens=False).ids for x in (*string.ascii_lowercase, string.ascii_lowercase, "the", "unhappily", "s", "ll"))
         self.marks = {t.content: i for i, t in self.known.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.normalized)}
         self.reset()
 
+    def alone(self, a: str, between: str, b: str) -> bool:
+        """Whether the ids of a and b together are those of a and those of b."""
+        ids = lambda x: self.known.encode(x, add_special_tokens=False).ids
+        return ids(a + between + b) == ids(a) + ids(b)
+
+    def by_model(self, run: bytes) -> list[int]:
+        return [t.id for t in self.known.model.tokenize(run.decode())]
+
     def reset(self) -> None:
         self.clear()
         self.pending: list[bytes] = []
@@ -64,16 +89,17 @@ class Runs(dict):
         new, self.pending = self.pending, []
         if not new:
             return
-        mark, divider = next(iter(self.marks.items()), (None, None))
-        if mark is None or any(b"<" in r and any(m.encode() in r for m in self.marks) for r in new):
-            ids = [self.known.encode(r.decode(), add_special_tokens=False).ids for r in new]
-            lengths, flat = np.array([len(x) for x in ids]), np.array([i for x in ids for i in x], "<u4")
-        else:
-            groups = [mark.join([*(r.decode() for r in new[k : k + 2000]), ""]) for k in range(0, len(new), 2000)]
-            flat = np.concatenate([np.array(e.ids, "<u4") for e in self.known.encode_batch_fast(groups, add_special_tokens=False)])
-            ends = np.flatnonzero(flat == divider)  # one behind each run
-            lengths = np.diff(ends, prepend=-1) - 1
-            flat = flat[flat != divider]
+        lengths, flats = np.zeros(len(new), np.int64), []
+        plain = np.array([self.plain and r.isalpha() and r.islower() for r in new])
+        for group, ids_of in ((np.flatnonzero(plain), self.of_letters), (np.flatnonzero(~plain), self.of_others)):
+            if len(group):
+                lengths[group], flat = ids_of([new[i] for i in group])
+                flats.append(flat)
+        # Back from both groups to the runs' own order.
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        begin = np.empty(len(new), np.int64)
+        begin[order] = np.cumsum(lengths[order]) - lengths[order]
+        flat = np.concatenate(flats)[np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.n + len(new) + 1 > len(self.starts):
@@ -82,9 +108,29 @@ class Runs(dict):
         self.starts[self.n + 1 : self.n + 1 + len(new)] = self.used + np.cumsum(lengths)
         self.used, self.n = self.used + len(flat), self.n + len(new)
 
+    def of_letters(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each run has, and all of them."""
+        ids = list(map(self.by_model, runs))
+        return np.array([len(x) for x in ids]), np.array([i for x in ids for i in x], "<u4")
+
+    def of_others(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        mark, divider = next(iter(self.marks.items()), (None, None))
+        if mark is None or any(b"<" in r and any(m.encode() in r for m in self.marks) for r in runs):
+            ids = [self.known.encode(r.decode(), add_special_tokens=False).ids for r in runs]
+            return np.array([len(x) for x in ids]), np.array([i for x in ids for i in x], "<u4")
+        groups = [mark.join([*(r.decode() for r in runs[k : k + 2000]), ""]) for k in range(0, len(runs), 2000)]
+        flat = np.concatenate([np.array(e.ids, "<u4") for e in self.known.encode_batch_fast(groups, add_special_tokens=False)])
+        ends = np.flatnonzero(flat == divider)  # one behind each run
+        return np.diff(ends, prepend=-1) - 1, flat[flat != divider]
+
     def numbers(self, text: str) -> np.ndarray:
         raw = text.encode()
-        runs = (raw.lower() if self.folds and b"<|" not in raw else raw).split()
+        if not self.divides:
+            runs = [raw]
+        elif any(m.encode() in raw for m in self.marks):
+            runs = raw.split()
+        else:
+            runs = _parts(raw.lower())
         return np.fromiter(map(self.__getitem__, runs), np.int64, len(runs))
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
@@ -131,31 +177,40 @@ def tokenise(batches: Iterator[pa.RecordBatch], path: str, limit: int = LIMIT) -
         yield pa.record_batch(out, schema=schema)
 
 
-def complement(have: np.ndarray, gap: int) -> list[int] | None:
-    """Up to three lengths still available that sum to `gap`, fewest first."""
-    if have[gap]:
-        return [gap]
-    counts = have[: gap + 1]
-    there = counts > 0
-
-    def pair(total: int, counts: np.ndarray) -> list[int] | None:
-        small = np.arange(1, total // 2 + 1)
-        ok = (counts[small] > 0) & (counts[total - small] > 0)
-        if total % 2 == 0 and total >= 2 and counts[total // 2] < 2:
-            ok[-1] = False
-        hit = np.flatnonzero(ok)
-        return [int(total - small[hit[0]]), int(small[hit[0]])] if len(hit) else None
-
-    if found := pair(gap, counts):
-        return found
-    for a in np.flatnonzero(there)[::-1]:
-        if a <= gap - 2 and 3 * a >= gap:  # the longest of the three
-            counts[a] -= 1
-            found = pair(gap - int(a), counts)
-            counts[a] += 1
-            if found:
-                return [int(a), *found]
-    return None
+class Sums:
+    """The sums of pairs and of triples of `lengths`, up to `limit`, by sum: what combinations have it."""
+
+    def __init__(self, lengths: np.ndarray, limit: int):
+        lengths = np.sort(np.asarray(lengths, np.int64))
+        larger = [np.full(np.searchsorted(lengths[: i + 1], limit - a, side="right"), a) for i, a in enumerate(lengths)]
+        smaller = [lengths[: len(x)] for x in larger]
+        self.larger, self.smaller, self.pairs = self.by_sum(larger, smaller, limit)
+        sums = np.flatnonzero(np.diff(self.pairs))  # of pairs that there are
+        longest = [np.full(np.searchsorted(sums, limit - c, side="right"), c) for c in lengths]
+        self.longest, self.rest, self.triples = self.by_sum(longest, [sums[: len(x)] for x in longest], limit)
+
+    @staticmethod
+    def by_sum(x: list[np.ndarray], y: list[np.ndarray], limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both parts in order of their sum, and where each sum begins."""
+        a, b = (np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int32) for v in (x, y))
+        order = np.argsort(a + b, kind="stable")
+        return a[order], b[order], np.concatenate([[0], np.cumsum(np.bincount(a + b, minlength=limit + 1))])
+
+    def of_two(self, total: int, have: np.ndarray) -> Iterator[list[int]]:
+        """Pairs with that sum whose members there still are."""
+        part = slice(self.pairs[total], self.pairs[total + 1])
+        a, b = self.larger[part], self.smaller[part]
+        alive = (have[a] > 0) & (have[b] > 0)
+        yield from np.stack([a[alive], b[alive]], axis=1).tolist()
+
+    def of_three(self, total: int, have: np.ndarray) -> Iterator[list[int]]:
+        """Triples, each with its longest member first."""
+        part = slice(self.triples[total], self.triples[total + 1])
+        c, rest = self.longest[part], self.rest[part]
+        alive = (have[c] > 0) & (rest <= 2 * c)
+        for longest, pair in zip(c[alive].tolist(), rest[alive].tolist(), strict=True):
+            if have[longest]:
+                yield from ([longest, *two] for two in self.of_two(pair, have) if two[0] <= longest)
 
 
 def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[dict[int, int], int]]:
@@ -170,20 +225,19 @@ def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[dict[int, int
         for m in members:
             use[m] = use.get(m, 0) + 1
         times = int(min(have[m] // k for m, k in use.items()))
-        for m, k in use.items():
-            have[m] -= k * times
-        out.append((use, times))
-
-    if have[limit]:
-        take([limit])
-    for top in range(limit - 1, 0, -1):
-        while have[top]:
-            have[top] -= 1
-            found = complement(have, limit - top)
-            have[top] += 1
-            if not found:
+        if times:
+            for m, k in use.items():
+                have[m] -= k * times
+            out.append((use, times))
+
+    sums = Sums(np.flatnonzero(have), limit)
+    for top in range(limit, 0, -1):
+        gap = limit - top
+        ways = ([[]] if not gap else [[gap]], sums.of_two(gap, have), sums.of_three(gap, have))
+        for way in itertools.chain.from_iterable(ways):
+            if not have[top]:
                 break
-            take([top, *found])
+            take([top, *way])
     while have.any():  # best fit of what is left
         top = int(np.flatnonzero(have)[-1])
         left, members = have.copy(), []
