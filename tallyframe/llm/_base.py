@@ -62,8 +62,38 @@ class Written:
         _remove(self.spark, self.path)
 
 
+class Scope:
+    """Within it, written tables are noted; at its end they are dropped, but for those that are to stay."""
+
+    def __init__(self) -> None:
+        self.tables: list[Written] = []
+
+    def __enter__(self) -> Scope:
+        _SCOPES.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _SCOPES.pop()
+        for table in self.tables:
+            table.drop()
+
+    def stay(self, df: DataFrame) -> DataFrame:
+        """`df`, a table written within, for a scope further out."""
+        for table in [t for t in self.tables if t.df is df]:
+            self.tables.remove(table)
+            if len(_SCOPES) > 1:
+                _SCOPES[-2].tables.append(table)
+        return df
+
+
+_SCOPES: list[Scope] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    return Written(df, name).df
+    table = Written(df, name)
+    if _SCOPES:
+        _SCOPES[-1].tables.append(table)
+    return table.df
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -76,6 +106,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def only(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """The rows of `docs` whose `key`, a string, is in the one column of `kept`; of several with one key, the first by a hash of the row.
+
+    Texts are shuffled once: the join and the window go by the same key."""
+    k, nth, mark = fresh(docs, "_key", "_nth", "_mark")
+    own = docs.withColumn(k, key).join(kept.select(F.col(kept.columns[0]).alias(k)), k, "left_semi")
+    own = own.withColumn(mark, F.xxhash64(*[F.to_json(F.struct(f"`{f.name}`")) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in docs.schema.fields]))
+    return own.withColumn(nth, F.row_number().over(Window.partitionBy(k).orderBy(mark))).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
@@ -142,6 +182,16 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return labels
 
 
+def merged(labels: DataFrame, links: DataFrame, name: str = "cc") -> DataFrame:
+    """`labels` (node, label) after more links (a, b); nodes without a label are their own."""
+    named = lambda at: labels.select(F.col("node").alias(at), F.col("label").alias(f"l{at}"))
+    ends = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    moved = components(ends, name).withColumnRenamed("node", "n").withColumnRenamed("label", "to")
+    old = labels.join(moved, F.col("label") == F.col("n"), "left").select("node", F.coalesce("to", "label").alias("label"))
+    new = moved.select(F.col("n").alias("node"), F.col("to").alias("label")).join(labels.select("node"), "node", "left_anti")
+    return written(old.union(new), name)
+
+
 def settle() -> None:
     """Python workers outlive their tasks: forgets what the operator before this one remembered, and gives freed memory back."""
     _REMEMBERED.clear()

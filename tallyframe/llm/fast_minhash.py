@@ -11,14 +11,15 @@ members: each class is tried against its hub, the mate whose buckets are the ful
 may share no more than a common passage, so these classes are dealt anew, by their rare shingles: of n shingles in order of rarity, two
 sets that reach the threshold share one among the first n - ceil(0.75 n) + 1 of each, whatever the order, and behind the first that they
 share either holds enough of the rest. Rarity is counted among these classes in COUNTERS hashed counters; of shingles that the same
-classes share, the first in order stands for all. Then, in every group that still holds
-several components, members outside the largest are tried in blocks of BLOCK against the members of other components, until none is
-left untried. A pair is so either already connected or tried, unless it cannot reach the threshold: the sizes differ too much, or their
-distances to one hub do (Jaccard distance obeys the triangle inequality). Tried pairs whose sketches agree in fewer than AGREE of the
-coordinates, five deviations below what a pair at the threshold has, are dropped before full sets are compared.
+classes share, the first in order stands for all. Groups are dealt by a hash into parts of about BLOCK members. Then, in every group that
+still holds several components, the members of its parts outside the largest component are tried against the members of other
+components: in rounds of one part, two, four and so on, until none is left untried. A pair is so either already connected or tried,
+unless it cannot reach the threshold: the sizes differ too much, or their distances to one hub do (Jaccard distance obeys the triangle
+inequality). Tried pairs whose sketches agree in fewer than AGREE of the coordinates, five deviations below what a pair at the threshold
+has, are dropped before full sets are compared. Rows of one group are dealt to SALTS tasks, and what they meet is sent to all of these.
 
 Shingles are compared as 64-bit hashes. Nulls: a null text has no shingles and links with nothing; null ids are rows like any other.
-Repeated rows join one class. Empty tables give empty results; other columns are not read.
+Repeated rows join one class. Empty tables give empty results; other columns are not read, but for `keep_one`, which passes all on.
 """
 
 from __future__ import annotations
@@ -31,14 +32,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._base import components, fresh, mix64, settle, written
+from tallyframe.llm._base import Scope, components, merged, mix64, only, settle, written
 
 WORDS, NUM, DEN = 5, 75, 100
 BANDS, ROWS = 64, 5
-BLOCK = 256
+BLOCK, SALTS = 256, 16
 AGREE = 0.628
 COUNTERS = 1 << 18
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
@@ -88,28 +89,29 @@ def band_hashes(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
-SKETCHED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SKETCHED = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def sketch_batches(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    def flush(ids, digests, sets):
+    def flush(ids, marks, digests, sets):
         full = [i for i, x in enumerate(sets) if len(x)]
         found = dict(zip(full, band_hashes(sketches([sets[i] for i in full], bands * rows), bands, rows), strict=True))
-        return pa.record_batch([ids, [len(x) for x in sets], digests, [found.get(i, ()) for i in range(len(sets))]], schema=SKETCHED)
+        return pa.record_batch([ids, marks, [len(x) for x in sets], digests, [found.get(i, ()) for i in range(len(sets))]], schema=SKETCHED)
 
     settle()
     for batch in batches:
-        ids, digests, sets, held = [], [], [], 0
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        ids, marks, digests, sets, held = [], [], [], [], 0
+        for doc_id, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             words = words_of(text.as_py())
             ids.append(doc_id)
+            marks.append(mark)
             digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
             sets.append(shingle_hashes(words))
             held += len(sets[-1])
             if held > 600_000:
-                yield flush(ids, digests, sets)
-                ids, digests, sets, held = [], [], [], 0
-        yield flush(ids, digests, sets)
+                yield flush(ids, marks, digests, sets)
+                ids, marks, digests, sets, held = [], [], [], [], 0
+        yield flush(ids, marks, digests, sets)
 
 
 def set_batches(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
@@ -181,20 +183,28 @@ def by_rare_shingles(classes: DataFrame, sets: DataFrame) -> DataFrame:
     rare = written(own.mapInArrow(lambda it: rarest(it, held), "class long, s long, rarity long, pos long"), "rare")
     mark = F.xxhash64("class")
     groups = rare.groupBy("s").agg(F.min("rarity").alias("rarity"), F.count("*").alias("full"), F.bit_xor(mark).alias("m1"), F.bit_xor(F.xxhash64(mark, F.lit(1))).alias("m2")).where("full > 1")
-    groups = written(groups.groupBy("full", "m1", "m2").agg(F.min(F.struct("rarity", "s")).alias("first")).select("first.s"), "groups")
-    return rare.join(groups, "s").select(F.col("s").alias("bucket"), "class", "pos")
+    groups = written(groups.groupBy("full", "m1", "m2").agg(F.min(F.struct("rarity", "s")).alias("first")).select("first.s", "full"), "groups")
+    groups = groups.select(F.col("s").alias("bucket"), F.ceil(F.col("full") / BLOCK).alias("parts"))
+    found = dealt(rare.select(F.col("s").alias("bucket"), "class", "pos"), groups)
+    return found.withColumn("part", F.pmod(F.xxhash64("class", "bucket"), F.col("parts"))).drop("parts")
+
+
+def dealt(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """The join of members with facts on `bucket`, each bucket's members dealt to SALTS tasks."""
+    left = members.withColumn("_salt", F.pmod(F.xxhash64("class", F.lit(7)), F.lit(SALTS)))
+    return left.join(facts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["bucket", "_salt"]).drop("_salt")
 
 
 def linked(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("both") * DEN >= F.col("either") * NUM).select("a", "b")
 
 
-def unconnected(active: DataFrame, labels: DataFrame) -> DataFrame:
+def unconnected(active: DataFrame, labels: DataFrame, join) -> DataFrame:
     """The rows of `active` in buckets of several components, with their component, and the bucket's largest as `main`."""
     named = active.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     per = named.groupBy("bucket", "label").agg(F.count("*").alias("_n"))
     top = per.groupBy("bucket").agg(F.count("*").alias("_labels"), F.max(F.struct(F.col("_n"), F.col("label"))).alias("_top"))
-    return named.join(top.where("_labels > 1").select("bucket", F.col("_top.label").alias("main")), "bucket")
+    return join(named, top.where("_labels > 1").select("bucket", F.col("_top.label").alias("main")))
 
 
 def enough_left(n: str, pos: str, nx: str, px: str):
@@ -207,23 +217,37 @@ def near_size(x: str, y: str):
     return F.least(x, y) * DEN >= F.greatest(x, y) * NUM
 
 
-def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = written(source.mapInArrow(lambda it: sketch_batches(it, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"), "sketches")
-    classes = seen.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+def near_rows(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, mark (a hash of the text as it is), n_shingles, component_id for each row."""
+    with Scope() as scope:
+        text = F.col("text").cast("string")
+        source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+        seen = written(source.mapInArrow(lambda it: sketch_batches(it, bands, rows), "doc_id long, mark long, n_shingles long, digest binary, bands array<long>"), "sketches")
+        classes = seen.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"))).alias("one"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        classes = classes.select("digest", "one.doc_id", "one.mark", "n", "bands")
+        classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+        labels = class_labels(source, classes, bands * rows)
+        ends = classes.select("class", "digest", "doc_id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+        ends = written(ends, "ends")
+        least = ends.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+        ends = ends.join(least, "label").select("digest", "label", "component_id")
+        rows_of = seen.select("doc_id", "mark", "n_shingles", "digest")
+        found = rows_of.where("n_shingles > 0").join(ends, "digest").select("doc_id", "mark", "n_shingles", "label", "component_id")
+        alone = rows_of.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
+        return scope.stay(written(found.union(alone), "components"))
+
+
+def class_labels(source: DataFrame, classes: DataFrame, t: int) -> DataFrame:
+    """(node, label): the component of each class that has links."""
     buckets = classes.select("class", "n", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("full")).where("full > 1")
     active = written(buckets.join(shared, "bucket"), "buckets")
     fullness = active.groupBy("class").agg(F.sum("full").alias("score"))
     active = written(active.drop("full").join(fullness, "class"), "scored")
-    # Full sets, of classes in shared buckets only.
-    wanted = active.select("class").distinct().join(classes.select("class", "doc_id", "digest"), "class")
-    wanted = written(wanted, "wanted")
-    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
-    texts = source.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    t = bands * rows
+    # Full sets, of classes in shared buckets only, each from one row's text.
+    wanted = written(active.select("class").distinct().join(classes.select("class", "doc_id", "mark", "digest"), "class"), "wanted")
+    ones = wanted.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_m"))
+    texts = source.join(ones, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_m")), "left_semi").select("text")
     sets = texts.mapInArrow(lambda it: set_batches(it, t), "digest binary, shingles array<long>, sketch array<short>").join(wanted.select("class", "digest"), "digest")
     sets = written(sets.dropDuplicates(["digest"]).select("class", "shingles", "sketch"), "sets")
     # Each class against its hub.
@@ -231,41 +255,47 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     mates = active.join(active.groupBy("bucket").agg(top), "bucket").groupBy("class").agg(F.max("top").alias("top")).select((-F.col("top.least")).alias("hub"), "class")
     hubs = written(mates, "hubs")
     near = written(compared(hubs.where("hub <> class").select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).distinct(), sets), "near")
-    checked, links = near.select("a", "b"), linked(near)
+    checked = near.select("a", "b")
     far = near.select("a", "b", (1 - F.col("both") / F.col("either")).alias("far"))
     hubs = hubs.withColumn("a", F.least("hub", "class")).withColumn("b", F.greatest("hub", "class")).join(far, ["a", "b"], "left").select("class", "hub", F.coalesce("far", F.lit(0.0)).alias("far"))
-    active = written(active.select("bucket", "class", "n").join(hubs, "class"), "active")
-    labels = components(links)
-    left = written(unconnected(active, labels).select("class").distinct(), "left")
-    facts = active.select("class", "n", "hub", "far").distinct()
+    facts = written(active.select("class", "n").distinct().join(hubs, "class"), "facts")
+    labels = components(linked(near))
+    left = written(unconnected(active.select("bucket", "class"), labels, lambda x, y: x.join(y, "bucket")).select("class").distinct(), "left")
     active = written(by_rare_shingles(left, sets).join(facts, "class"), "active")
+    many = 1
     while True:
-        named = written(unconnected(active, labels), "open")
+        named = written(unconnected(active, labels, dealt), "open")
         if named.isEmpty():
             break
-        w = Window.partitionBy("bucket").orderBy("class")
-        tried = written(named.where("label <> main").withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= BLOCK).select("bucket", F.col("class").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("hub").alias("hx"), F.col("far").alias("fx")), "tried")
+        now = (F.col("part") < many) & (F.col("label") != F.col("main"))
+        tried = named.where(now).select("bucket", F.col("class").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("hub").alias("hx"), F.col("far").alias("fx"))
         reach = (F.col("hub") != F.col("hx")) | (F.abs(F.col("far") - F.col("fx")) <= 1 - NUM / DEN + 1e-9)
-        pairs = named.join(tried, "bucket").where((F.col("label") != F.col("lx")) & near_size("n", "nx") & enough_left("n", "pos", "nx", "px") & reach).select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct()
+        pairs = dealt(named.select("bucket", "class", "label", "n", "pos", "hub", "far"), tried).where((F.col("label") != F.col("lx")) & near_size("n", "nx") & enough_left("n", "pos", "nx", "px") & reach).select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct()
         pairs = written(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
         close = written(likely(pairs, sets, t), "likely")
         found = written(linked(compared(close, of_pairs(close, sets))), "links")
-        checked, links = checked.union(pairs), links.union(found)
+        checked = checked.union(pairs)
         if not found.isEmpty():
-            labels = components(links)
-        active = named.select("bucket", "class", "n", "pos", "hub", "far").join(tried.select("bucket", F.col("x").alias("class")), ["bucket", "class"], "left_anti")
-        active = written(active, "active")
-    ends = classes.select("class", "digest", "doc_id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    ends = written(ends, "ends")
-    least = ends.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    ends = written(ends.join(least, "label").select("digest", "component_id"), "named")
-    out = seen.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).otherwise(F.encode(F.concat_ws(":", F.lit("alone"), "doc_id"), "UTF-8")).alias("digest"))
-    out = out.join(ends, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+            labels = merged(labels, found)
+        active = named.where(~now).drop("label", "main")
+        many = 2 * many + 1
+    return labels
+
+
+def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row."""
+    return near_rows(docs, bands, rows).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def row_key(doc_id: Column, mark: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), mark.cast("string"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that near_duplicates keeps, with all their columns."""
-    (id_,) = fresh(docs, "_id")
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias(id_)).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
+    """One row of each component, that with the smallest id (null ids last, then by a hash of the text), with all its columns. Rows
+    without words stay, each once if id and text are repeated."""
+    found = near_rows(docs)
+    nobody = F.col("n_shingles") == 0
+    best = found.where(~nobody).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("mark"))).alias("b"))
+    keys = best.select(row_key(F.col("b.doc_id"), F.col("b.mark")).alias("key")).union(found.where(nobody).select(row_key(F.col("doc_id"), F.col("mark")).alias("key")))
+    return only(docs, row_key(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))), keys)

@@ -212,6 +212,11 @@ PAGES = """
 +3ha +100a +4a -2L -1L -1L
 +5ha +7a +85a +12a -3L -2L -9
 +2ha +64a +1a -1Ls -1Ls
+-1Ls +1ha +2a +1a +2la -1s -12 -2s -2s
++8ha +30a +5la +3la +4a
++4ha +6a +2La +7a +1la +20a
+-2 +2ha +1a +3la -1Ls -1Ls -6s
++5ha +2la +40a +8qa +3la -2La -1La -2La -7s
 """
 MARKS = {"L": ("density", 1.0), "l": ("density", 0.5), "q": ("density", 0.25), "h": ("heading", 1), "s": ("section", 1), "a": ("article", 1)}
 NOTHING = Block("")

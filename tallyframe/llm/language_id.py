@@ -30,7 +30,8 @@ HIDDEN, LANE, CONTEXT = 6, 512, 32
 #: Lanes that are computed together, and bytes of text that are gathered for them.
 TOGETHER, GATHER = 1024, 2_000_000
 SAMPLE_DOCS = 60
-EPOCHS, BATCH, TRAIN_LANE, RATE = 2, 64, 128, 0.02
+#: Steps of training, each over BATCH lanes of TRAIN_LANE bytes; the sample is gone through as often as they ask for.
+STEPS, BATCH, TRAIN_LANE, RATE = 300, 128, 64, 0.02
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 
 
@@ -51,8 +52,8 @@ def slope(y: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    """States are (hidden, lanes). `weights`: per direction what a byte adds to the gates (3 x hidden, 256) and the recurrent weights
-    (3 x hidden, hidden), then the output layer (languages, 2 x hidden) and its offsets."""
+    """`weights`: per direction what a byte adds to the gates (256, 3 x hidden) and the recurrent weights (hidden, 3 x hidden), then the
+    output layer (2 x hidden, languages) and its offsets. States are (hidden, lanes)."""
 
     langs: list[str]
     weights: list[np.ndarray]
@@ -61,11 +62,11 @@ class Network:
     def fresh(cls, langs: list[str], hidden: int = HIDDEN, seed: int = 7) -> Network:
         r = np.random.default_rng(seed)
         one = lambda *s: (r.standard_normal(s) * 0.3).astype(np.float32)
-        return cls(langs, [one(3 * hidden, 256), one(3 * hidden, hidden), one(3 * hidden, 256), one(3 * hidden, hidden), one(len(langs), 2 * hidden), np.zeros((len(langs), 1), np.float32)])
+        return cls(langs, [one(256, 3 * hidden), one(hidden, 3 * hidden), one(256, 3 * hidden), one(hidden, 3 * hidden), one(2 * hidden, len(langs)), np.zeros(len(langs), np.float32)])
 
     def direction(self, x: np.ndarray, there: np.ndarray, e: np.ndarray, u: np.ndarray, steps, keep: list | None = None) -> np.ndarray:
         """States after every position; x and there are (length, lanes). Where nothing is there, the state is nil."""
-        hidden = u.shape[1]
+        hidden, e, u = len(u), np.ascontiguousarray(e.T), np.ascontiguousarray(u.T)
         h = np.zeros((hidden, x.shape[1]), e.dtype)
         out = np.empty((len(x), *h.shape), e.dtype)
         whole = there.all(axis=1)
@@ -99,22 +100,22 @@ class Network:
             dn = new * (1 - z) * slope(n)
             dz, dr = new * (h - n) * 0.5 * slope(2 * z - 1), dn * gn * 0.5 * slope(2 * r - 1)
             dg = np.concatenate([dz, dr, dn * r])
-            du += dg @ h.T
-            dh = new * z + u.T @ dg
+            du += h @ dg.T
+            dh = new * z + u @ dg
             at.append(x[t])
             gates.append(np.concatenate([dz, dr, dn]))
         at, gates = np.concatenate(at), np.concatenate(gates, axis=1)
-        return np.stack([np.bincount(at, row, 256) for row in gates]).astype(u.dtype), du
+        return np.stack([np.bincount(at, row, 256) for row in gates], axis=1).astype(u.dtype), du
 
     def positions(self, x: np.ndarray, there: np.ndarray, keep: tuple[list, list] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The states of both directions and, for every position, the languages' probabilities (length, languages, lanes)."""
         ef, uf, eb, ub, w, b = self.weights
-        n, hidden = len(x), uf.shape[1]
+        n, hidden = len(x), len(uf)
         f = self.direction(x, there, ef, uf, range(n), keep and keep[0])
         g = self.direction(x, there, eb, ub, range(n - 1, -1, -1), keep and keep[1])
-        p = np.matmul(np.ascontiguousarray(w[:, :hidden]), f)
-        p += np.matmul(np.ascontiguousarray(w[:, hidden:]), g)
-        p += b
+        p = np.matmul(np.ascontiguousarray(w[:hidden].T), f)
+        p += np.matmul(np.ascontiguousarray(w[hidden:].T), g)
+        p += b[:, None]
         p -= p.max(axis=1, keepdims=True)
         np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
@@ -130,10 +131,10 @@ class Network:
         ds[:, y, lanes] -= 1
         ds *= there[:, None, :] / total
         hidden = f.shape[1]
-        over = lambda h: np.einsum("tcl,thl->ch", ds, h, optimize=True)
-        de_f, du_f = self.backward(x, there, keep[0], np.matmul(w[:, :hidden].T, ds), self.weights[1])
-        de_g, du_g = self.backward(x, there, keep[1], np.matmul(w[:, hidden:].T, ds), self.weights[3])
-        return loss, [de_f, du_f, de_g, du_g, np.concatenate([over(f), over(g)], axis=1), ds.sum(axis=(0, 2))[:, None]]
+        over = lambda h: np.tensordot(h, ds, ([0, 2], [0, 2]))
+        de_f, du_f = self.backward(x, there, keep[0], np.matmul(w[:hidden], ds), self.weights[1])
+        de_g, du_g = self.backward(x, there, keep[1], np.matmul(w[hidden:], ds), self.weights[3])
+        return loss, [de_f, du_f, de_g, du_g, np.concatenate([over(f), over(g)]), ds.sum(axis=(0, 2))]
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """For each text the mean of its positions' probabilities; zeros for an empty one."""
@@ -143,7 +144,7 @@ class Network:
         order = np.argsort(end - begin, kind="stable")
         for k in range(0, len(order), TOGETHER):
             some = order[k : k + TOGETHER]
-            x, there, at = padded(flat, begin[some], end[some])
+            x, there, at = lanes_at(flat, begin[some], end[some])
             own = there & (at >= first[some]) & (at < last[some])
             _, _, p = self.positions(x, there)
             np.add.at(sums, owner[some], np.einsum("tcl,tl->lc", p, own.astype(np.float32)))
@@ -162,14 +163,21 @@ def lanes_of(lengths: list[int], lane: int = LANE, context: int = CONTEXT) -> tu
     return owner, first, last, np.maximum(first - context, low), np.minimum(last + context, high)
 
 
-def padded(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each text as a lane of its own, and where its bytes are: (length, lanes) each."""
+    ends = np.cumsum([len(t) for t in texts])
+    x, there, _ = lanes_at(np.frombuffer(b"".join(texts), np.uint8), ends - [len(t) for t in texts], ends)
+    return x, there
+
+
+def lanes_at(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes begin..end of each lane, whether they are there, and their places; (length, lanes) each."""
     at = begin + np.arange((end - begin).max())[:, None]
     there = at < end
     return flat[np.where(there, at, 0)].astype(np.intp), there, at
 
 
-def train(sample: list[tuple[str, bytes]], epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> Network | None:
+def train(sample: list[tuple[str, bytes]], steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> Network | None:
     """From (language, text). The same sample, in whatever order, gives the same network."""
     sample = sorted((lang, text) for lang, text in sample if text)
     langs = sorted({lang for lang, _ in sample})
@@ -181,15 +189,14 @@ def train(sample: list[tuple[str, bytes]], epochs: int = EPOCHS, batch: int = BA
     y = np.array([langs.index(lang) for lang, _ in sample])[owner]
     r = np.random.default_rng(seed)
     m, v, step = [np.zeros_like(w) for w in net.weights], [np.zeros_like(w) for w in net.weights], 0
-    total = epochs * -(-len(owner) // batch)
-    for _ in range(epochs):
+    while step < steps:
         order = r.permutation(len(owner))
         for k in range(0, len(order), batch):
             some = order[k : k + batch]
-            x, there, _ = padded(flat, begin[some], end[some])
+            x, there, _ = lanes_at(flat, begin[some], end[some])
             _, grads = net.gradients(x, there, y[some])
             step += 1
-            now = rate * (1 - 0.9 * step / total)
+            now = rate * (1 - 0.9 * min(1.0, step / steps))
             for w, g, a, b in zip(net.weights, grads, m, v, strict=True):
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)

@@ -80,8 +80,10 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM d LEFT JOIN n USING (doc_id) JOIN comp USING (doc_id)
 """
 
+# Each source's target to the word: whole passes over its shuffled documents, then a part of one. No slot is in it: all slots together
+# hold just these words.
 MIX_SQL = r"""
-WITH RECURSIVE r AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH r AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM r GROUP BY source),
 s AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS nth FROM s0),
 sw AS (SELECT *, CAST((nth - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS cap FROM s),
@@ -90,18 +92,10 @@ f AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, nth ROWS BETWEEN
       row_number() OVER (ORDER BY cap / weight, nth) AS place FROM sw),
 l AS (SELECT arg_min((everything - filled) / unfilled, place) AS level FROM f WHERE (everything - filled) / unfilled * weight <= cap),
 t AS (SELECT source, nth, source_size, least(cap, level * weight) AS target FROM f, l),
-b AS (SELECT *, CAST(round(sum(target) OVER (ORDER BY nth) / (SELECT sum(target) FROM t) * 2147483648) AS BIGINT) AS hi FROM t),
-bb AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY nth), 0) AS lo FROM b),
-p AS (SELECT k AS slot, ((k % 2147483648) * 1327217885) % 2147483648 AS pt FROM range(0, (SELECT CAST(ceil(sum(size) / 256.0) AS BIGINT) FROM r)) x(k)),
-c AS (SELECT nth, CAST(ceil(source_size / 256.0) AS BIGINT) AS blocks, row_number() OVER (PARTITION BY nth ORDER BY slot) - 1 AS rank FROM p JOIN bb ON pt >= lo AND pt < hi),
-u AS (SELECT nth, rank % blocks AS block, count(*) AS times FROM c WHERE rank < blocks * 3 GROUP BY ALL),
-q AS (SELECT r.doc_id, r.size, t.nth, t.source_size, t.target,
-      sum(r.size) OVER (PARTITION BY t.nth ORDER BY md5('mix:' || coalesce(r.doc_id, -1)), r.doc_id, r.size ROWS UNBOUNDED PRECEDING) - r.size AS pt
-      FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
-e AS (SELECT *, unnest(range(CAST(floor(pt / 256.0) AS BIGINT), CAST(floor((pt + size - 1) / 256.0) AS BIGINT) + 1)) AS block FROM q WHERE size > 0),
-k AS (SELECT e.doc_id, e.size, e.nth, e.pt, e.source_size, e.target, CAST(sum((least(pt + size, (e.block + 1) * 256) - greatest(pt, e.block * 256)) * coalesce(times, 0)) AS BIGINT) AS taken
-      FROM e LEFT JOIN u ON e.nth = u.nth AND e.block = u.block GROUP BY ALL)
-SELECT doc_id, size, source_size, target, taken FROM k UNION ALL SELECT doc_id, size, source_size, target, CAST(0 AS BIGINT) FROM q WHERE size = 0
+o AS (SELECT r.doc_id, r.size, t.source_size, t.target, least(CAST(round(t.target) AS BIGINT), t.source_size * 3) AS words,
+      sum(r.size) OVER (PARTITION BY t.nth ORDER BY CAST('0x' || substr(md5('mix:' || coalesce(r.doc_id, -1)), 1, 15) AS BIGINT), r.doc_id, r.size ROWS UNBOUNDED PRECEDING) - r.size AS pt
+      FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE CAST(size * (words // source_size) + greatest(0, least(size, words % source_size - pt)) AS BIGINT) END AS taken FROM o
 """
 
 

@@ -6,53 +6,49 @@ several), and windows with VOTES votes are the document's features. Their hashes
 features in each. Two chains are compared filter by filter: shared bits beyond what chance would share, as a part of the most that could
 be shared; each filter of the shorter chain counts with its best partner.
 
-Windows of hardly any entropy (under LEAST) are passed over; a text without features then has its most voted windows. A text of under
-SHORT code points has too few windows to rank: all its windows of NARROW bytes (or the text, if shorter) are its features. Where only
-one of two compared texts is that short, the windows of NARROW bytes of both are compared. An empty text has an empty fingerprint, and
-only equal fingerprints are alike then.
+Windows of hardly any entropy (under LEAST) are passed over; a text in which no window has VOTES votes has its most voted ones, and its
+first if none has any. Texts shorter than a window are filled up with zero bytes to one. Texts of all lengths so have features of one
+kind. An empty text has an empty fingerprint, and only equal fingerprints are alike then.
 
-Nulls: a null text is empty; null ids come last in the order of ids. Rows with equal ids are ordered by text. The document after the
-last is the first, and a lone document is its own neighbour.
+Nulls: a null text is empty; null ids come last in the order of ids. Rows with equal ids are ordered by a hash of their texts. The
+document after the last is the first, and a lone document is its own neighbour. Repeated rows are rows of their own; empty tables give
+empty results; other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm._base import mix64
 
-WIDTH, RUN, VOTES, LEAST, SCALE = 64, 64, 16, 100, 1000
-SHORT, NARROW = 400, 16
+WIDTH, RUN, VOTES, LEAST, SCALE = 16, 16, 4, 100, 1000
 BITS, HASHES, FULL, CUTOFF = 2048, 5, 160, 0.1
 #: Bytes of text whose windows are computed together, and windows that one lane passes over.
 TOGETHER, LANE = 1_500_000, 384
-#: Blocks of neighbouring ids, and the cells by which ids are dealt to them.
-PER_BLOCK, MOST_BLOCKS, CELLS = 500, 20_000, 1024
+#: Bytes of text in a block of rows that are neighbours in the order of ids, and such blocks in a task.
+PER_BLOCK, PER_TASK = 8_000_000, 4
 
-_terms = np.array([0] + [round(c * np.log2(c) * 4096) for c in range(1, WIDTH + 1)], dtype=np.int32)
-_less = np.concatenate([[0], _terms[:-1] - _terms[1:]]).astype(np.int32)
-_more = np.concatenate([_terms[1:] - _terms[:-1], [0]]).astype(np.int32)
-#: From the sum of c * log2(c), in 4096ths, to thousandths of the greatest entropy.
-_top = _terms[WIDTH]
-
-
-def entropies(flat: np.ndarray) -> np.ndarray:
-    """Of each window of `flat` the entropy, 0 to SCALE. Lanes of windows advance together, each keeping its bytes' counts."""
-    n = len(flat) - WIDTH + 1
+def entropies(flat: np.ndarray, width: int = 64) -> np.ndarray:
+    """Of each window of `width` bytes the entropy, 0 to SCALE. Lanes of windows advance together, each keeping its bytes' counts."""
+    n = len(flat) - width + 1
     if n <= 0:
         return np.zeros(0, np.int16)
+    # The sum of c * log2(c) over bytes' counts c, in 4096ths, and what it changes by as a count falls or rises.
+    terms = np.array([0] + [round(c * np.log2(c) * 4096) for c in range(1, width + 1)], dtype=np.int32)
+    less, more, top = np.concatenate([[0], terms[:-1] - terms[1:]]).astype(np.int32), np.concatenate([terms[1:] - terms[:-1], [0]]).astype(np.int32), terms[width]
     lanes = -(-n // LANE)
-    text = np.zeros(lanes * LANE + WIDTH, np.uint8)
+    text = np.zeros(lanes * LANE + width, np.uint8)
     text[: len(flat)] = flat
     # Column j holds byte j of every lane.
-    lane = np.lib.stride_tricks.as_strided(text, (lanes, LANE + WIDTH - 1), (LANE, 1)).T.copy()
+    lane = np.lib.stride_tricks.as_strided(text, (lanes, LANE + width - 1), (LANE, 1)).T.copy()
     base = np.arange(lanes, dtype=np.int32) * 256
     counts = np.zeros(lanes * 256, np.uint8)
     total = np.zeros(lanes, np.int32)
@@ -61,20 +57,25 @@ def entropies(flat: np.ndarray) -> np.ndarray:
     def add(column: np.ndarray) -> None:
         at = base + column
         c = counts[at]
-        np.add(total, _more[c], out=total)
+        np.add(total, more[c], out=total)
         counts[at] = c + 1
 
-    for j in range(WIDTH):
+    for j in range(width):
         add(lane[j])
     out[0] = total
     for j in range(1, LANE):
         at = base + lane[j - 1]
         c = counts[at]
-        np.add(total, _less[c], out=total)
+        np.add(total, less[c], out=total)
         counts[at] = c - 1
-        add(lane[j + WIDTH - 1])
+        add(lane[j + width - 1])
         out[j] = total
-    return ((_top - out.T.reshape(-1)[:n]) * SCALE // _top).astype(np.int16)
+    return ((top - out.T.reshape(-1)[:n]) * SCALE // top).astype(np.int16)
+
+
+def filled(text: str) -> bytes:
+    """Its bytes, at least a window of them if there are any."""
+    return text.encode().ljust(WIDTH, b"\0") if text else b""
 
 
 def gather(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -94,7 +95,7 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = np.frombuffer(b"".join(texts), np.uint8)
     starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     e = np.full(len(flat), -1, np.int16)
-    found = entropies(flat)
+    found = entropies(flat, WIDTH)
     e[: len(found)] = found
     for end in starts[1:]:
         e[max(0, end - WIDTH + 1) : end] = -1
@@ -104,7 +105,7 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def count_entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SCALE + 1, np.int64)
     for batch in batches:
-        texts = [(t.as_py() or "").encode() for t in batch.column(0)]
+        texts = [filled(t.as_py() or "") for t in batch.column(0)]
         for a, b in gather(texts):
             e = windows(texts[a:b])[2]
             total += np.bincount(e[e >= 0], minlength=SCALE + 1)
@@ -138,17 +139,10 @@ def hashed(found: np.ndarray) -> np.ndarray:
     return h
 
 
-def narrow_hashes(raw: bytes) -> np.ndarray:
-    """The hashes of the distinct windows of NARROW bytes, in order."""
-    if len(raw) < NARROW:
-        return np.array([xxhash.xxh3_64_intdigest(raw)] if raw else [], np.uint64)
-    return in_order(hashed(np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), NARROW)))
-
-
 def feature_hashes(originals: list[str], rank: np.ndarray) -> list[np.ndarray]:
     """The hashes of each text's distinct features, in order."""
     out: list[np.ndarray] = []
-    texts = [t.encode() for t in originals]
+    texts = list(map(filled, originals))
     for a, b in gather(texts):
         flat, starts, e = windows(texts[a:b])
         worst = np.int32(SCALE + 1)
@@ -168,10 +162,7 @@ def feature_hashes(originals: list[str], rank: np.ndarray) -> list[np.ndarray]:
         h = hashed(wide[chosen])
         for i in range(b - a):
             own = h[bounds[i] : bounds[i + 1]]
-            raw = texts[a + i]
-            if raw and len(originals[a + i]) < SHORT:
-                own = narrow_hashes(raw)
-            elif raw and not len(own):
+            if texts[a + i] and not len(own):
                 most = votes[starts[i] : starts[i + 1]]
                 own = hashed(wide[starts[i] + (np.flatnonzero(most == most.max()) if most.max() else np.zeros(1, np.int64))])
             out.append(in_order(own))
@@ -206,13 +197,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return min(1.0, total / len(x))
 
 
-def alike(text: str, own: np.ndarray, other: str, its: np.ndarray) -> float:
-    """The likeness of two texts with these chains, by features of one kind."""
-    if len(own) and len(its) and (len(text) < SHORT) != (len(other) < SHORT):
-        own, its = (own, chain(narrow_hashes(other.encode()))) if len(text) < SHORT else (chain(narrow_hashes(text.encode())), its)
-    return likeness(own, its)
-
-
 def written_out(filters: np.ndarray) -> str:
     return f"{len(filters)}:{base64.b64encode(filters.tobytes()).decode()}" if len(filters) else ""
 
@@ -224,34 +208,31 @@ def edited(text: str, following: str) -> str:
 
 
 def in_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, text, block, extra: each block's rows have neighbouring ids, and the row after its last one follows it as `extra`.
-
-    Ids are dealt by equal cells of their range, each cut as finely as its count asks for; driver and broadcasts hold CELLS counts and
-    MOST_BLOCKS ids at most."""
-    lowest = -(2**63)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("at", F.coalesce("doc_id", F.lit(lowest)))
-    n, lo, hi = rows.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    lo, hi = lo or 0, hi or 0
-    width = max(1.0, (float(hi) - float(lo) + 1) / CELLS)
-    offset = F.col("at").cast("double") - float(lo)
-    cell = F.when(F.col("doc_id").isNull(), 0).otherwise(F.least(F.lit(CELLS - 1), F.floor(offset / width))).cast("int")
-    per = max(PER_BLOCK, -(-n // (MOST_BLOCKS - CELLS)))
-    counts = {r["cell"]: r["count"] for r in rows.select(cell.alias("cell")).groupBy("cell").count().collect()}
-    parts = [max(1, -(-counts.get(c, 0) // per)) for c in range(CELLS)]
-    bases = [sum(parts[:c]) for c in range(CELLS)]
-    part = F.element_at(F.lit(parts), F.col("cell") + 1)
-    within = F.least(part - 1, F.greatest(F.lit(0), F.floor((offset - F.col("cell") * width) * part / width)))
-    dealt = rows.withColumn("cell", cell).withColumn("block", F.when(F.col("doc_id").isNull(), -1).otherwise(F.element_at(F.lit(bases), F.col("cell") + 1) + within).cast("int"))
-    tops = sorted((r["block"], r["top"]) for r in dealt.groupBy("block").agg(F.max("at").alias("top")).collect())
-    # The highest row of a block follows the lowest of the next higher block; the highest of all follows the lowest of all.
-    follows = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)]
-    flags = docs.sparkSession.createDataFrame(follows, "at long, also int")
-    both = dealt.join(F.broadcast(flags), "at", "left")
-    own = F.struct(F.col("block"), F.lit(False).alias("extra"))
-    also = F.struct(F.col("also").alias("block"), F.lit(True).alias("extra"))
-    both = both.withColumn("to", F.explode(F.when(F.col("also").isNull(), F.array(own)).otherwise(F.array(own, also))))
-    return both.select("doc_id", "text", "at", F.col("to.block").alias("block"), F.col("to.extra").alias("extra"))
+    """block, extra, down, tie, doc_id, text: each block's rows are neighbours in the order of (down, tie), which is that of falling ids;
+    the row after its last one follows it as `extra`.
+
+    The blocks' borders are quantiles of that order, one pair of numbers a block, found by range-partitioning the pairs alone; so ids may
+    lie anywhere, and many rows may share one."""
+    order = F.bitwise_not(F.coalesce("doc_id", F.lit(-(2**63))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("down", order).withColumn("tie", F.xxhash64("text"))
+    size = rows.agg(F.sum(F.octet_length("text") + 100)).first()[0] or 0
+    wanted = max(1, -(-size // PER_BLOCK))
+    firsts = rows.select("down", "tie").repartitionByRange(wanted, "down", "tie").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("down", "tie")).alias("first")).collect()
+    borders = sorted((r["first"]["down"], r["first"]["tie"]) for r in firsts)
+
+    @F.pandas_udf("array<int>")
+    def places(down: pd.Series, tie: pd.Series) -> pd.Series:
+        """The row's block; if it is a block's first, also the block before, as -1 - its number."""
+        out = []
+        for key in zip(down.tolist(), tie.tolist(), strict=True):
+            block = bisect_right(borders, key) - 1
+            out.append([block, -1 - (block - 1) % len(borders)] if key == borders[block] else [block])
+        return pd.Series(out)
+
+    rows = rows.withColumn("to", F.explode(places("down", "tie")))
+    to = F.col("to")
+    return rows.select(F.when(to < 0, -1 - to).otherwise(to).alias("block"), (to < 0).alias("extra"), "down", "tie", "doc_id", "text").repartition(max(1, -(-len(borders) // PER_TASK)), "block")
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_text", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -269,7 +250,7 @@ def fingerprint_rows(batches: Iterator[pa.RecordBatch], rank: np.ndarray, keep_t
         changed = [edited(rows[i][1], rows[j][1]) for i, j in pairs]
         others = [chain(f) for f in feature_hashes(changed, rank)]
         last = changed if keep_text else [hashlib.sha256(c.encode()).hexdigest() for c in changed]
-        return pa.record_batch([[rows[i][0] for i, _ in pairs], [len(rows[i][1]) for i, _ in pairs], last, [written_out(prints[i]) for i, _ in pairs], [written_out(o) for o in others], [alike(rows[i][1], prints[i], c, o) for (i, _), c, o in zip(pairs, changed, others, strict=True)], [alike(rows[i][1], prints[i], rows[j][1], prints[j]) for i, j in pairs]], schema=OUT)
+        return pa.record_batch([[rows[i][0] for i, _ in pairs], [len(rows[i][1]) for i, _ in pairs], last, [written_out(prints[i]) for i, _ in pairs], [written_out(o) for o in others], [likeness(prints[i], o) for (i, _), o in zip(pairs, others, strict=True)], [likeness(prints[i], prints[j]) for i, j in pairs]], schema=OUT)
 
     size = 0
     for batch in batches:
@@ -288,5 +269,5 @@ def fingerprint_rows(batches: Iterator[pa.RecordBatch], rank: np.ndarray, keep_t
 def fingerprints(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_chars, edited_text (its SHA-256 unless keep_text), fingerprint, edited_fingerprint, near_edited, near_next."""
     rank = ranks(docs)
-    rows = in_blocks(docs).repartition("block").sortWithinPartitions("block", "extra", F.desc("at"), "text").select("doc_id", "text", "block", "extra")
+    rows = in_blocks(docs).sortWithinPartitions("block", "extra", "down", "tie").select("doc_id", "text", "block", "extra")
     return rows.mapInArrow(lambda it: fingerprint_rows(it, rank, keep_text), "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
