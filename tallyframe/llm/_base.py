@@ -146,12 +146,8 @@ def ranked(df: DataFrame, order: list[Column | str], name: str) -> tuple[DataFra
     places before each partition are a table of as many rows as there are partitions."""
     (at,) = fresh(df, "_at")
     parts = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), name)
-    counts = sorted((r["p"], r["n"]) for r in parts.groupBy(F.shiftright(at, 33).alias("p")).agg(F.count("*").alias("n")).collect())
-    before, total = [], 0
-    for p, n in counts:
-        before.append((p, total))
-        total += n
-    table = df.sparkSession.createDataFrame(before, "_part long, _before long")
+    counts = parts.groupBy(F.shiftright(at, 33).alias("_part")).agg(F.count("*").alias("_n"))
+    table = counts.select("_part", F.expr("coalesce(sum(_n) over (order by _part rows between unbounded preceding and 1 preceding), 0)").alias("_before"))
     joined = parts.join(F.broadcast(table), F.shiftright(at, 33) == F.col("_part"))
     place = F.col("_before") + F.col(at).bitwiseAND((1 << 33) - 1)
     return joined.withColumn("_place", place).drop(at, "_part", "_before"), "_place"
