@@ -1,0 +1,92 @@
+"""Registered queries on cases stated in the query itself: their SQL is the answer, worked out by hand, and not a second form of the rule."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyframe.operators import results_text as R
+from tallyframe.plans.catalog import query
+
+
+def given(t, names: str, *rows: tuple) -> DataFrame:
+    """A table of these rows; values are written as SQL literals."""
+    literal = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else f"{x}D" if isinstance(x, float) else "'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+    return t._spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)} AS v({names})")
+
+
+def answer(names: str, *rows: tuple) -> str:
+    """The SQL of a table of these rows."""
+    literal = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"{x}::DOUBLE" if isinstance(x, float) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) v({names})"
+
+
+PAGE = """Welcome to the 12th annual gathering
+ATTENDEES:
+Dan North (Intermediate: Sick 1)
+175 Mill Road
+Open Singles Net:
+1. Ana Ruiz
+2. Bo Lindqvist (SWE)
+9.-12. Cy Young
+Open Doubles Net - Initial Seeding
+1. Wrong Seed / Other Seed
+Open Doubles Net - Final Results
+1. Ana Ruiz & Bo Lindqvist
+2) Dee Fox / Eli Hart/Gus Poe
+3rd Hal Ives and Ida Jay
+OSR
+Kim Lee Oak
+2nd Place
+Lou Mae Nix
+& continued on the next page
+Intermediate Shred: Max Orr
+Women's Circle 1. Pia Quinn
+Sick 3
+1. Rex Stone
+1. rex stone
+2. Pixie > Whirl > Blender
+3. Sue Tate and the rest was in my view great
+4. 19:30 start
+100. Too Far
+"""
+
+
+@query(answer(
+    "event_id, line_no, division, category, place, competitor_type, player1, player2, confidence",
+    (1, 5, "Open Singles Net", "net", 1, "player", "Ana Ruiz", "", "high"),
+    (1, 6, "Open Singles Net", "net", 2, "player", "Bo Lindqvist (SWE)", "", "high"),
+    (1, 7, "Open Singles Net", "net", 9, "player", "Cy Young", "", "high"),
+    (1, 11, "Open Doubles Net", "net", 1, "team", "Ana Ruiz", "Bo Lindqvist", "high"),
+    (1, 12, "Open Doubles Net", "net", 2, "team", "Dee Fox", "Eli Hart", "high"),
+    (1, 13, "Open Doubles Net", "net", 3, "team", "Hal Ives", "Ida Jay", "high"),
+    (1, 15, "Open Singles Routines", "freestyle", 1, "player", "Kim Lee Oak", "", "high"),
+    (1, 17, "Open Singles Routines", "freestyle", 2, "player", "Lou Mae Nix", "", "high"),
+    (1, 19, "Intermediate Shred", "freestyle", 1, "player", "Max Orr", "", "high"),
+    (1, 20, "Women's Circle", "freestyle", 1, "player", "Pia Quinn", "", "high"),
+    (1, 22, "Sick 3", "freestyle", 1, "player", "Rex Stone", "", "high"),
+    (2, 0, "Unknown", "unknown", 1, "player", "Solo Runner", "", "medium"),
+    (2, 1, "Unknown", "unknown", 2, "team", "Odd {Name", "Other One", "low"),
+))
+def parsed_results(t):
+    return R.parse_results(given(t, "event_id, text", (1, PAGE), (2, "1. Solo Runner\n2. Odd {Name & Other One"), (3, ""), (4, None)))
+
+
+@query(answer(
+    "name, event_type, category",
+    ("Open Singles Net", None, "net"), ("Open Net Routines", None, "net"), ("Shred 30", None, "freestyle"), ("Golf Open", None, "golf"), ("Timed Consecutives", None, "sideline"), ("Individual Overall", None, "overall"),
+    ("Open Doubles", "net", "net"), ("Open Doubles", "worlds", "net"), ("Open", "worlds", "unknown"), ("Open", "mixed", "net"), ("Unknown", "mixed", "unknown"), ("Open", "social", "unknown"), ("", "net", "unknown"), (None, "net", "unknown"),
+))
+def division_categories(t):
+    names = given(t, "name, event_type", ("Open Singles Net", None), ("Open Net Routines", None), ("Shred 30", None), ("Golf Open", None), ("Timed Consecutives", None), ("Individual Overall", None), ("Open Doubles", "net"), ("Open Doubles", "worlds"), ("Open", "worlds"), ("Open", "mixed"), ("Unknown", "mixed"), ("Open", "social"), ("", "net"), (None, "net"))
+    return names.withColumn("category", R.division_category(F.col("name"), F.col("event_type")))
+
+
+@query(answer(
+    "id, event_type",
+    (1, "worlds"), (2, "golf"), (3, "mixed"), (4, "net"), (5, "freestyle"), (6, "freestyle"), (7, "social"), (8, "net"), (9, "mixed"), (10, "social"),
+))
+def event_type_inference(t):
+    events = given(t, "id, event_name, results_raw", (1, "World Footbag Championships 2001", "golf"), (2, "Spring Meet", ""), (3, "Spring Meet", ""), (4, "Shred Meet", ""), (5, "Meet", None), (6, "Winter Jam", ""), (7, "Four Square Day", ""), (8, "Meet", "Ann 21-16, 21-11 Bob"), (9, "Summer Open", ""), (10, None, None))
+    kinds = given(t, "id, division_category", (2, "golf"), (3, "net"), (3, "freestyle"), (3, "golf"), (4, "net"), (5, "freestyle"), (9, "unknown"))
+    return R.event_types(events, kinds, "id")
