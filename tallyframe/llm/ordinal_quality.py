@@ -1,11 +1,11 @@
 """Quality by ordinal regression: P(grade <= k) = sigmoid(threshold_k - z), with one z for all grades and ordered thresholds.
 
-A text is cut into pieces, runs of at most PIECE bytes without white space, so that texts without spaces have many pieces too. z is
-linear in hashed features of the pieces: the mean over them of a weight for the piece's shape (letter case, digits, marks), plus the sum
-over distinct pieces of a weight for the piece, over the root of their number. Grades: 0 where quality is 0, 1 where it is 1 but the text
+A text's words are cut into pieces of at most PIECE bytes, so that texts without spaces have many pieces too. z is linear in hashed
+features of the pieces: the mean over them of a weight for the piece's shape (letter case, digits, marks), plus the sum over the pieces of
+distinct words of a weight for the piece, over the root of their number. Grades: 0 where quality is 0, 1 where it is 1 but the text
 toxic, 2 otherwise. The model is fitted on the SAMPLE labelled rows at most whose ids hash lowest; fitting and scoring read texts whole.
 
-A document is kept if its tail probability P(grade >= 1) is CUT at least. Nulls and texts without pieces: grade and tail 0, not kept.
+A document is kept if its tail probability P(grade >= 1) is CUT at least. Nulls and texts without words: grade and tail 0, not kept.
 With no labels at all nothing is rejected (tail 1). Rows without a quality label are not learned from; a document labelled twice has its
 lowest grade, an id with several texts is learned from by the least of them. Repeated rows get equal results; empty tables give empty
 results. `grade_documents` reads doc_id and text only; `keep_good` passes on every column, whatever its name.
@@ -13,6 +13,7 @@ results. `grade_documents` reads doc_id and text only; `keep_good` passes on eve
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,13 +32,16 @@ BITS, SAMPLE, CUT, PIECE = 14, 3000, 0.5, 16
 ROUNDS, RATE, RIDGE = 250, 0.1, 1e-4
 #: Letters become a or A, digits 0; marks stay.
 SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
-_pieces = re.compile(rb"\S{1,%d}" % PIECE).findall
 _again = re.compile(rb"(.)\1+", re.DOTALL)
 _edges = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
-def pieces_of(text: str | None) -> list[bytes]:
-    return _pieces((text or "").encode())
+def pieces_of(word: bytes) -> list[bytes]:
+    return [word[i : i + PIECE] for i in range(0, len(word), PIECE)]
+
+
+def count_pieces(words) -> int:
+    return len(words) + sum((len(w) - 1) // PIECE for w in words if len(w) > PIECE)
 
 
 def shape_of(piece: bytes) -> int:
@@ -50,12 +54,12 @@ def word_of(piece: bytes) -> int:
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Columns and values: shapes first, then words."""
-    pieces = pieces_of(text)
-    if not pieces:
+    words = (text or "").encode().split()
+    if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    shapes = np.bincount([shape_of(w) for w in pieces], minlength=1 << BITS) / len(pieces)
-    distinct = set(pieces)
-    kinds = np.bincount([word_of(w) for w in distinct], minlength=1 << BITS) / np.sqrt(len(distinct))
+    distinct = set(words)
+    shapes = np.bincount([shape_of(p) for w in words for p in pieces_of(w)], minlength=1 << BITS) / count_pieces(words)
+    kinds = np.bincount([word_of(p) for w in distinct for p in pieces_of(w)], minlength=1 << BITS) / np.sqrt(count_pieces(distinct))
     both = np.concatenate([shapes, kinds])
     columns = np.flatnonzero(both)
     return columns.astype(np.int32), both[columns].astype(np.float32)
@@ -139,19 +143,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal | N
 
 
 class Scorer:
-    """z of texts; weights of recent pieces are remembered."""
+    """z of texts; weights of recent words are remembered."""
 
     def __init__(self, model: Ordinal):
         shapes, words = model.weights[: 1 << BITS], model.weights[1 << BITS :]
-        self.shape = Bounded(lambda w: float(shapes[shape_of(w)]), 300_000)
-        self.word = Bounded(lambda w: float(words[word_of(w)]), 300_000)
+        self.shape = Bounded(lambda w: float(sum(shapes[shape_of(p)] for p in pieces_of(w))), 300_000)
+        self.word = Bounded(lambda w: float(sum(words[word_of(p)] for p in pieces_of(w))), 300_000)
 
     def z(self, text: str | None) -> float | None:
-        pieces = pieces_of(text)
-        if not pieces:
+        words = (text or "").encode().split()
+        if not words:
             return None
-        distinct = set(pieces)
-        return sum(map(self.shape.__getitem__, pieces)) / len(pieces) + sum(sorted(map(self.word.__getitem__, distinct))) / len(distinct) ** 0.5
+        distinct = set(words)
+        return sum(map(self.shape.__getitem__, words)) / count_pieces(words) + math.fsum(map(self.word.__getitem__, distinct)) / count_pieces(distinct) ** 0.5
 
 
 def scorer(model: Ordinal) -> Scorer:
