@@ -67,7 +67,7 @@ def _month(col: Column) -> Column:
 
 
 def date_range(col: Column) -> Column:
-    """struct(start, end) as ISO text from 'March 15, 2008', 'August 3-9, 2019' or 'July 31-August 6, 2011'; empty texts otherwise."""
+    """struct(start, end) as ISO text from 'May 4, 1999', 'May 4-6, 1999' or 'May 30-June 2, 1999'; empty texts otherwise."""
     part = lambda k: F.regexp_extract(col, r"^\s*([A-Za-z]+)\s+(\d{1,2})(?:\s*-\s*(?:([A-Za-z]+)\s+)?(\d{1,2}))?\s*,\s*(\d{4})\s*$", k)
     number = lambda k: F.try_to_number(F.nullif(part(k), F.lit("")), F.lit("9999")).cast("int")
     day = lambda m, d: F.coalesce(F.date_format(F.try_to_date(F.concat_ws("-", number(5), m, d), "yyyy-M-d"), "yyyy-MM-dd"), F.lit(""))
@@ -90,8 +90,64 @@ def place_suffix(col: Column) -> Column:
 
 
 def seconds(col: Column) -> Column:
-    """h:m:s or m:s as seconds."""
-    return F.aggregate(F.split(col, ":"), F.lit(0), lambda acc, x: acc * 60 + x.cast("int"))
+    """h:m:s or m:s as seconds; null where a part is no number."""
+    return F.aggregate(F.split(col, ":"), F.lit(0), lambda acc, x: acc * 60 + F.try_to_number(F.trim(x), F.lit("999999")).cast("int"))
+
+
+@F.pandas_udf(T.StringType())
+def compose(s: pd.Series) -> pd.Series:
+    """Compatibility forms composed (NFKC)."""
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+def match_key(col: Column) -> Column:
+    """Composed, lower case, trimmed, single spaces."""
+    return F.trim(F.regexp_replace(F.lower(compose(col)), r"\s+", " "))
+
+
+def honour_key(col: Column) -> Column:
+    """A name for the lookup of honours: letters that have no decomposition are written out, marks dropped, lower case, single spaces."""
+    return F.trim(F.regexp_replace(F.lower(fold_marks(F.translate(col, "łŁøØđĐ", "lLoOdD"))), r"\s+", " "))
+
+
+def title_if_shouted(col: Column) -> Column:
+    """Title case for a name in capitals alone; others as they are."""
+    return F.when((F.upper(col) == col) & (F.lower(col) != col), F.initcap(F.lower(col))).otherwise(col)
+
+
+def without_aka(col: Column) -> Column:
+    """Without `aka ...`, in brackets or not."""
+    return F.trim(F.regexp_replace(col, r"(?i)\s*[\(\[]?\baka\b.*$", ""))
+
+
+def year_in(col: Column) -> Column:
+    """The first year from 1970 to 2029 in a text."""
+    return F.try_to_number(F.nullif(F.regexp_extract(col, r"(?<!\d)(19[7-9]\d|20[0-2]\d)(?!\d)", 1), F.lit("")), F.lit("9999")).cast("int")
+
+
+def location(col: Column) -> Column:
+    """struct(city, region, country) of "City, Region, Country", "City, Country" or "Country"; empty texts for what is not there."""
+    parts = F.filter(F.transform(F.split(F.coalesce(col, F.lit("")), ","), F.trim), lambda x: x != "")
+    n, at = F.size(parts), lambda i: F.coalesce(F.try_element_at(parts, F.lit(i)), F.lit(""))
+    return F.struct(F.when(n > 1, at(1)).otherwise("").alias("city"), F.when(n > 2, F.array_join(F.slice(parts, F.lit(2), F.greatest(n - 2, F.lit(0))), ", ")).otherwise("").alias("region"), at(-1).alias("country"))
+
+
+def sha1_key(prefix: str, col: Column) -> Column:
+    """A short key that depends on the text alone."""
+    return F.concat(F.lit(prefix), F.substring(F.sha1(F.encode(col, "UTF-8")), 1, 12))
+
+
+def name_pattern(col: Column) -> Column:
+    """What kind of text an unresolved name is."""
+    s = F.trim(col)
+    return F.when(F.coalesce(s, F.lit("")) == "", "blank").when(s.rlike(r"[&/+]|(?i)\sand\s"), "several").when(s.rlike(r"\d"), "digits").when(s.rlike(r"[()\[\]]"), "brackets").when(s.rlike(r"^[A-Z]\.?\s+\S"), "initial_first").when(s.rlike(r"^\S+\s+[A-Z]\.?$"), "initial_last").when(~s.contains(" "), "one_word").otherwise("full_name")
+
+
+def repaired(col: Column) -> Column:
+    """UTF-8 that was read as Latin-1 is read anew; texts that are no such thing stay."""
+    looks = col.rlike("[Â-ô][\u0080-¿]") & ~col.rlike("[^\u0000-ÿ]")
+    back = F.encode(F.when(looks, col), "ISO-8859-1").cast("string")
+    return F.when(F.coalesce(looks & F.is_valid_utf8(back), F.lit(False)), back).otherwise(col)
 
 
 def json_array(col: Column, kind: str = "string") -> Column:

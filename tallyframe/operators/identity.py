@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.operators.windows import placed
+
 
 def passes(people: DataFrame, known: DataFrame, aliases: DataFrame) -> DataFrame:
     """(id, status, match): ALIAS, else EXACT name, else WEAK (same first initial and surname, if only one), else CONFLICT or NONE.
@@ -62,7 +64,8 @@ def most_referenced(df: DataFrame, name: str, pid: str) -> DataFrame:
     return n.select(pid, F.first(pid).over(w).alias("kept"))
 
 
-def unique_keys(df: DataFrame, base: str, order: list[str]) -> DataFrame:
-    """Adds `key`: the base for the first row in order, base_2, base_3 and so on for the others."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    return df.withColumn("key", F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), n.cast("string"))))
+def unique_keys(df: DataFrame, base: str, order: list[str], deal: Column | None = None) -> DataFrame:
+    """Adds `key`: the base for the first row in order, base_2, base_3 and so on for the others. `deal` splits bases with many rows: it
+    rises with the order, and rows are numbered within it and over it."""
+    out = placed(df, [base], F.lit(0) if deal is None else deal, order, "_n")
+    return out.withColumn("key", F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), F.col("_n").cast("string")))).drop("_n")

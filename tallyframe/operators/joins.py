@@ -66,9 +66,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str, fill_only: bool = False) ->
     return o.join(n, key, "full_outer").select(key, *[pick(c).alias(c) for c in names])
 
 
-def insert_ignore(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Keeps what is there; of new rows only those whose key is not."""
-    return old.unionByName(new.dropDuplicates([key]).join(old.select(key), key, "left_anti").select(*old.columns))
+def insert_ignore(old: DataFrame, new: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """Keeps what is there; of new rows with one key the first in order (of all columns, if none is given), if the key is not there."""
+    w = Window.partitionBy(key).orderBy(*(order or new.columns))
+    first = new.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    return old.unionByName(first.join(old.select(key), key, "left_anti").select(*old.columns))
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:

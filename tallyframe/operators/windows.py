@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,17 +61,37 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) ->
     return df.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)
 
 
-def first_hit_windows(df: DataFrame, key: str, at: str, width: float, most: int) -> DataFrame:
-    """Fixed-window rate limit: a window opens at a key's first hit and the first hit `width` or more later opens the next; in a window
-    the first `most` hits are allowed. `at` is in seconds. Adds `allowed`.
-
-    A fold over each key's sorted hits; a key's hits must fit an array."""
-    step = F.struct(F.lit(None).cast("double").alias("start"), F.lit(0).alias("n"), F.array().cast("array<struct<at:double,id:bigint,allowed:boolean>>").alias("out"))
+def placed(df: DataFrame, keys: list[str], deal: Column, order: list[Column | str], out: str) -> DataFrame:
+    """Adds each row's number in order within the keys, from 1. `deal` must not fall along the order, and parts the rows of a key: they are
+    numbered within each part, and parts are counted before they are summed, so no task holds a key's rows. Nulls in the keys are a key."""
+    df = df.withColumn("_deal", deal)
+    by = [*keys, "_deal"]
+    sums = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_deal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], before.alias("_before"))
+    inner = df.withColumn("_in", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    return inner.join(sums, same).withColumn(out, F.col("_before") + F.col("_in")).select(*[c for c in df.columns if c != "_deal"], out)
 
-    def fold(acc: Column, hit: Column) -> Column:
-        fresh = acc["start"].isNull() | (hit["at"] - acc["start"] >= width)
-        n = F.when(fresh, 1).otherwise(acc["n"] + 1)
-        return F.struct(F.when(fresh, hit["at"]).otherwise(acc["start"]).alias("start"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(hit["at"].alias("at"), hit["id"].alias("id"), (n <= most).alias("allowed")))).alias("out"))
 
-    hits = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("at"), F.col("id").cast("bigint").alias("id")))).alias("hits"))
-    return hits.select(key, F.explode(F.aggregate("hits", step, fold)["out"]).alias("h")).select(key, "h.id", "h.at", "h.allowed")
+def first_hit_windows(df: DataFrame, key: str, at: str, width: float, most: int) -> DataFrame:
+    """Fixed-window rate limit: a window opens at a key's first hit and the first hit `width` or more later opens the next; in a window
+    the first `most` hits are allowed. `at` is in seconds. Gives key, id, at, allowed; rows without key or time give none.
+
+    Keys are dealt to partitions and sorted by time there; one pass carries a key's window from row to row, whatever its number of hits."""
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, start, n = None, 0.0, 0
+        for f in frames:
+            allowed = []
+            for k, t in zip(f["key"].tolist(), f["at"].tolist(), strict=True):
+                if k != now or t - start >= width:
+                    now, start, n = k, t, 0
+                n += 1
+                allowed.append(n <= most)
+            yield f.assign(allowed=allowed)
+
+    kind = df.schema[key].dataType.simpleString()
+    hits = df.select(F.col(key).alias("key"), F.col("id").cast("bigint").alias("id"), F.col(at).cast("double").alias("at")).where("key is not null and at is not null")
+    hits = hits.repartition("key").sortWithinPartitions("key", "at", "id")
+    return hits.mapInPandas(fold, f"key {kind}, id bigint, at double, allowed boolean").withColumnRenamed("key", key)

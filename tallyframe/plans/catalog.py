@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text as X
+from tallyframe.operators import canonical as C
+from tallyframe.operators import clubs as K
 from tallyframe.operators import identity as I  # noqa: E741
 from tallyframe.operators import joins as J
 from tallyframe.operators import quality as Q
 from tallyframe.operators import windows as V
+from tallyframe.operators import writes as W
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -55,9 +58,10 @@ def excluded_patterns(t):
     return t.part.where(~F.lower("p_name").rlike("green|blue|red") & F.col("p_type").isNotNull() & F.col("p_size").between(5, 40)).select("p_partkey", "p_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '#00') OR c_name ILIKE '%\\_x%' ESCAPE '\\'")
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '00099') OR c_name ILIKE '%#0000000_1' OR c_name ILIKE '%\\_%' ESCAPE '\\'")
 def contains_search(t):
-    return t.customer.where(X.contains_text(F.col("c_name"), "#00") | F.col("c_name").ilike("%" + X.like_literal("_x") + "%")).select("c_custkey", "c_name")
+    # Wildcards of the pattern stand for any, those of a user's text for themselves.
+    return t.customer.where(X.contains_text(F.col("c_name"), "00099") | F.col("c_name").ilike("%#0000000_1") | F.col("c_name").ilike("%" + X.like_literal("_") + "%")).select("c_custkey", "c_name")
 
 
 @query("""SELECT CASE WHEN year(o_orderdate) < 1994 THEN 'early' WHEN year(o_orderdate) < 1997 THEN 'middle' ELSE 'late' END AS era, count(*) AS n,
@@ -128,9 +132,9 @@ def exists_flag(t):
     return t.customer.join(k, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.col("o_custkey").isNotNull().alias("has_results"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def without_events(t):
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t.customer.join(t.orders.where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
@@ -190,7 +194,9 @@ def era_leaders(t):
 @query("""WITH c AS (SELECT o_orderkey, count(l_orderkey) AS lines, count(DISTINCT l_returnflag || coalesce(l_linestatus, '')) AS kinds FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
  SELECT o_orderkey, CASE WHEN lines = 0 THEN 'NO RESULTS' WHEN lines >= 5 AND kinds >= 2 THEN 'FULL' WHEN lines >= 3 THEN 'PARTIAL' ELSE 'SPARSE' END AS coverage, kinds < 2 OR lines < 3 AS sparse FROM c""")
 def coverage_level(t):
-    c = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_orderkey").agg(F.count("l_orderkey").alias("lines"), F.countDistinct(F.concat("l_returnflag", F.coalesce("l_linestatus", F.lit("")))).alias("kinds"))
+    kind = F.concat("l_returnflag", F.coalesce("l_linestatus", F.lit("")))
+    n = t.lineitem.groupBy("l_orderkey", kind.alias("kind")).agg(F.count("*").alias("n")).groupBy("l_orderkey").agg(F.sum("n").alias("lines"), F.count("kind").alias("kinds"))
+    c = t.orders.select("o_orderkey").join(n, F.col("o_orderkey") == F.col("l_orderkey"), "left").na.fill(0, ["lines", "kinds"])
     level = F.when(F.col("lines") == 0, "NO RESULTS").when((F.col("lines") >= 5) & (F.col("kinds") >= 2), "FULL").when(F.col("lines") >= 3, "PARTIAL").otherwise("SPARSE")
     return c.select("o_orderkey", level.alias("coverage"), ((F.col("kinds") < 2) | (F.col("lines") < 3)).alias("sparse"))
 
@@ -266,9 +272,8 @@ def slugs(t):
     return t.part.select("p_partkey", X.slugify(F.col("p_name")).alias("slug"))
 
 
-@query("SELECT doc_id, trim(lower(strip_accents(substring(text, 1, 40)))) AS name FROM documents WHERE regexp_full_match(substring(text, 1, 40), '[a-zA-Zéèêëàâçùûüöäßñáíóú ]*')")
+@query("SELECT doc_id, trim(lower(strip_accents(text)), ' ') AS name FROM documents")
 def folded_names(t):
-    # Whole texts of all rows; the SQL covers plain openings only.
     return t.documents.select("doc_id", F.trim(F.lower(X.fold_marks(F.col("text")))).alias("name"))
 
 
@@ -314,11 +319,11 @@ def one_id_many_names(t):
     return Q.one_to_many(t.lineitem, "l_partkey", "l_suppkey")
 
 
-@query("""WITH a AS (SELECT year(o_orderdate) AS year, count(*) AS n FROM orders WHERE year(o_orderdate) > 1993 GROUP BY 1), b AS (SELECT year(l_shipdate) AS year, count(*) AS n FROM lineitem GROUP BY 1)
- SELECT coalesce(a.year, b.year) AS year, coalesce(a.n, 0) AS now, coalesce(b.n, 0) AS before, coalesce(a.n, 0) - coalesce(b.n, 0) AS delta FROM a FULL JOIN b ON a.year = b.year""")
+@query("""WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT user_id AS k, count(*) AS n FROM events GROUP BY 1)
+ SELECT coalesce(a.k, b.k) AS key, coalesce(a.n, 0) AS now, coalesce(b.n, 0) AS before, coalesce(a.n, 0) - coalesce(b.n, 0) AS delta FROM a FULL JOIN b ON a.k = b.k""")
 def baseline_delta(t):
-    a = t.orders.groupBy(event_year().alias("year")).agg(F.count("*").alias("n")).where("year > 1993")
-    return Q.baseline_delta(a, t.lineitem.groupBy(F.year("l_shipdate").alias("year")).agg(F.count("*").alias("n")), "year", "n")
+    a = t.orders.groupBy(F.col("o_custkey").alias("key")).agg(F.count("*").alias("n"))
+    return Q.baseline_delta(a, t.events.groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("n")), "key", "n")
 
 
 @query("""SELECT user_id, before, event_type AS after FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
@@ -332,18 +337,16 @@ def row_floors(t):
     return Q.floors({"orders": t.orders, "nation": t.nation}, {"orders": 100, "nation": 30})
 
 
-@query("""WITH e AS (SELECT DISTINCT l_partkey AS l, l_suppkey AS r FROM lineitem WHERE l_linenumber = 7), d AS (SELECT *, count(*) OVER (PARTITION BY l) AS dl, count(*) OVER (PARTITION BY r) AS dr FROM e)
+@query("""WITH e AS (SELECT DISTINCT l_partkey AS l, l_suppkey AS r FROM lineitem), d AS (SELECT *, count(*) OVER (PARTITION BY l) AS dl, count(*) OVER (PARTITION BY r) AS dr FROM e)
  SELECT l, r, CASE WHEN dl = 1 AND dr = 1 THEN 'HIGH' ELSE 'MEDIUM' END AS grade, CASE WHEN dr > 1 THEN 'several_left' WHEN dl > 1 THEN 'several_right' ELSE 'one_to_one' END AS reason FROM d""")
 def provenance_grades(t):
-    # Edges of all lines; the SQL has those of line 7 only.
     return I.graded_edges(t.lineitem.select(F.col("l_partkey").alias("l"), F.col("l_suppkey").alias("r")))
 
 
-@query("""WITH c AS (SELECT c_custkey, s_suppkey, max(CASE WHEN c_nationkey = s_nationkey THEN 100 ELSE 65 END) AS score FROM customer JOIN supplier ON c_custkey % 97 = s_suppkey % 97 GROUP BY 1, 2),
- r AS (SELECT *, rank() OVER (PARTITION BY c_custkey ORDER BY score DESC) AS r FROM c), g AS (SELECT c_custkey, count(*) AS n, min(s_suppkey) AS m, max(score) AS score FROM r WHERE r = 1 GROUP BY 1)
- SELECT c_custkey, CASE WHEN n = 1 THEN m END AS match, score, CASE WHEN n = 1 THEN 'MATCHED' ELSE 'CONFLICT' END AS status FROM g""")
+@query("""WITH c AS (SELECT c_custkey, s_suppkey, max(CASE WHEN c_nationkey = s_nationkey THEN 100 ELSE 65 END) AS score FROM customer, supplier GROUP BY 1, 2),
+ b AS (SELECT c_custkey, max(score) AS score FROM c GROUP BY 1)
+ SELECT c_custkey, CASE WHEN count(*) = 1 THEN min(s_suppkey) END AS match, b.score, CASE WHEN count(*) = 1 THEN 'MATCHED' ELSE 'CONFLICT' END AS status FROM c JOIN b USING (c_custkey) WHERE c.score = b.score GROUP BY c_custkey, b.score""")
 def scored_matches(t):
-    # All pairs; the SQL meets those of equal residues only.
     return I.scored_by_group(t.customer, "c_custkey", "c_nationkey", t.supplier, "s_suppkey", "s_nationkey", 100, 65)
 
 
@@ -356,12 +359,16 @@ def most_referenced_id(t):
  row_number() OVER (PARTITION BY year(o_orderdate) || '_' || lower(o_orderstatus) ORDER BY o_orderdate, o_orderkey) AS n FROM orders)""")
 def event_keys(t):
     base = F.concat_ws("_", event_year().cast("string"), F.lower("o_orderstatus"))
-    return I.unique_keys(t.orders.withColumn("base", base), "base", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "key")
+    return I.unique_keys(t.orders.withColumn("base", base), "base", ["o_orderdate", "o_orderkey"], F.dayofyear("o_orderdate")).select("o_orderkey", "key")
 
 
-@query("""SELECT l_orderkey, count(*) AS entries, count(DISTINCT l_linenumber) AS places, CASE WHEN count(*) = count(DISTINCT l_suppkey) THEN 'singles' ELSE 'doubles' END AS team_type FROM lineitem GROUP BY 1""")
+@query("""WITH d AS (SELECT o_orderkey, CASE WHEN o_orderpriority < '3' THEN 'doubles' ELSE 'singles' END AS was, o_orderstatus = 'P' AS keep, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS people,
+ (SELECT count(DISTINCT l_linenumber) FROM lineitem WHERE l_orderkey = o_orderkey) AS places FROM orders)
+ SELECT o_orderkey, was, CASE WHEN was = 'doubles' AND NOT keep AND people > 0 AND people / places = 1.0 THEN 'singles' ELSE was END AS team_type FROM d""")
 def density_retag(t):
-    return t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("entries"), F.countDistinct("l_linenumber").alias("places"), F.countDistinct("l_suppkey").alias("_p")).select("l_orderkey", "entries", "places", F.when(F.col("entries") == F.col("_p"), "singles").otherwise("doubles").alias("team_type"))
+    d = t.orders.select(F.col("o_orderkey").alias("event"), F.when(F.col("o_orderstatus") == "P", "kept").otherwise("other").alias("discipline"), F.when(F.col("o_orderpriority") < "3", "doubles").otherwise("singles").alias("team_type"))
+    p = t.lineitem.select(F.col("l_orderkey").alias("event"), F.col("l_linenumber").alias("placement")).join(d.select("event", "discipline"), "event")
+    return C.density_retag(d.withColumn("was", F.col("team_type")), p, ["kept"]).select(F.col("event").alias("o_orderkey"), "was", "team_type")
 
 
 @query("""SELECT l_orderkey, 2 AS slot, '__UNKNOWN_PARTNER__' AS partner FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_linenumber = 1) > 0 AND count(*) FILTER (l_linenumber = 2) = 0""")
@@ -369,13 +376,17 @@ def ghost_partners(t):
     return t.lineitem.groupBy("l_orderkey").agg(F.count_if(F.col("l_linenumber") == 1).alias("a"), F.count_if(F.col("l_linenumber") == 2).alias("b")).where("a > 0 and b = 0").select("l_orderkey", F.lit(2).alias("slot"), F.lit("__UNKNOWN_PARTNER__").alias("partner"))
 
 
-@query("""SELECT s_suppkey, least(1.0, 0.5 + CASE WHEN s_acctbal > 5000 THEN 0.2 ELSE 0 END + CASE WHEN n > 20 THEN 0.2 ELSE 0 END)::DOUBLE AS score, CASE WHEN n > 20 AND s_acctbal > 0 THEN 'pre_populate' WHEN n > 20 OR s_acctbal > 0
- THEN 'onboarding_visible' WHEN n > 0 THEN 'dormant' ELSE 'junk' END AS class FROM (SELECT s_suppkey, s_acctbal, count(l_suppkey) AS n FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1, 2)""")
+@query("""WITH y AS (SELECT l_suppkey, max(year(l_shipdate)) + 20 AS hosted, min(year(l_shipdate)) + 20 AS made, count(DISTINCT l_partkey) AS members, max(CASE WHEN l_linenumber = 7 THEN year(l_shipdate) + 20 END) AS edited FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+ f AS (SELECT s_suppkey, s_acctbal > 0 AS text, coalesce(hosted >= 2020, false) AS r1, hosted IS NOT NULL AS r6, coalesce(edited >= 2020, false) AS up, coalesce(edited >= 2016 AND edited > made, false) AS r7, coalesce(made >= 2022, false) AS r9, coalesce(members >= 10, false) AS r10
+ FROM supplier LEFT JOIN y ON l_suppkey = s_suppkey)
+ SELECT s_suppkey, CASE WHEN r1 OR (up AND r6) THEN 'pre_populate' WHEN r6 OR r7 OR r9 OR r10 THEN 'onboarding_visible' WHEN text THEN 'dormant' ELSE 'junk' END AS class FROM f""")
 def club_classes(t):
-    n = t.supplier.join(t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n")), F.col("s_suppkey") == F.col("l_suppkey"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    busy, funded = F.col("n") > 20, F.col("s_acctbal") > 0
-    score = F.least(F.lit(1.0), F.lit(0.5) + F.when(F.col("s_acctbal") > 5000, 0.2).otherwise(0.0) + F.when(busy, 0.2).otherwise(0.0))
-    return n.select("s_suppkey", score.alias("score"), F.when(busy & funded, "pre_populate").when(busy | funded, "onboarding_visible").when(F.col("n") > 0, "dormant").otherwise("junk").alias("class"))
+    # Suppliers as clubs, returned shipments as events hosted; years are moved to those that the rules speak of.
+    y = F.year("l_shipdate") + 20
+    facts = t.lineitem.where("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.max(y).alias("last_hosted_year"), F.min(y).alias("created_year"), F.countDistinct("l_partkey").alias("unique_members"), F.max(F.when(F.col("l_linenumber") == 7, y)).alias("last_updated_year"), F.lit(1).alias("ever_hosted"))
+    none = {c: F.lit(None).cast("int") for c in ("contact_member_last_year", "max_member_last_year", "linkable_members")}
+    clubs = t.supplier.join(facts, "s_suppkey", "left").withColumns({**none, "contact_member_id": F.lit(""), "has_description": F.col("s_acctbal") > 0})
+    return K.classify_clubs(clubs).select("s_suppkey", F.col("category").alias("class"))
 
 
 @query("""SELECT o_custkey, round(avg(o_totalprice), 2) AS mean, max(o_totalprice) AS highest, round(avg(CASE WHEN o_totalprice >= 200000 THEN 1.0 ELSE 0 END), 3) AS share FROM orders GROUP BY 1 HAVING count(*) >= 3""")
@@ -391,10 +402,10 @@ def upserted(t):
     return J.upsert(old, c.where("id % 5 <> 0").select("id", F.when(F.col("id") % 2 == 0, F.upper("c_name")).alias("name"), (-F.col("c_acctbal")).alias("bal")), "id")
 
 
-@query("""SELECT o_orderstatus, year(o_orderdate) AS year, string_agg(o_orderkey || ':' || o_custkey, ',' ORDER BY o_orderkey) AS entries FROM orders WHERE o_totalprice > 250000 GROUP BY 1, 2""")
+@query("""SELECT o_custkey, o_orderstatus, string_agg(o_orderkey || ':' || year(o_orderdate), ',' ORDER BY o_orderkey) AS entries FROM orders GROUP BY 1, 2""")
 def nested_sections(t):
-    o = t.orders.where("o_totalprice > 250000").groupBy("o_orderstatus", event_year().alias("year")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_custkey"))).alias("a"))
-    return o.select("o_orderstatus", "year", F.array_join(F.transform("a", lambda x: F.concat_ws(":", x["o_orderkey"].cast("string"), x["o_custkey"].cast("string"))), ",").alias("entries"))
+    o = t.orders.groupBy("o_custkey", "o_orderstatus").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", event_year().alias("y")))).alias("a"))
+    return o.select("o_custkey", "o_orderstatus", F.array_join(F.transform("a", lambda x: F.concat_ws(":", x["o_orderkey"].cast("string"), x["y"].cast("string"))), ",").alias("entries"))
 
 
 @query("""WITH RECURSIVE h AS (SELECT user_id, event_id, epoch(ts) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id) AS k FROM events),
@@ -402,3 +413,85 @@ def nested_sections(t):
  CASE WHEN h.sec - r.start >= 86400 THEN 1 ELSE r.n + 1 END FROM r JOIN h ON h.user_id = r.user_id AND h.k = r.k + 1) SELECT user_id, event_id AS id, n <= 2 AS allowed FROM r""")
 def rate_limited(t):
     return V.first_hit_windows(t.events.select("user_id", F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")), "user_id", "at", 86400, 2).select("user_id", "id", "allowed")
+
+
+# Writes and pages.
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 AND c_custkey % 2 = 0 THEN 'closed' ELSE c_mktsegment END AS segment, CASE WHEN c_acctbal < 0 AND c_custkey % 2 = 0 THEN 0.0 ELSE c_acctbal END AS bal, c_acctbal < 0 AND c_custkey % 2 = 0 AS changed FROM customer
+ WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 480000)""")
+def claimed_rows(t):
+    # Claims on even ids take effect where the balance is negative; rows with a very large order are deleted.
+    c = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("bal"))
+    c = W.compare_and_set(c, "id", c.where("id % 2 = 0"), F.col("bal") < 0, segment=F.lit("closed"), bal=F.lit(0.0))
+    return W.delete(c, "id", t.orders.where("o_totalprice > 480000").select(F.col("o_custkey").alias("id")))
+
+
+@query("""WITH k AS (SELECT l_suppkey AS id, l_partkey AS v FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS r FROM lineitem) WHERE r = 1)
+ SELECT s_suppkey AS id, -1 AS v FROM supplier WHERE s_acctbal > 5000 UNION ALL SELECT id, v FROM k WHERE id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)""")
+def first_inserts(t):
+    old = t.supplier.where("s_acctbal > 5000").select(F.col("s_suppkey").alias("id"), F.lit(-1).cast("long").alias("v"), F.lit(0).cast("long").alias("l_orderkey"), F.lit(0).alias("l_linenumber"))
+    new = t.lineitem.select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("v"), "l_orderkey", "l_linenumber")
+    return W.insert_first(old, new, "id", ["l_orderkey", "l_linenumber", "v"]).select("id", "v")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN coalesce(n_name, '') ELSE c_mktsegment END AS segment, CASE WHEN n_nationkey IS NULL THEN CAST(c_acctbal > 0 AS INT) WHEN c_nationkey % 5 = 0 THEN NULL ELSE greatest(CAST(c_acctbal > 0 AS INT), CAST(n_regionkey > 2 AS INT)) END AS flag
+ FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey <> 1""")
+def filled_rows(t):
+    c = t.customer.select("c_custkey", "c_nationkey", F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment")).alias("segment"), (F.col("c_acctbal") > 0).cast("int").alias("flag"))
+    n = t.nation.where("n_regionkey <> 1").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("segment"), F.when(F.col("n_nationkey") % 5 != 0, (F.col("n_regionkey") > 2).cast("int")).alias("flag"))
+    return W.fill_empty(c, n, "c_nationkey", ["segment"], ["flag"]).drop("c_nationkey")
+
+
+@query("""WITH f AS (SELECT p_partkey, p_name, p_size FROM part WHERE p_size >= 10 AND p_name LIKE '%r%'), p AS (SELECT * FROM f ORDER BY p_name, p_partkey LIMIT 20 OFFSET 10)
+ SELECT p_partkey, p_name, (SELECT count(*) FROM f) AS total, (SELECT count(*) FROM f) > 30 AS has_more FROM p""")
+def filtered_page(t):
+    rows, facts = W.browse(t.part.select("p_partkey", "p_name", "p_size"), [F.col("p_name"), F.col("p_partkey")], [F.col("p_size") >= 10, None, F.col("p_name").contains("r")], limit=20, offset=10)
+    return rows.drop("p_size").crossJoin(F.broadcast(facts))  # one row of facts
+
+
+@query("""SELECT name, part FROM (SELECT name, part, row_number() OVER (PARTITION BY name ORDER BY part, k) AS n FROM (SELECT p_brand AS name, 0 AS part, p_partkey AS k FROM part WHERE p_size > 30 UNION ALL SELECT p_brand, 1, p_partkey FROM part UNION ALL SELECT n_name, 2, n_nationkey FROM nation)) WHERE n = 1""")
+def kept_first(t):
+    a = t.part.where("p_size > 30").select(F.col("p_brand").alias("name"), F.lit(0).alias("part"), F.col("p_partkey").alias("k"))
+    b = t.part.select(F.col("p_brand").alias("name"), F.lit(1).alias("part"), F.col("p_partkey").alias("k"))
+    return W.keep_first([a, b, t.nation.select(F.col("n_name").alias("name"), F.lit(2).alias("part"), F.col("n_nationkey").cast("long").alias("k"))], ["name"], ["k"]).select("name", "part")
+
+
+@query("""WITH o AS (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0) SELECT 'orders' AS table_name, count(*) AS rows FROM o UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)""")
+def cascaded(t):
+    tables = {"customer": t.customer.where("c_acctbal > 0").withColumnRenamed("c_custkey", "o_custkey"), "orders": t.orders.withColumnRenamed("o_orderkey", "l_orderkey"), "lineitem": t.lineitem}
+    out = W.cascade(tables, [("orders", "customer", "o_custkey"), ("lineitem", "orders", "l_orderkey")])
+    return out["orders"].agg(F.count("*").alias("rows")).select(F.lit("orders").alias("table_name"), "rows").union(out["lineitem"].agg(F.count("*").alias("rows")).select(F.lit("lineitem"), "rows"))
+
+
+@query("""SELECT p_partkey, row_number() OVER (ORDER BY p_partkey % 7 = 0, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE lower(p_name) END, p_partkey) AS place FROM part""")
+def blanks_last(t):
+    # Places are counted in two levels: by leading letters, and within these.
+    blank, name = W.blank_last(F.col("n"))
+    p = t.part.select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, "").otherwise(W.nocase(F.col("p_name"))).alias("n")).withColumn("b", blank)
+    return V.placed(p, [], F.concat(F.col("b").cast("string"), F.substring(name, 1, 2)), ["b", "n", "p_partkey"], "place").select("p_partkey", "place")
+
+
+@query("""SELECT o_orderkey, count(DISTINCT l_suppkey) AS people, max(l_shipdate) AS last FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linestatus = 'O' WHERE o_orderpriority NOT IN ('3-MEDIUM', '5-LOW') AND (o_totalprice IS NULL OR o_totalprice > 100000) AND o_orderpriority LIKE '1-%' GROUP BY 1""")
+def sentinel_filters(t):
+    o = t.orders.where(~F.col("o_orderpriority").isin("3-MEDIUM", "5-LOW") & (F.col("o_totalprice").isNull() | (F.col("o_totalprice") > 100000)) & F.startswith("o_orderpriority", F.lit("1-")))
+    return o.join(t.lineitem.where("l_linestatus = 'O'"), F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("o_orderkey").agg(F.countDistinct("l_suppkey").alias("people"), F.max("l_shipdate").alias("last"))
+
+
+@query("""WITH m AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_suppkey = 1) SELECT l_orderkey, l_linenumber, l_suppkey, l_suppkey = 1 AS self FROM lineitem JOIN m USING (l_orderkey)""")
+def entries_with_self(t):
+    # All rows of the entries that one person is in, its own too.
+    mine = t.lineitem.where("l_suppkey = 1").select("l_orderkey").distinct()
+    return t.lineitem.join(mine, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_suppkey") == 1).alias("self"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (SELECT count(DISTINCT x.l_suppkey) FROM lineitem x WHERE x.l_orderkey = l.l_orderkey AND x.l_returnflag = l.l_returnflag) AS people FROM lineitem l""")
+def group_transform(t):
+    # The number of different persons of a row's group, on every row of it.
+    n = t.lineitem.groupBy("l_orderkey", "l_returnflag").agg(F.countDistinct("l_suppkey").alias("people"))
+    return t.lineitem.join(n, ["l_orderkey", "l_returnflag"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "people")
+
+
+@query("""SELECT l_suppkey, min(l_linenumber) AS best, round(avg(l_linenumber), 4) AS mean, count(*) FILTER (l_linenumber <= 3) AS podiums, count(DISTINCT l_partkey) AS different, round(count(DISTINCT l_partkey) / count(*), 4) AS diversity FROM lineitem GROUP BY 1""")
+def placement_profiles(t):
+    return t.lineitem.groupBy("l_suppkey").agg(F.min("l_linenumber").alias("best"), F.round(F.avg("l_linenumber"), 4).alias("mean"), F.count_if(F.col("l_linenumber") <= 3).alias("podiums"), F.countDistinct("l_partkey").alias("different"), F.round(F.countDistinct("l_partkey") / F.count("*"), 4).alias("diversity"))

@@ -25,10 +25,10 @@ def merge_sources(frames: list[DataFrame], key: str) -> tuple[DataFrame, DataFra
     return both, both.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def override_merge(base: DataFrame, extra: DataFrame, key: str) -> DataFrame:
-    """Rows of both; where they share a key the extra row stands."""
+def override_merge(base: DataFrame, extra: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """Rows of both; where they share a key the extra row stands, the first in order (of all columns, if none is given)."""
     both = base.withColumn("_p", F.lit(1)).unionByName(extra.withColumn("_p", F.lit(0)))
-    w = Window.partitionBy(key).orderBy("_p")
+    w = Window.partitionBy(key).orderBy("_p", *(order or base.columns))
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_p", "_n")
 
 
