@@ -127,7 +127,7 @@ def year_in(col: Column) -> Column:
 
 def location(col: Column) -> Column:
     """struct(city, region, country) of "City, Region, Country", "City, Country" or "Country"; empty texts for what is not there."""
-    parts = F.filter(F.transform(F.split(F.coalesce(col, F.lit("")), ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(col, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     n, at = F.size(parts), lambda i: F.coalesce(F.try_element_at(parts, F.lit(i)), F.lit(""))
     return F.struct(F.when(n > 1, at(1)).otherwise("").alias("city"), F.when(n > 2, F.array_join(F.slice(parts, F.lit(2), F.greatest(n - 2, F.lit(0))), ", ")).otherwise("").alias("region"), at(-1).alias("country"))
 

@@ -140,3 +140,70 @@ def drop_noise(placements: DataFrame, tokens: list[str]) -> DataFrame:
 def with_missing_class(main: DataFrame, extra: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of `extra` whose keys the main table lacks, behind it."""
     return main.unionByName(extra.join(main.select(*keys).distinct(), keys, "left_anti").select(*main.columns))
+
+
+SENTINELS = ("__unknown_partner__", "[unknown partner]", "__non_person__", "unknown", "tba", "?")
+
+
+def platform_export(disciplines: DataFrame, results: DataFrame, participants: DataFrame, persons: DataFrame, names: DataFrame, person_like) -> dict[str, DataFrame]:
+    """The canonical tables as the platform takes them, step by step.
+
+    Disciplines with sparse coverage go, and with them their results and participants (disciplines also has coverage). Names of nobody
+    become Unknown; amounts of prizes behind names go. Participants without a person get that of names(display_name, person_id,
+    person_name). Persons whose name is nobody's or no name go, and no participant refers to them any more. `aka ...` goes from names,
+    names in capitals get title case. Persons whom nobody refers to go; those of one name become the one most referred to."""
+    keys = ["event", "discipline"]
+    d = disciplines.where(F.lower(F.trim(F.coalesce("coverage", F.lit("")))) != "sparse")
+    kept = d.select(*keys).distinct()
+    r, p = results.join(kept, keys, "left_semi"), participants.join(kept, keys, "left_semi")
+    shown = F.trim(F.regexp_replace("display_name", r"\s*\$\d[\d.,]*\s*$", ""))
+    p = p.withColumn("display_name", F.when(F.lower(shown).isin(*SENTINELS) | (shown == ""), "Unknown").otherwise(shown))
+    p = p.join(names.select("display_name", F.col("person_id").alias("_pid"), F.col("person_name").alias("_name")), "display_name", "left")
+    fill = F.col("_pid").isNotNull() & (F.coalesce("person_id", F.lit("")) == "")
+    p = p.withColumns({"person_id": F.when(fill, F.col("_pid")).otherwise(F.nullif(F.col("person_id"), F.lit(""))), "display_name": F.when(fill, F.col("_name")).otherwise(F.col("display_name"))}).drop("_pid", "_name")
+    tidy = X.title_if_shouted(X.without_aka(F.col("person_name")))
+    own = persons.select("person_id", tidy.alias("person_name")).unionByName(names.select("person_id", F.col("person_name")).join(persons.select("person_id"), "person_id", "left_anti").distinct())
+    own = own.where((F.trim("person_name") != "") & ~F.lower("person_name").isin(*SENTINELS) & person_like(F.col("person_name")))
+    p = p.join(own.select("person_id", F.lit(True).alias("_there")).distinct(), "person_id", "left").withColumn("person_id", F.when(F.col("_there"), F.col("person_id"))).drop("_there").select(*participants.columns)
+    own = own.join(p.select("person_id").distinct(), "person_id", "left_semi")
+    own, p = merge_by_name(own, p)
+    return {"disciplines": d, "results": r, "participants": p, "persons": own}
+
+
+def seed_entries(participants: DataFrame, persons: DataFrame, aliases: DataFrame, person_like, namespace: str) -> DataFrame:
+    """(event, discipline, placement, participant_order, display_name, person_id, how): each participant's person, its own one, else by
+    alias(alias, person_id), else by just that name, else a stub made of the name if it is one; else none. Empty names are filled from
+    another entry of the same team (team_key) and place in it."""
+    shown = participants.where("coalesce(display_name, '') <> '' and coalesce(team_key, '') <> ''").groupBy("team_key", "participant_order").agg(F.min("display_name").alias("_shown"))
+    p = participants.join(shown, ["team_key", "participant_order"], "left").withColumn("display_name", F.coalesce(F.nullif(F.col("display_name"), F.lit("")), "_shown", F.lit("")))
+    low = lambda df, c, v: df.groupBy(F.lower(c).alias("_k")).agg(F.min("person_id").alias(v))
+    p = p.withColumn("_k", F.lower("display_name")).join(low(aliases, "alias", "_a"), "_k", "left").join(low(persons, "person_name", "_n"), "_k", "left")
+    stub = F.when(person_like(F.col("display_name")), X.uuid5(namespace, F.col("_k")))
+    own = F.nullif(F.col("person_id"), F.lit(""))
+    how = F.when(own.isNotNull(), "own").when(F.col("_a").isNotNull(), "alias").when(F.col("_n").isNotNull(), "name").when(stub.isNotNull(), "stub").otherwise("none")
+    return p.select("event", "discipline", "placement", "participant_order", "display_name", F.coalesce(own, "_a", "_n", stub).alias("person_id"), how.alias("how"))
+
+
+def persons_master(canonical: DataFrame, provisional: DataFrame, promoted: DataFrame, club_only: DataFrame) -> DataFrame:
+    """(master_id, person_name, person_type, source): canonical persons (person_id, person_name); provisional ones (person_name, source) that
+    are not promoted(person_name) to one, and whose name no canonical person has; then names known from clubs alone (person_name). Keys of
+    the last two depend on the name alone."""
+    k = lambda c: F.trim(F.lower(F.regexp_replace(c, r"\s+", " ")))
+    c = canonical.select("person_id", "person_name", k("person_name").alias("_k"))
+    v = provisional.select("person_name", "source", k("person_name").alias("_k")).join(promoted.select(k("person_name").alias("_k")).distinct(), "_k", "left_anti").join(c.select("_k"), "_k", "left_anti")
+    v = v.groupBy("_k").agg(F.min("person_name").alias("person_name"), F.array_join(F.array_sort(F.collect_set("source")), "|").alias("source"))
+    o = club_only.select("person_name", k("person_name").alias("_k")).join(c.select("_k").union(v.select("_k")), "_k", "left_anti").join(promoted.select(k("person_name").alias("_k")), "_k", "left_anti").groupBy("_k").agg(F.min("person_name").alias("person_name"))
+    out = c.select(F.col("person_id").alias("master_id"), "person_name", F.lit("CANONICAL").alias("person_type"), F.lit("RESULTS").alias("source"))
+    out = out.union(v.select(X.sha1_key("prov_person::", F.col("_k")), "person_name", F.lit("PROVISIONAL"), "source"))
+    return out.union(o.select(X.sha1_key("club_person::", F.col("_k")), "person_name", F.lit("CLUB_ONLY"), F.lit("CLUBS")))
+
+
+def adjudicate(events: DataFrame, decisions: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, results) after decisions(event, target, action): suppress drops an event and its results; merge moves the results of an
+    event to its target, where rows that are there already are not doubled, and adds `conflict` where a place then has several names."""
+    gone = decisions.where("action in ('suppress', 'merge')").select("event").distinct()
+    moved = decisions.where("action = 'merge'").select("event", "target")
+    r = results.join(decisions.where("action = 'suppress'").select("event").distinct(), "event", "left_anti").join(moved, "event", "left").withColumn("event", F.coalesce("target", "event")).drop("target")
+    r = r.dropDuplicates(["event", "discipline", "placement", "name"])
+    n = r.groupBy("event", "discipline", "placement").agg(F.count("*").alias("_n"))
+    return events.join(gone, "event", "left_anti"), r.join(n, ["event", "discipline", "placement"]).withColumn("conflict", F.col("_n") > 1).drop("_n")

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions import text as X
 from tallyframe.operators import audits as A
 from tallyframe.operators import canonical as C
 from tallyframe.operators import clubs as K
+from tallyframe.operators import mining as M
 from tallyframe.operators import people as P
 from tallyframe.operators import results_text as R
 from tallyframe.operators import shaping as S
 from tallyframe.operators import teams as T
 from tallyframe.operators import writes as W
 from tallyframe.plans.catalog import query
+from tallyframe.sources import readers
 
 
 def given(t, names: str, *rows: tuple) -> DataFrame:
@@ -407,3 +410,131 @@ def discipline_forensics(t):
 def canonical_checks(t):
     p = given(t, PARTICIPANTS, ("e", "d", 1, 1, "Ana Ruiz", "p1"), ("e", "d", 1, 2, "Bo Lind", "p2"), ("e", "d", 2, 1, "Ana Ruyz", "p1"), ("e", "d", 0, 1, "Cy", "gone"), ("e", "x", 1, 1, "  ", ""))
     return A.canonical_gate(given(t, DISCIPLINES, ("e", "d", "D", "net", "doubles")), p, given(t, "person_id", ("p1",), ("p2",)), P.is_person_like)
+
+
+# Sources.
+
+
+@query(answer("event, text", ("e1", "Open Net\n1. Ana / Bo\n2. Cy\n\nGolf\n1. Dee"), ("e2", "Golf\n3. Eve")))
+def results_blocks(t):
+    rows = given(t, "ord, event, division, place, player_1, player_2", (1, "e1", "Open Net", "2", "Cy", ""), (2, "e1", "Open Net", "1", "Ana", "Bo"), (3, "e1", "Golf", "1", "Dee", None), (4, "e2", "Golf", "3", " Eve ", ""), (5, "e2", "Golf", "4", "", ""))
+    return readers.results_block(rows, "division", "place", "player_1", "player_2")
+
+
+@query(answer("page, nth, name, adds, notation, tags", (1, 1, "Whirl", 3, "SET > OP IN", "rotational|basic"), (1, 2, "Odd & Even", None, None, "")))
+def move_lists(t):
+    html = "<table><tr><th>Name</th></tr><tr class=a><td><a href='/1'>Whirl</a></td><td>3</td><td>SET &gt; OP IN</td><td>rotational, basic</td></tr><TR><TD>Odd & Even</TD><TD>n/a</TD></TR></table>"
+    return readers.move_list(given(t, "page, html", (1, html.replace("&gt;", ">")), (2, ""), (3, None)))
+
+
+@query(answer("id, club, place, contact", (1, "Foot & Bag Club", "Lima, Peru", "Ana Ruiz"), (2, "", "", "")))
+def page_fields(t):
+    html = '<div class="x clubsShowName"><h1>Foot &amp; Bag  Club</h1></div><p class=clubsLocation>Lima,\n Peru</p><b>Contact:</b> <i>Ana</i> Ruiz<br>more'
+    return readers.fields(given(t, "id, html", (1, html), (2, "<p>none</p>")), "html", {"club": "clubsShowName", "place": "clubsLocation"}, {"contact": "Contact"}).drop("html")
+
+
+@query(answer("block, header, n", (0, None, 1), (1, "1999: Spring", 2), (2, "2000: Fall", 1)))
+def year_blocks(t):
+    lines = readers.text_blocks(given(t, "id, text", (1, "intro\n1999: Spring\n1. Ana\n2000: Fall")), "id", "text", r"^\d{4}:")
+    return lines.groupBy(F.col("block").cast("int").alias("block"), F.col("block_header").alias("header")).agg(F.count("*").alias("n"))
+
+
+# Scalars.
+
+
+@query(answer("id, match, honour, title, plain, year, pattern, fixed", (1, "fi ana", "lukasz o", "Ana Ruiz", "Bo Lind", 1999, "full_name", "José"), (2, "x", "x", "O'Neil", "Cy", None, "several", "plain"), (3, None, None, None, None, None, "blank", None), (4, "a b", "a b", "McDuff", "Dee", 2029, "initial_first", "Ãx"), (5, "", "", "", "", None, "one_word", "São – x")))
+def name_functions(t):
+    rows = given(t, "id, a, b, c, d, e, f, g", (1, " \ufb01  Ana ", "Łukasz Ø", "ANA RUIZ", "Bo Lind (aka Bobby)", "x1999-2001", "Ana Ruiz", "JosÃ©"), (2, "X", "x", "O'Neil", "Cy AKA The Bull", "12345 1969", "Ana & Bo", "plain"), (3, None, None, None, None, None, None, None), (4, "A\u00a0B", "A  B", "McDuff", "Dee", "in 2029!", "A. Ruiz", "Ãx"), (5, "", "", "", "", "", "Ana", "São – x"))
+    return rows.select("id", X.match_key(F.regexp_replace("a", "\u00a0", " ")).alias("match"), X.honour_key(F.col("b")).alias("honour"), X.title_if_shouted(F.col("c")).alias("title"), X.without_aka(F.col("d")).alias("plain"), X.year_in(F.col("e")).alias("year"), X.name_pattern(F.col("f")).alias("pattern"), X.repaired(F.col("g")).alias("fixed"))
+
+
+@query(answer("id, city, region, country", (1, "Lima", "", "Peru"), (2, "Portland", "Oregon", "USA"), (3, "", "", "Peru"), (4, "", "", ""), (5, "A", "B, C", "D")))
+def locations(t):
+    return given(t, "id, text", (1, "Lima, Peru"), (2, "Portland, Oregon, USA"), (3, "Peru"), (4, None), (5, "A, B,, C , D")).select("id", X.location(F.col("text")).alias("l")).select("id", "l.*")
+
+
+@query(answer("text, first, last, sec", ("May 4, 1999", "1999-05-04", "1999-05-04", 3723), ("may 4-6, 1999", "1999-05-04", "1999-05-06", 62), ("May 30-June 2, 1999", "1999-05-30", "1999-06-02", None), ("TBA", "", "", None), ("May 40, 1999", "", "", 5)))
+def dates_and_times(t):
+    rows = given(t, "text, clock", ("May 4, 1999", "1:02:03"), ("may 4-6, 1999", "1:02"), ("May 30-June 2, 1999", "x:1"), ("TBA", None), ("May 40, 1999", "5"))
+    return rows.select("text", X.date_range(F.col("text")).alias("d"), X.seconds(F.col("clock")).alias("sec")).select("text", F.col("d.start").alias("first"), F.col("d.end").alias("last"), "sec")
+
+
+@query(answer("id, rest, key", (1, "spinning", "k::a9993e364706"), (2, "a", "k::da39a3ee5e6b"), (3, "", "k::a9993e364706")))
+def token_subtraction(t):
+    rows = given(t, "id, name, base, key", (1, "Spinning whirl", "Whirl", "abc"), (2, "a a b", "b a", ""), (3, "whirl", "whirl whirl", "abc"))
+    return rows.select("id", F.array_join(S.subtract_tokens(F.col("name"), F.col("base")), " ").alias("rest"), X.sha1_key("k::", F.col("key")).alias("key"))
+
+
+@query(answer("id, kind, shown", (1, "net", "open"), (2, "other", "open"), (3, "other", "hidden")))
+def mapped_values(t):
+    return given(t, "id, code, status", (1, "N", "active"), (2, "?", "inactive"), (3, None, "archived")).select("id", M.mapped(F.col("code"), {"N": "net", "F": "freestyle"}, "other").alias("kind"), F.when(F.expr(M.MEMBER_VIEWS["clubs_open"]), "open").otherwise("hidden").alias("shown"))
+
+
+@query(answer("id", (1,)))
+def searchable_members(t):
+    names = "id, deleted_at, is_deceased, searchable, personal_data_purged_at, email_verified_at"
+    return M.view(given(t, names, (1, None, 0, 1, None, "2001"), (2, "2001", 0, 1, None, "2001"), (3, None, 1, 1, None, "2001"), (4, None, 0, 0, None, "2001"), (5, None, 0, 1, "2001", "2001"), (6, None, 0, 1, None, None), (7, None, None, 1, None, "2001")), "members_searchable").select("id")
+
+
+# Mining.
+TRICKS = ["whirl", "spinning whirl", "paradox whirl", "mirage", "leg over"]
+
+
+@query(answer("id, line_no, nth, trick, class", (1, 0, 0, "spinning whirl", "result_trick"), (1, 0, 1, "whirl", "result_trick"), (1, 2, 0, "mirage", "sequence"), (1, 2, 1, "legover", "sequence"), (1, 4, 0, "paradox whirl", "text")))
+def mined_tricks(t):
+    return M.mine(given(t, "id, text", (1, "1. Ana: Spinning-Whirl and whirl\nWHIRL RESULTS:\nmirage > leg  over\nwhirlygig\nthe Paradox Whirl won\nx")), TRICKS, {"leg over": "legover"})
+
+
+@query(answer("id, slug, how", (1, "whirl", "name"), (2, "leg-over", "slug"), (3, "mirage", "alt"), (4, None, "none")))
+def overlay_names(t):
+    return M.overlay(given(t, "id, name, alt", (1, "WHIRL", None), (2, "Leg Over!", "whirl"), (3, "Mirage thing", "mirage"), (4, "x", None)), given(t, "slug, name", ("whirl", "Whirl"), ("leg-over", "legover"), ("mirage", "Mirage")))
+
+
+@query(answer("era, honoured, overlap, n", ("before_1990", True, "unique_name_matches_other", 1), ("1990s", False, "ambiguous_multiple_matches", 1), ("2010_on", False, "variant_assisted_match", 1), ("unknown", False, "no_name_match", 2)))
+def cohort_counts(t):
+    persons = given(t, "person_id, name, last_year, honoured", ("p1", "ana", 1989, True), ("p2", "bo", 1990, False), ("p3", "bobby", 2010, None), ("p4", "cy", None, False), ("p5", "dee", None, False))
+    return M.cohorts(persons, given(t, "other_id, name", ("o1", "ana"), ("o2", "bo"), ("o3", "bo"), ("o4", "bob"), ("o5", "")), given(t, "a, b", ("bob", "bobby")))
+
+
+# The export.
+
+
+def exported(t):
+    d = given(t, f"{DISCIPLINES}, coverage", ("e", "net", "Net", "net", "doubles", "full"), ("e", "thin", "Thin", "net", "singles", " Sparse "), ("e", "golf", "Golf", "golf", "singles", None))
+    r = given(t, "event, discipline, placement", ("e", "net", 1), ("e", "thin", 1), ("e", "golf", 1))
+    p = given(t, PARTICIPANTS, ("e", "net", 1, 1, "Ana Ruiz $200", "p1"), ("e", "net", 1, 2, "__UNKNOWN_PARTNER__", ""), ("e", "golf", 1, 1, "B. Lind", None), ("e", "golf", 2, 1, "ana ruiz", "p2"), ("e", "golf", 3, 1, "Junk", "p4"), ("e", "golf", 4, 1, "Ana Ruiz", "p1"), ("e", "thin", 1, 1, "Cy Young", "p3"))
+    persons = given(t, "person_id, person_name", ("p1", "ANA RUIZ"), ("p2", "Ana Ruiz aka Anita"), ("p3", "Cy Young"), ("p4", "Round Robin 2001"))
+    return C.platform_export(d, r, p, persons, given(t, "display_name, person_id, person_name", ("B. Lind", "p9", "Bo Lind")), P.is_person_like)
+
+
+@query(answer("discipline, placement, participant_order, display_name, person_id", ("net", 1, 1, "Ana Ruiz", "p1"), ("net", 1, 2, "Unknown", None), ("golf", 1, 1, "Bo Lind", "p9"), ("golf", 2, 1, "ana ruiz", "p1"), ("golf", 3, 1, "Junk", None), ("golf", 4, 1, "Ana Ruiz", "p1")))
+def exported_participants(t):
+    return exported(t)["participants"].select("discipline", "placement", "participant_order", "display_name", "person_id")
+
+
+@query(answer("table_name, key", ("persons", "p1 Ana Ruiz"), ("persons", "p9 Bo Lind"), ("disciplines", "net"), ("disciplines", "golf"), ("results", "net"), ("results", "golf")))
+def exported_tables(t):
+    out = exported(t)
+    return out["persons"].select(F.lit("persons").alias("table_name"), F.concat_ws(" ", "person_id", "person_name").alias("key")).union(out["disciplines"].select(F.lit("disciplines"), "discipline")).union(out["results"].select(F.lit("results"), "discipline"))
+
+
+@query(answer("placement, participant_order, display_name, person_id, how", (1, 1, "Ana Ruiz", "p1", "own"), (1, 2, "Bo", "p2", "alias"), (2, 1, "Cy Young", "p3", "name"), (2, 2, "Dee Fox", "stub", "stub"), (3, 1, "???", None, "none"), (4, 1, "Ana Ruiz", "p1", "name")))
+def seeded_entries(t):
+    p = given(t, "event, discipline, placement, participant_order, display_name, person_id, team_key", ("e", "d", 1, 1, "Ana Ruiz", "p1", "k1"), ("e", "d", 1, 2, "Bo", "", "k1"), ("e", "d", 2, 1, "CY YOUNG", "", None), ("e", "d", 2, 2, "Dee Fox", None, None), ("e", "d", 3, 1, "???", "", ""), ("e", "d", 4, 1, "", "", "k1"))
+    s = C.seed_entries(p, given(t, "person_id, person_name", ("p1", "Ana Ruiz"), ("p3", "Cy Young")), given(t, "alias, person_id", ("bo", "p2")), P.is_person_like, "6ba7b8109dad11d180b400c04fd430c8")
+    return s.select("placement", "participant_order", X.title_if_shouted(F.col("display_name")).alias("display_name"), F.when(F.length("person_id") == 36, "stub").otherwise(F.col("person_id")).alias("person_id"), "how")
+
+
+@query(answer("person_name, person_type, source, keyed", ("Ana Ruiz", "CANONICAL", "RESULTS", False), ("Bo Lind", "PROVISIONAL", "clubs|members", True), ("Eve Hart", "CLUB_ONLY", "CLUBS", True)))
+def person_master(t):
+    one = lambda *names: given(t, "person_name", *[(n,) for n in names])
+    m = C.persons_master(given(t, "person_id, person_name", ("p1", "Ana Ruiz")), given(t, "person_name, source", ("ana  ruiz", "members"), ("Bo Lind", "members"), ("Bo Lind", "clubs"), ("Cy Young", "members")), one("Cy Young"), one("Ana Ruiz", "bo lind", "Cy Young", "Eve Hart", "Eve Hart"))
+    return m.select("person_name", "person_type", "source", F.col("master_id").rlike("^(prov|club)_person::[0-9a-f]{12}$").alias("keyed"))
+
+
+@query(answer("event, placement, name, conflict", ("a", 1, "Ana", False), ("a", 2, "Bo", True), ("a", 2, "Cy", True), ("d", 1, "Dee", False)))
+def adjudicated_events(t):
+    e = given(t, "event", ("a",), ("b",), ("c",), ("d",))
+    r = given(t, "event, discipline, placement, name", ("a", "x", 1, "Ana"), ("a", "x", 2, "Bo"), ("b", "x", 1, "Ana"), ("b", "x", 2, "Cy"), ("c", "x", 1, "Eve"), ("d", "x", 1, "Dee"))
+    events, results = C.adjudicate(e, given(t, "event, target, action", ("b", "a", "merge"), ("c", None, "suppress"), ("d", None, "keep")), r)
+    return results.join(events, "event").select("event", "placement", "name", "conflict")

@@ -13,8 +13,11 @@ def csv_strings(spark: SparkSession, path: str | list[str], columns: list[str])
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("escape", '"').option("multiLine", True).csv(path).na.fill("")
 
 
-def merge_sources(frames: list[DataFrame], key: str) -> tuple[DataFrame, DataFrame]:
-    """The union of frames with one header, and the keys that several of its rows share."""
+def merge_sources(frames: list[DataFrame | None], key: str) -> tuple[DataFrame, DataFrame]:
+    """The union of frames with one header, and the keys that several of its rows share. Sources that are missing (None) are passed over."""
+    frames = [f for f in frames if f is not None]
+    if not frames:
+        raise ValueError("no source is there")
     header = frames[0].columns
     for f in frames[1:]:
         if f.columns != header:
@@ -25,6 +28,35 @@ def merge_sources(frames: list[DataFrame], key: str) -> tuple[DataFrame, DataFra
     return both, both.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def results_block(rows: DataFrame, division: str, place: str, player1: str, player2: str | None = None) -> DataFrame:
+    """(event, text): one row a placement to a text of headed lines, divisions in the order they come in, places by number.
+    rows(ord, event, ...)."""
+    name = F.concat_ws(" / ", F.nullif(F.trim(player1), F.lit("")), *([F.nullif(F.trim(player2), F.lit(""))] if player2 else []))
+    lines = rows.where(name != "").groupBy("event", F.col(division).alias("division")).agg(F.min("ord").alias("ord"), F.array_sort(F.collect_list(F.struct(F.col(place).cast("int").alias("p"), F.col("ord").alias("o"), name.alias("n")))).alias("a"))
+    block = F.concat_ws("\n", F.col("division"), F.array_join(F.transform("a", lambda x: F.concat(x["p"].cast("string"), F.lit(". "), x["n"])), "\n"))
+    return lines.groupBy("event").agg(F.array_sort(F.collect_list(F.struct("ord", block.alias("b")))).alias("s")).select("event", F.array_join(F.transform("s", lambda x: x["b"]), "\n\n").alias("text"))
+
+
+def move_list(pages: DataFrame, row: str = r"<tr[^>]*>(.*?)</tr>") -> DataFrame:
+    """(page, nth, name, adds, notation, tags) of the table rows of list pages: cells in that order, tags by commas; rows without name or
+    with a heading's cells are none."""
+    rows = pages.select("page", F.posexplode(F.regexp_extract_all("html", F.lit(f"(?is){row}"), F.lit(1))).alias("nth", "row"))
+    cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]*>", ""), r"\s+", " ")))
+    at = lambda i: F.nullif(F.try_element_at("cells", F.lit(i)), F.lit(""))
+    out = rows.withColumn("cells", cells).where(at(1).isNotNull())
+    tags = F.filter(F.transform(F.split(F.coalesce(at(4), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return out.select("page", "nth", at(1).alias("name"), F.try_to_number(at(2), F.lit("99")).cast("int").alias("adds"), at(3).alias("notation"), F.array_join(tags, "|").alias("tags"))
+
+
+def fields(pages: DataFrame, text: str, classes: dict[str, str], labels: dict[str, str] | None = None) -> DataFrame:
+    """Adds a column for each class-addressed element and each bold label: the text of the element, or what follows the label up to the
+    next break; empty where there is none."""
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]*>", ""), "&amp;", "&"), r"\s+", " "))
+    found = {n: plain(F.regexp_extract(text, rf"(?is)<(\w+)[^>]*\bclass\s*=\s*[\"']?[^\"'>]*\b{c}\b[^>]*>(.*?)</\1>", 2)) for n, c in classes.items()}
+    found |= {n: plain(F.regexp_extract(text, rf"(?is)<(?:b|strong)[^>]*>\s*{c}\s*:?\s*</(?:b|strong)>\s*:?\s*(.*?)(?:<br|</p|</div|<b>|<strong>|$)", 1)) for n, c in (labels or {}).items()}
+    return pages.withColumns(found)
+
+
 def override_merge(base: DataFrame, extra: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
     """Rows of both; where they share a key the extra row stands, the first in order (of all columns, if none is given)."""
     both = base.withColumn("_p", F.lit(1)).unionByName(extra.withColumn("_p", F.lit(0)))
