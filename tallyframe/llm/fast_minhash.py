@@ -190,9 +190,10 @@ def by_rare_shingles(classes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def dealt(members: DataFrame, facts: DataFrame) -> DataFrame:
-    """The join of members with facts on `bucket`, each bucket's members dealt to SALTS tasks."""
+    """The join of members with facts on `bucket`, each bucket's members dealt to SALTS tasks. Merged, never broadcast: copies for every
+    task are so small in a shuffle that they would pass for a small table."""
     left = members.withColumn("_salt", F.pmod(F.xxhash64("class", F.lit(7)), F.lit(SALTS)))
-    return left.join(facts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["bucket", "_salt"]).drop("_salt")
+    return left.join(facts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).hint("merge"), ["bucket", "_salt"]).drop("_salt")
 
 
 def linked(pairs: DataFrame) -> DataFrame:
