@@ -214,7 +214,13 @@ class Sums:
 
 
 def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[dict[int, int], int]]:
-    """[({length: how often in one sequence}, sequences)], using up exactly `counts`."""
+    """[({length: how often in one sequence}, sequences)], using up exactly `counts`. Where lengths are many and copies few, triples may
+    use up short pieces that long ones would need: so gaps are filled by up to three, two and one pieces, and the best plan is taken."""
+    sums = Sums(np.array(sorted(n for n, k in counts.items() if k), np.int64), limit)
+    return min((plan_with(counts, sums, most, limit) for most in (3, 2, 1)), key=lambda out: sum(times for _, times in out))
+
+
+def plan_with(counts: dict[int, int], sums: Sums, most: int, limit: int) -> list[tuple[dict[int, int], int]]:
     have = np.zeros(limit + 1, dtype=np.int64)
     for length, n in counts.items():
         have[length] = n
@@ -230,11 +236,10 @@ def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[dict[int, int
                 have[m] -= k * times
             out.append((use, times))
 
-    sums = Sums(np.flatnonzero(have), limit)
     for top in range(limit, 0, -1):
         gap = limit - top
         ways = ([[]] if not gap else [[gap]], sums.of_two(gap, have), sums.of_three(gap, have))
-        for way in itertools.chain.from_iterable(ways):
+        for way in itertools.chain.from_iterable(ways[:most]):
             if not have[top]:
                 break
             take([top, *way])
