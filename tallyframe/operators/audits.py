@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What may be wrong with a person's name, how grave it is, and the patterns that show it.
@@ -94,3 +94,128 @@ def canonical_gate(disciplines: DataFrame, participants: DataFrame, persons: Dat
     for df in out[1:]:
         full = full.union(df)
     return full
+
+
+# Event types, and patterns that a place, a name or a date should not have.
+EVENT_TYPES = ("worlds", "net", "freestyle", "mixed", "golf", "social")
+URL, EMAIL, MARKUP = r"(?i)https?://|www\.", r"\S+@\S+\.\S+", r"(?i)<[a-z/][^>]*>|&(?:amp|nbsp|lt|gt|#\d+);"
+
+
+def event_rules(year_from: int = 1980, year_to: int = 2030) -> dict[str, tuple[str, Column]]:
+    """Checks of one row of events(id, name, event_type, location, date, year, host_club): severity, and what breaks it."""
+    c = lambda n: F.trim(F.coalesce(F.col(n).cast("string"), F.lit("")))
+    texts = lambda p: F.exists(F.array(*map(c, ("name", "location", "host_club"))), lambda x: x.rlike(p))
+    raw = F.array(*[F.coalesce(F.col(n), F.lit("")) for n in ("name", "location", "host_club")])
+    in_date = F.regexp_extract(c("date"), r"(?<!\d)((?:19|20)\d{2})(?!\d)", 1)
+    return {
+        "event_id_missing": ("ERROR", c("id") == ""),
+        "event_id_pattern": ("ERROR", (c("id") != "") & ~c("id").rlike(r"^\d+$")),
+        "event_name_missing": ("ERROR", c("name") == ""),
+        "event_name_html": ("ERROR", c("name").rlike(MARKUP)),
+        "event_name_url": ("WARN", c("name").rlike(URL)),
+        "event_name_placeholder": ("WARN", F.lower(c("name")).rlike(r"^(event|test|untitled|n/a|tba|tbd)\b")),
+        "event_type_invalid": ("ERROR", (c("event_type") != "") & ~F.lower(c("event_type")).isin(*EVENT_TYPES)),
+        "location_missing": ("WARN", c("location") == ""),
+        "location_url": ("ERROR", c("location").rlike(URL)),
+        "location_email": ("ERROR", c("location").rlike(EMAIL)),
+        "location_hosted_by": ("WARN", c("location").rlike(r"(?i)\bhosted by\b")),
+        "location_multi_sentence": ("WARN", c("location").rlike(r"[a-z]{3}\.\s+[A-Z]")),
+        "location_too_long": ("WARN", F.length(c("location")) > 100),
+        "location_tba": ("INFO", c("location").rlike(r"(?i)\btb[ad]\b")),
+        "location_street": ("INFO", c("location").rlike(r"(?i)\b\d+\s+\w+\s+(street|st\.|ave|avenue|road|rd\.|blvd)\b")),
+        "date_missing_worlds": ("ERROR", (F.lower(c("event_type")) == "worlds") & (c("date") == "")),
+        "date_ical_remnant": ("WARN", c("date").rlike(r"(?i)add to ical|vcal")),
+        "date_too_long": ("INFO", F.length(c("date")) > 60),
+        "date_year_mismatch": ("WARN", (in_date != "") & F.col("year").isNotNull() & (in_date != c("year"))),
+        "year_missing_worlds": ("ERROR", (F.lower(c("event_type")) == "worlds") & F.col("year").isNull()),
+        "year_out_of_range": ("ERROR", ~F.col("year").between(year_from, year_to)),
+        "host_club_url": ("WARN", c("host_club").rlike(URL)),
+        "host_club_numbered_prefix": ("INFO", c("host_club").rlike(r"^\d+\s*[.)]")),
+        "string_whitespace": ("INFO", F.exists(raw, lambda x: x != F.trim(x))),
+        "string_double_space": ("INFO", texts(r"\S {2,}\S")),
+        "string_control_chars": ("WARN", F.exists(raw, lambda x: x.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"))),
+        "string_mojibake": ("WARN", texts("Ã.|â€|¶|¿")),
+    }
+
+
+def placement_rules() -> dict[str, tuple[str, Column]]:
+    """Checks of one placement(event, division, place, competitor_type, player1, player2)."""
+    one, two, division = (F.trim(F.coalesce(n, F.lit(""))) for n in ("player1", "player2", "division"))
+    both = lambda p: one.rlike(p) | two.rlike(p)
+    return {
+        "place_invalid": ("ERROR", F.col("place").isNull() | (F.col("place") < 1)),
+        "competitor_type_invalid": ("ERROR", ~F.coalesce(F.col("competitor_type").isin("player", "team"), F.lit(False))),
+        "name_empty": ("ERROR", one == ""),
+        "name_short": ("WARN", F.length(one) == 1),
+        "name_noise": ("WARN", both(rf"{URL}|(?i)^\W*(results?|round|pool|finals?)\b")),
+        "leading_dash": ("WARN", both(r"^[-–]")),
+        "unsplit_team": ("WARN", (two == "") & one.rlike(r"\s(&|/|and)\s")),
+        "doubles_dash_separator": ("INFO", (two == "") & F.lower(division).contains("doubles") & one.rlike(r"\S\s+[-–]\s+\S")),
+        "duplicate_in_team": ("ERROR", (two != "") & (F.lower(one) == F.lower(two))),
+        "has_slash": ("WARN", (two != "") & both("/")),
+        "has_score": ("WARN", both(r"\b\d{1,2}-\d{1,2}\b")),
+        "has_month": ("INFO", both(r"(?i)\b(january|february|april|june|july|august|september|october|november|december)\b")),
+        "has_semicolon": ("WARN", both(";")),
+        "team_without_second": ("WARN", (F.col("competitor_type") == "team") & (two == "")),
+        "division_unknown": ("INFO", F.lower(division) == "unknown"),
+        "division_like_placement": ("WARN", division.rlike(r"^\d{1,3}\s*[.)]\s*\S")),
+        "division_foreign": ("INFO", division.rlike(r"(?i)\b(dobles|individuales|femenino|feminin|hommes|femmes|simples)\b")),
+    }
+
+
+def cross_record(events: DataFrame, placements: DataFrame) -> DataFrame:
+    """(check_id, subject): ids that repeat; years with several worlds; events alike in year, name and place; types that none of the
+    event's categories bear out; all divisions unknown; events without results. events(id, name, event_type, location, year),
+    placements(event, category)."""
+    low = lambda c: F.trim(F.lower(F.coalesce(c, F.lit(""))))
+    one = lambda df, check, subject: df.select(F.lit(check).alias("check_id"), F.col(subject).cast("string").alias("subject"))
+    many = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
+    out = one(many(events, "id"), "event_id_duplicate", "id")
+    out = out.union(one(many(events.where("event_type = 'worlds' and year is not null"), "year"), "worlds_multiple_per_year", "year"))
+    alike = many(events.select("year", low("name").alias("name"), low("location").alias("location")).where("name <> ''"), "year", "name", "location")
+    out = out.union(one(alike, "duplicate_event", "name"))
+    has = lambda c: F.max((F.col("category") == c).cast("int"))
+    kinds = placements.groupBy(F.col("event").alias("id")).agg(has("net").alias("net"), has("freestyle").alias("free"), F.min((F.col("category") == "unknown").cast("int")).alias("unknown"))
+    j = events.select("id", "event_type").distinct().join(kinds, "id", "left")
+    for kind, column in (("net", "net"), ("freestyle", "free"), ("worlds", "net"), ("worlds", "free")):
+        out = out.union(one(j.where((F.col("event_type") == kind) & (F.col(column) == 0)), f"{kind}_without_{'net' if column == 'net' else 'freestyle'}", "id"))
+    return out.union(one(j.where("unknown = 1"), "all_unknown_divisions", "id")).union(one(j.where("unknown is null"), "no_results", "id"))
+
+
+def alias_registry(aliases: DataFrame, persons: DataFrame) -> DataFrame:
+    """(line, check_id, severity) of aliases(line, alias, person_id, person_canon): blank, malformed id, repeated row, person gone (but its
+    name known, or not), one alias for several persons."""
+    uuid = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+    known, named = persons.select("person_id").distinct().withColumn("_id", F.lit(True)), persons.select(F.lower("person_name").alias("_c")).distinct().withColumn("_name", F.lit(True))
+    several = aliases.where("coalesce(alias, '') <> ''").groupBy(F.lower("alias").alias("_al")).agg((F.countDistinct("person_id") > 1).alias("_several"))
+    first = aliases.groupBy("alias", "person_id", "person_canon").agg(F.min("line").alias("_first"))
+    a = aliases.withColumns({"_c": F.lower("person_canon"), "_al": F.lower("alias")}).join(known, "person_id", "left").join(named, "_c", "left").join(several, "_al", "left")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("alias", "person_id", "person_canon")]
+    a = a.alias("a").join(first.alias("f"), same).select("a.*", "_first")
+    valid = F.coalesce(F.lower("person_id").rlike(uuid), F.lit(False))
+    rules = {
+        "blank_alias": ("hard", F.trim(F.coalesce("alias", F.lit(""))) == ""), "malformed_uuid": ("hard", ~valid), "duplicate_row": ("warn", F.col("line") > F.col("_first")),
+        "stale_pid_canon_resolves": ("warn", valid & F.col("_id").isNull() & F.col("_name").isNotNull()), "missing_canonical_pid": ("hard", valid & F.col("_id").isNull() & F.col("_name").isNull()), "alias_conflict": ("hard", F.col("_several")),
+    }
+    found = F.array(*[F.when(broken, F.struct(F.lit(n).alias("check_id"), F.lit(s).alias("severity"))) for n, (s, broken) in rules.items()])
+    return a.select("line", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select("line", "i.*")
+
+
+def people_findings(rows: DataFrame, person_like, most: int = 20) -> DataFrame:
+    """(check_id, severity, name, n) of rows(name, person_id, person_canon): names without a person, persons without a name, and names with
+    odd letters, several persons, marks at the end or an open bracket; the `most` frequent of each."""
+    name, pid = F.trim(F.coalesce("name", F.lit(""))), F.trim(F.coalesce("person_id", F.lit("")))
+    rules = {
+        "unmapped_person_name": ("WARN", person_like(name) & (pid == "")), "canon_missing": ("ERROR", (pid != "") & (F.trim(F.coalesce("person_canon", F.lit(""))) == "")), "mojibake": ("WARN", name.rlike("[¶¦±¼¿¸¹º³]")),
+        "multi_person": ("WARN", name.rlike(r"(?i)\S\s+(and|&|\+)\s+\S|\S/\S") & ~name.rlike(r"^\p{Ll}|,.*,|^(I{1,3}|IV|V|VI{0,3}|IX|X)\s+and\b")), "trailing_junk": ("INFO", name.rlike(r"\s.*[*–-]+$")), "open_paren": ("INFO", name.contains("(") & ~name.contains(")")),
+    }
+    found = F.array(*[F.when(broken, F.struct(F.lit(n).alias("check_id"), F.lit(s).alias("severity"))) for n, (s, broken) in rules.items()])
+    n = rows.select(name.alias("name"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).groupBy("i.check_id", "i.severity", "name").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("check_id").orderBy(F.desc("n"), "name")
+    return n.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+
+
+def expected_counts(before: DataFrame, after: DataFrame, expected: int) -> DataFrame:
+    """(before, after, changed, ok): whether a patch took away or added just as many rows as it says."""
+    b, a = before.agg(F.count("*").alias("before")), after.agg(F.count("*").alias("after"))
+    return b.crossJoin(F.broadcast(a)).withColumn("changed", F.col("after") - F.col("before")).withColumn("ok", F.col("changed") == expected)  # one row each

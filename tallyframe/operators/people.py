@@ -139,3 +139,36 @@ def suggest(unresolved: DataFrame, persons: DataFrame) -> DataFrame:
         n = n.join(p.groupBy(k).agg(F.min("person_id").alias(how), F.count("*").alias("_c")).where("_c = 1").drop("_c"), k, "left")
     how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("suffix").isNotNull(), "suffix").when(F.col("initial").isNotNull(), "initial")
     return n.select("name", "n", F.coalesce("exact", "suffix", "initial").alias("person_id"), how.alias("how"))
+
+
+def best_event(rows: DataFrame) -> DataFrame:
+    """Of events alike in year, name and place that with placements, then the most of them, then with a date, then the lowest numeric id.
+    rows(id, year, name, location, date, placements)."""
+    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    n = F.coalesce("placements", F.lit(0))
+    date = (low("date") != "") & ~low("date").isin("tba", "tbd")
+    number = F.try_to_number(F.when(F.col("id").rlike(r"^\d{1,18}$"), F.col("id")), F.lit("9" * 18)).cast("long")
+    w = Window.partitionBy(F.coalesce(F.col("year"), F.lit(-1)), low("name"), low("location")).orderBy((n > 0).desc(), n.desc(), date.desc(), F.coalesce(number, F.lit(2**62)), "id")
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def register(entries: DataFrame, namespace: str) -> DataFrame:
+    """(player_id, name, entries, countries): a key from the cleaned name of each person-like entry(name, country), how often it occurs, and
+    the countries seen with it, the most frequent first."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace("name", r"\s+[A-Z]{3}$", ""), r"\s+", " "))
+    e = entries.withColumn("_name", clean).where(is_person_like(F.col("_name")))
+    c = e.groupBy("_name", "country").agg(F.count("*").alias("n"))
+    named = F.array_sort(F.collect_list(F.when(F.coalesce("country", F.lit("")) != "", F.struct((-F.col("n")).alias("k"), F.col("country").alias("c")))))
+    return c.groupBy(F.col("_name").alias("name")).agg(F.sum("n").alias("entries"), F.array_join(F.transform(named, lambda x: x["c"]), "|").alias("countries")).select(X.uuid5(namespace, F.lower("name")).alias("player_id"), "name", "entries", "countries")
+
+
+def club_links(rows: DataFrame, persons: DataFrame) -> DataFrame:
+    """(club, name, person_id, how) of rows(club, name): the person of just that name, if there is one; each (club, name) once."""
+    p = persons.groupBy(F.lower(F.trim("person_name")).alias("_k")).agg(F.min("person_id").alias("pid"), F.count("*").alias("n"))
+    r = rows.select("club", F.trim("name").alias("name")).where("coalesce(name, '') <> ''").distinct().withColumn("_k", F.lower("name")).join(p, "_k", "left")
+    return r.select("club", "name", F.when(F.col("n") == 1, F.col("pid")).alias("person_id"), F.when(F.col("n") == 1, "exact").when(F.col("n") > 1, "ambiguous").otherwise("none").alias("how"))
+
+
+def base_order(col: Column) -> Column:
+    """Order without regard to case and accents."""
+    return F.lower(X.fold_marks(col))

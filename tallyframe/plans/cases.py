@@ -11,9 +11,11 @@ from tallyframe.operators import canonical as C
 from tallyframe.operators import clubs as K
 from tallyframe.operators import mining as M
 from tallyframe.operators import people as P
+from tallyframe.operators import quality as Q
 from tallyframe.operators import results_text as R
 from tallyframe.operators import shaping as S
 from tallyframe.operators import teams as T
+from tallyframe.operators import windows as V
 from tallyframe.operators import writes as W
 from tallyframe.plans.catalog import query
 from tallyframe.sources import readers
@@ -538,3 +540,74 @@ def adjudicated_events(t):
     r = given(t, "event, discipline, placement, name", ("a", "x", 1, "Ana"), ("a", "x", 2, "Bo"), ("b", "x", 1, "Ana"), ("b", "x", 2, "Cy"), ("c", "x", 1, "Eve"), ("d", "x", 1, "Dee"))
     events, results = C.adjudicate(e, given(t, "event, target, action", ("b", "a", "merge"), ("c", None, "suppress"), ("d", None, "keep")), r)
     return results.join(events, "event").select("event", "placement", "name", "conflict")
+
+
+# More audits.
+
+
+@query(answer(
+    "id, check_id", *[(i, c) for i, cs in {
+        "2": ("event_type_invalid", "location_missing"), "x3": ("event_id_pattern", "event_name_html", "location_url", "location_email", "string_double_space"), "4": ("event_name_placeholder", "date_missing_worlds", "year_missing_worlds", "location_tba", "host_club_numbered_prefix"),
+        "5": ("date_year_mismatch", "year_out_of_range", "location_hosted_by", "location_multi_sentence", "date_ical_remnant", "string_whitespace"), "6": ("event_name_missing", "location_street", "host_club_url", "string_mojibake"),
+    }.items() for c in cs],
+))
+def event_checks(t):
+    e = given(
+        t, "id, name, event_type, location, date, year, host_club",
+        ("1", "Spring Open", "net", "Lima, Peru", "May 4, 1999", 1999, "Club"), ("2", "Meet", "bowling", None, "", None, ""), ("x3", "A <b>bold</b>  cup", "net", "http://x.org a@b.org", None, 2001, None), ("4", "TBA", "worlds", "TBD", None, None, "1. Club"),
+        ("5", "Old", "golf", "hosted by us. It was good there. Really", "May 2001 Add to iCal", 1961, "Club "), ("6", "", "social", "12 Mill Street", None, 2000, "www.club.org Ã©"),
+    )
+    return Q.row_issues(e, "id", A.event_rules()).select("id", "check_id")
+
+
+@query(answer("id, check_id", *[(i, c) for i, cs in {2: ("place_invalid", "competitor_type_invalid", "name_empty", "division_unknown"), 3: ("unsplit_team", "has_score"), 4: ("duplicate_in_team",), 5: ("has_slash", "leading_dash", "division_foreign"), 6: ("doubles_dash_separator",), 7: ("team_without_second", "has_semicolon", "division_like_placement"), 8: ("name_short", "has_month"), 9: ("name_noise",)}.items() for c in cs]))
+def placement_checks(t):
+    p = given(t, "id, division, place, competitor_type, player1, player2", (1, "Open", 1, "player", "Ana Ruiz", ""), (2, "Unknown", 0, None, "", None), (3, "Open", 2, "player", "Ana & Bo 15-9", ""), (4, "Open", 3, "team", "Ana Ruiz", "ana ruiz"), (5, "Dobles", 4, "team", "-Ana", "Bo/Cy"), (6, "Open Doubles", 5, "player", "Ana - Bo", ""), (7, "1. Open", 6, "team", "Ana; x y", ""), (8, "Open", 7, "team", "A", "July"), (9, "Open", 8, "player", "Round 2 winner", ""))
+    return Q.row_issues(p, "id", A.placement_rules()).select("id", "check_id")
+
+
+@query(answer("check_id, subject", ("event_id_duplicate", "1"), ("worlds_multiple_per_year", "1999"), ("duplicate_event", "cup"), ("net_without_net", "4"), ("freestyle_without_freestyle", "5"), ("worlds_without_net", "2"), ("all_unknown_divisions", "5"), ("no_results", "1"), ("no_results", "3"), ("no_results", "6"), ("no_results", "7")))
+def cross_record_checks(t):
+    e = given(t, "id, name, event_type, location, year", (1, "A", "golf", "x", 1990), (1, "B", "golf", "x", 1991), (2, "W", "worlds", "x", 1999), (3, "V", "worlds", "y", 1999), (4, "N", "net", "", 2000), (5, "F", "freestyle", "", 2000), (6, "Cup", "golf", "Lima", 2001), (7, " cup", "social", "lima", 2001))
+    return A.cross_record(e, given(t, "event, category", (2, "freestyle"), (4, "golf"), (5, "unknown")))
+
+
+U1, U2, U3 = ("00000000-0000-5000-8000-00000000000" + x for x in "123")
+
+
+@query(answer("line, check_id, severity", (2, "blank_alias", "hard"), (3, "malformed_uuid", "hard"), (4, "duplicate_row", "warn"), (5, "stale_pid_canon_resolves", "warn"), (6, "missing_canonical_pid", "hard"), (1, "alias_conflict", "hard"), (4, "alias_conflict", "hard"), (7, "alias_conflict", "hard")))
+def alias_registry_checks(t):
+    a = given(t, "line, alias, person_id, person_canon", (1, "Anita", U1, "Ana Ruiz"), (2, " ", U1, "Ana Ruiz"), (3, "Bobby", "p1", "Bo Lind"), (4, "Anita", U1, "Ana Ruiz"), (5, "Cyrus", U3, "bo lind"), (6, "Deirdre", U3, "Gone"), (7, "ANITA", U2, "Bo Lind"))
+    return A.alias_registry(a, given(t, "person_id, person_name", (U1, "Ana Ruiz"), (U2, "Bo Lind")))
+
+
+@query(answer("check_id, severity, name, n", ("unmapped_person_name", "WARN", "Ana Ruiz", 2), ("canon_missing", "ERROR", "Bo Lind", 1), ("mojibake", "WARN", "Cy¿ Young", 1), ("multi_person", "WARN", "Dee and Eli Hart", 1), ("unmapped_person_name", "WARN", "Dee and Eli Hart", 1), ("trailing_junk", "INFO", "Fay Gray *", 1), ("open_paren", "INFO", "Gus Poe (Lima", 1), ("unmapped_person_name", "WARN", "Gus Poe (Lima", 1)))
+def tier_one_people(t):
+    return A.people_findings(given(t, "name, person_id, person_canon", ("Ana Ruiz", "", ""), ("Ana Ruiz", None, ""), ("Bo Lind", "p2", " "), ("Cy¿ Young", "p3", "Cy Young"), ("Dee and Eli Hart", "", ""), ("Fay Gray *", "p4", "Fay Gray"), ("Gus Poe (Lima", "", ""), ("III and Hal", "p5", "x"), (None, None, None)), P.is_person_like)
+
+
+@query(answer("before, after, changed, ok", (3, 2, -1, True)))
+def patch_asserted(t):
+    rows = given(t, "id", (1,), (2,), (3,))
+    return A.expected_counts(rows, W.delete(rows, "id", given(t, "id", (3,), (9,))), -1)
+
+
+@query(answer("id", ("12",), ("3",), ("x",), ("7",)))
+def best_of_events(t):
+    return P.best_event(given(t, "id, year, name, location, date, placements", ("1", 1999, "Cup", "Lima", "May 1", 0), ("12", 1999, "cup ", "lima", "TBA", 3), ("3", 2000, "Cup", "Lima", "May", 2), ("20", 2000, "Cup", "Lima", "", 2), ("x", 2001, "Cup", "", "May", None), ("5", 2001, "Cup", "", "tbd", None), ("9", None, "Z", "", "", 0), ("7", None, "Z", None, None, 0))).select("id")
+
+
+@query(answer("name, entries, countries", ("Ana Ruiz", 4, "PER|FIN"), ("Bo Lind", 1, "")))
+def player_registry(t):
+    return P.register(given(t, "name, country", ("Ana Ruiz", "PER"), ("Ana  Ruiz PER", "PER"), ("Ana Ruiz", "FIN"), ("Ana Ruiz", None), ("Bo Lind", ""), ("Junk", "PER")), "12345678123456781234567812345678").drop("player_id")
+
+
+@query(answer("club, name, person_id, how", ("a", "Ana Ruiz", "p1", "exact"), ("a", "Sam Same", None, "ambiguous"), ("b", "Ana Ruiz", "p1", "exact"), ("b", "No One", None, "none")))
+def club_person_links(t):
+    return P.club_links(given(t, "club, name", ("a", "Ana Ruiz "), ("a", "Ana Ruiz"), ("a", "Sam Same"), ("b", "Ana Ruiz"), ("b", "No One"), ("b", "")), given(t, "person_id, person_name", ("p1", "ana ruiz"), ("p2", "Sam Same"), ("p3", "Sam Same")))
+
+
+@query(answer("nth, name", (1, "Élan"), (2, "elms"), (3, "Emma"), (4, "Zoë"), (5, "zz")))
+def base_ordered(t):
+    n = given(t, "name", ("zz",), ("Zoë",), ("Emma",), ("elms",), ("Élan",)).withColumn("k", P.base_order(F.col("name")))
+    return V.placed(n, [], F.substring("k", 1, 1), ["k", "name"], "nth").select("nth", "name")
