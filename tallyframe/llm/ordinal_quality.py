@@ -138,8 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal | N
             found = [features(t) for t in pdf["text"]]
             yield pd.DataFrame({"draw": pdf["draw"], "_id": pdf["_id"], "grade": pdf["grade"], "columns": [c for c, _ in found], "values": [v for _, v in found]})
 
-    got = rows.mapInPandas(extract, "draw double, _id long, grade int, columns array<int>, values array<float>").where("size(columns) > 0").orderBy("draw", "_id").limit(sample).collect()
-    return fit_ordinal([(r["grade"], np.array(r["columns"], np.int64), np.array(r["values"])) for r in got])
+    got = rows.mapInPandas(extract, "draw double, _id long, grade int, columns array<int>, values array<float>").where("size(columns) > 0").orderBy("draw", "_id").limit(sample).select("grade", "columns", "values").toArrow()
+    # Arrow's own arrays: as lists of Python numbers they would take many times the room.
+    return fit_ordinal([(g.as_py(), c.values.to_numpy(), v.values.to_numpy()) for batch in got.to_batches() for g, c, v in zip(*batch.columns, strict=True)])
 
 
 class Scorer:

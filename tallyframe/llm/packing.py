@@ -181,20 +181,23 @@ class Sums:
     """The sums of pairs and of triples of `lengths`, up to `limit`, by sum: what combinations have it."""
 
     def __init__(self, lengths: np.ndarray, limit: int):
-        lengths = np.sort(np.asarray(lengths, np.int64))
-        larger = [np.full(np.searchsorted(lengths[: i + 1], limit - a, side="right"), a) for i, a in enumerate(lengths)]
+        if 2 * limit >= 1 << 15:
+            raise ValueError("sums are held in 16 bits")
+        lengths = np.sort(np.asarray(lengths, np.int16))
+        larger = [np.full(np.searchsorted(lengths[: i + 1], limit - a, side="right"), a, np.int16) for i, a in enumerate(lengths)]
         smaller = [lengths[: len(x)] for x in larger]
         self.larger, self.smaller, self.pairs = self.by_sum(larger, smaller, limit)
-        sums = np.flatnonzero(np.diff(self.pairs))  # of pairs that there are
-        longest = [np.full(np.searchsorted(sums, limit - c, side="right"), c) for c in lengths]
+        sums = np.flatnonzero(np.diff(self.pairs)).astype(np.int16)  # of pairs that there are
+        longest = [np.full(np.searchsorted(sums, limit - c, side="right"), c, np.int16) for c in lengths]
         self.longest, self.rest, self.triples = self.by_sum(longest, [sums[: len(x)] for x in longest], limit)
 
     @staticmethod
     def by_sum(x: list[np.ndarray], y: list[np.ndarray], limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Both parts in order of their sum, and where each sum begins."""
-        a, b = (np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int32) for v in (x, y))
-        order = np.argsort(a + b, kind="stable")
-        return a[order], b[order], np.concatenate([[0], np.cumsum(np.bincount(a + b, minlength=limit + 1))])
+        a, b = (np.concatenate([np.zeros(0, np.int16), *v]) for v in (x, y))
+        total = a + b
+        order = np.argsort(total, kind="stable").astype(np.int32)
+        return a[order], b[order], np.concatenate([[0], np.cumsum(np.bincount(total, minlength=limit + 1))])
 
     def of_two(self, total: int, have: np.ndarray) -> Iterator[list[int]]:
         """Pairs with that sum whose members there still are."""
