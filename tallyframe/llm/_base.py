@@ -112,7 +112,7 @@ def only(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
     Texts are shuffled once: the join and the window go by the same key."""
     k, nth, mark = fresh(docs, "_key", "_nth", "_mark")
     own = docs.withColumn(k, key).join(kept.select(F.col(kept.columns[0]).alias(k)), k, "left_semi")
-    own = own.withColumn(mark, F.xxhash64(*[F.to_json(F.struct(f"`{f.name}`")) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in docs.schema.fields]))
+    own = own.withColumn(mark, F.xxhash64(*[F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]))
     return own.withColumn(nth, F.row_number().over(Window.partitionBy(k).orderBy(mark))).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

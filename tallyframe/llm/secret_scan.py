@@ -6,12 +6,13 @@ trigram that some rule asks for, as documents' numbers. Rules' queries are answe
 the documents found are searched with the regex itself. A rule without mandatory trigrams scans every document.
 
 Trigrams are of bytes with A-Z lower-cased, so that rules that ignore case share the index. Null texts are empty; every row gives a
-result, repeated rows too; a document of any length is scanned whole. The index lives for one block of at most INDEX bytes.
+result, repeated rows too; a document of any length is scanned whole. The index lives for one block of documents, which is closed when it
+holds more than INDEX code points. Empty tables give empty results; other columns are not read. Patterns are parsed with the parser that
+`re` itself uses.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import string
 from collections.abc import Iterator
@@ -205,7 +206,3 @@ def scan_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, " + "".join(f"n_{k} long, " for k in kinds) + "spans array<struct<kind:string,start:long,end:long>>, joined string")
-
-
-def digest(joined: str) -> str:
-    return hashlib.sha256(joined.encode()).hexdigest()
