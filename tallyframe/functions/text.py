@@ -19,9 +19,17 @@ def like_literal(text: str) -> str:
     return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def contains_text(col: Column, text: str) -> Column:
-    """Contains, ignoring case; wildcards in the text stand for themselves."""
-    return F.contains(F.lower(col), F.lit(text.lower()))
+    """Contains, ignoring the case of A-Z alone, as SQLite's LIKE does; wildcards in the text stand for themselves."""
+    return F.contains(F.translate(col, UPPER, LOWER), F.lit(text.translate(str.maketrans(UPPER, LOWER))))
+
+
+def sqlite_substr(col: Column, start: int, length: int) -> Column:
+    """substr as SQLite counts: from 0 the first character is one before the text."""
+    return F.substring(col, max(start, 1), max(0, length - 1) if start == 0 else length) if start >= 0 else F.substring(col, start, length)
 
 
 def slugify(col: Column, sep: str = "_", most: int = 80) -> Column:

@@ -31,6 +31,13 @@ def superseded_by(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.join(steps, [key, value], "left")
 
 
+def progression(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """As superseded_by over several keys, of which nulls are equal: `next_value` is null for the highest rows, which share it."""
+    steps = df.select(*keys, value).where(F.col(value).isNotNull()).distinct()
+    steps = steps.withColumn("next_value", F.lead(value).over(Window.partitionBy(*keys).orderBy(value))).select(*[F.col(c).alias(f"_{c}") for c in (*keys, value)], "next_value")
+    return df.join(steps, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, value)], "left").select(*df.columns, "next_value")
+
+
 def runs(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """`run`: the number, from 1, of the unbroken run of equal values that the row is in."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -611,3 +611,24 @@ def club_person_links(t):
 def base_ordered(t):
     n = given(t, "name", ("zz",), ("Zoë",), ("Emma",), ("elms",), ("Élan",)).withColumn("k", P.base_order(F.col("name")))
     return V.placed(n, [], F.substring("k", 1, 1), ["k", "name"], "nth").select("nth", "name")
+
+
+@query(answer("trick, adds, record, next_value", ("t", None, 10, 15), ("t", None, 15, 20), ("t", None, 15, 20), ("t", None, 20, None), ("t", None, 20, None), ("t", 3, 12, None), ("u", None, None, None)))
+def record_progression(t):
+    return V.progression(given(t, "trick, adds, record", ("t", None, 10), ("t", None, 15), ("t", None, 15), ("t", None, 20), ("t", None, 20), ("t", 3, 12), ("u", None, None)), ["trick", "adds"], "record")
+
+
+@query(answer("text, a, b, c", ("footbag", "f", "foo", "ag"), ("", "", "", ""), (None, None, None, None)))
+def sqlite_substrings(t):
+    return given(t, "text", ("footbag",), ("",), (None,)).select("text", X.sqlite_substr(F.col("text"), 0, 2).alias("a"), X.sqlite_substr(F.col("text"), 1, 3).alias("b"), X.sqlite_substr(F.col("text"), -2, 2).alias("c"))
+
+
+@query(answer(
+    "event, discipline, team_type, sort_order, people",
+    (1, "open_singles_net", "singles", 1, 3), (1, "open_doubles_net", "doubles", 2, 6), (1, "open_singles_routines", "singles", 3, 2), (1, "intermediate_shred", "singles", 4, 1), (1, "womens_circle", "singles", 5, 1), (1, "sick_3", "singles", 6, 1), (2, "unknown", "singles", 1, 3),
+))
+def canonical_chain(t):
+    """From text to the canonical tables."""
+    found = R.parse_results(given(t, "event_id, text", (1, PAGE), (2, "1. Solo Runner\n2. Odd {Name & Other One"))).withColumnsRenamed({"event_id": "event", "line_no": "ord"})
+    people = C.participant_table(found).groupBy("event", F.col("division").alias("name")).agg(F.count("*").alias("people"))
+    return C.discipline_table(found).join(people, ["event", "name"]).select("event", "discipline", "team_type", "sort_order", "people")

@@ -252,7 +252,7 @@ def shared_pool(t):
 
 @query("SELECT c_name, c_acctbal FROM customer ORDER BY lower(c_name), c_custkey LIMIT 20 OFFSET 40")
 def browse_page(t):
-    return J.page(t.customer, [F.lower("c_name"), F.col("c_custkey")], 3, 20).select("c_name", "c_acctbal")
+    return J.page(t.customer, [W.nocase(F.col("c_name")), F.col("c_custkey")], 3, 20).select("c_name", "c_acctbal")
 
 
 @query("SELECT c_nationkey AS nationkey FROM customer UNION SELECT s_nationkey FROM supplier")
@@ -495,3 +495,44 @@ def group_transform(t):
 @query("""SELECT l_suppkey, min(l_linenumber) AS best, round(avg(l_linenumber), 4) AS mean, count(*) FILTER (l_linenumber <= 3) AS podiums, count(DISTINCT l_partkey) AS different, round(count(DISTINCT l_partkey) / count(*), 4) AS diversity FROM lineitem GROUP BY 1""")
 def placement_profiles(t):
     return t.lineitem.groupBy("l_suppkey").agg(F.min("l_linenumber").alias("best"), F.round(F.avg("l_linenumber"), 4).alias("mean"), F.count_if(F.col("l_linenumber") <= 3).alias("podiums"), F.countDistinct("l_partkey").alias("different"), F.round(F.countDistinct("l_partkey") / F.count("*"), 4).alias("diversity"))
+
+
+@query("""SELECT o_orderkey, max(l_returnflag) AS flag, max(c_name) AS name FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+def fanout_collapsed(t):
+    # Lines are collapsed before they are joined: the join fans out nothing.
+    n = t.lineitem.groupBy("l_orderkey").agg(F.max("l_returnflag").alias("flag"))
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("l_orderkey") == F.col("o_orderkey"))
+    return o.select("o_orderkey", "flag", F.col("c_name").alias("name"))
+
+
+@query("""SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_orderdate DESC, o_orderkey) AS place FROM orders""")
+def custom_order(t):
+    state = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
+    return V.best_of(t.orders, ["o_custkey"], [state, F.desc("o_orderdate"), F.asc("o_orderkey")]).select("o_orderkey", F.col("nth").alias("place"))
+
+
+@query("""SELECT c_mktsegment, n_name, count(*) AS n, round(sum(c_acctbal), 2) AS balance, count(*) FILTER (c_acctbal < 0) AS negative FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2""")
+def candidate_groups(t):
+    c = t.customer.groupBy("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"), F.count_if(F.col("c_acctbal") < 0).alias("negative"))
+    return c.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_mktsegment", "n_name", "n", "balance", "negative")
+
+
+@query("""SELECT l_suppkey, l_returnflag, count(*) AS entries, count(*) FILTER (l_linenumber = 1) AS wins, count(DISTINCT l_orderkey) AS events FROM lineitem GROUP BY 1, 2""")
+def stats_per_category(t):
+    per = t.lineitem.groupBy("l_suppkey", "l_returnflag", "l_orderkey").agg(F.count("*").alias("k"), F.count_if(F.col("l_linenumber") == 1).alias("w"))
+    return per.groupBy("l_suppkey", "l_returnflag").agg(F.sum("k").alias("entries"), F.sum("w").alias("wins"), F.count("*").alias("events"))
+
+
+@query("""WITH k AS (SELECT l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS r FROM lineitem) WHERE r = 1)
+ SELECT p_partkey, s_name AS first_seller FROM part LEFT JOIN k ON l_partkey = p_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey""")
+def first_wins_lookup(t):
+    first = J.latest_per_key(t.lineitem.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber"), ["l_partkey"], [F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_suppkey")])
+    return t.part.join(first, F.col("l_partkey") == F.col("p_partkey"), "left").join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("p_partkey", F.col("s_name").alias("first_seller"))
+
+
+@query("""SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON lower(c_mktsegment) || c_nationkey = lower(CASE WHEN s_acctbal > 0 THEN 'Building' ELSE 'machinery' END) || s_nationkey AND s_acctbal < c_acctbal""")
+def folded_key_join(t):
+    # An equi-join on an expression, without regard to case, and what is left of the condition behind it.
+    s = t.supplier.select("s_suppkey", "s_acctbal", F.concat(F.lower(F.when(F.col("s_acctbal") > 0, "Building").otherwise("machinery")), F.col("s_nationkey").cast("string")).alias("k"))
+    c = t.customer.select("c_custkey", "c_acctbal", F.concat(F.lower("c_mktsegment"), F.col("c_nationkey").cast("string")).alias("k"))
+    return c.join(s, "k").where("s_acctbal < c_acctbal").select("c_custkey", "s_suppkey")
