@@ -33,8 +33,8 @@ WIDTH, RUN, VOTES, LEAST, SCALE = 16, 16, 4, 100, 1000
 BITS, HASHES, FULL, CUTOFF = 2048, 5, 160, 0.1
 #: Bytes of text whose windows are computed together, and windows that one lane passes over.
 TOGETHER, LANE = 1_500_000, 384
-#: Bytes of text in a block of rows that are neighbours in the order of ids, and such blocks in a task.
-PER_BLOCK, PER_TASK = 8_000_000, 4
+#: Bytes of text in a block of rows that are neighbours in the order of ids. There are as many tasks as blocks, and some have a few.
+PER_BLOCK = 8_000_000
 
 def entropies(flat: np.ndarray, width: int = 64) -> np.ndarray:
     """Of each window of `width` bytes the entropy, 0 to SCALE. Lanes of windows advance together, each keeping its bytes' counts."""
@@ -232,7 +232,7 @@ def in_blocks(docs: DataFrame) -> DataFrame:
 
     rows = rows.withColumn("to", F.explode(places("down", "tie")))
     to = F.col("to")
-    return rows.select(F.when(to < 0, -1 - to).otherwise(to).alias("block"), (to < 0).alias("extra"), "down", "tie", "doc_id", "text").repartition(max(1, -(-len(borders) // PER_TASK)), "block")
+    return rows.select(F.when(to < 0, -1 - to).otherwise(to).alias("block"), (to < 0).alias("extra"), "down", "tie", "doc_id", "text").repartition(max(1, len(borders)), "block")
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_text", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
