@@ -28,9 +28,11 @@ def given(t, names: str, *rows: tuple) -> DataFrame:
 
 
 def answer(names: str, *rows: tuple) -> str:
-    """The SQL of a table of these rows."""
+    """The SQL of a table of these rows; a name may have its type behind it, where the values alone say another."""
     literal = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"{x}::DOUBLE" if isinstance(x, float) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) v({names})"
+    columns = [n.strip().split(" ") for n in names.split(",")]
+    typed = ", ".join(f"CAST({n[0]} AS {n[1]}) AS {n[0]}" if n[1:] else n[0] for n in columns)
+    return f"SELECT {typed} FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) v({', '.join(n[0] for n in columns)})"
 
 
 PAGE = """Welcome to the 12th annual gathering
@@ -157,7 +159,7 @@ def provenance_candidates(t):
     return P.provenance(legacy, persons, given(t, "a, b", ("bob lind", "bobby lind"), ("ana ruiz", "anna ruiz")))
 
 
-@query(answer("name, n, person_id, how", ("Ana Ruiz", 2, "p1", "exact"), ("Bob Lind Jr.", 1, "p2", "suffix"), ("C Young", 1, "p3", "initial"), ("Nobody Here", 1, None, None), ("S Same", 1, None, None)))
+@query(answer("name, n BIGINT, person_id, how", ("Ana Ruiz", 2, "p1", "exact"), ("Bob Lind Jr.", 1, "p2", "suffix"), ("C Young", 1, "p3", "initial"), ("Nobody Here", 1, None, None), ("S Same", 1, None, None)))
 def unresolved_suggestions(t):
     names = given(t, "name", ("Ana Ruiz",), ("Ana Ruiz",), ("Bob Lind Jr.",), ("C Young",), ("Nobody Here",), ("S Same",))
     return P.suggest(names, given(t, "person_id, person_name", ("p1", "ana ruiz"), ("p2", "Bob Lind"), ("p3", "Cy Young"), ("p4", "Sam Same"), ("p5", "Sue Same")))
@@ -191,7 +193,7 @@ def club_leaders(t):
     return K.leaders(K.affiliations(rows.withColumnRenamed("person_id", "pid").withColumnRenamed("person", "person_id")).drop("person_id").withColumnRenamed("pid", "person_id"))
 
 
-@query(answer("country, region, total, clubs", ("X", "North", 3, "a|b"), ("X", "South", 3, "c"), ("Y", None, 2, "d|e"), ("Z", None, 2, "f|g")))
+@query(answer("country, region, total BIGINT, clubs", ("X", "North", 3, "a|b"), ("X", "South", 3, "c"), ("Y", None, 2, "d|e"), ("Z", None, 2, "f|g")))
 def clubs_by_region(t):
     return K.by_region(given(t, "country, region, club", ("X", "North", "b"), ("X", "North", "a"), ("X", "South", "c"), ("Y", "East", "d"), ("Y", "East", "e"), ("Z", "West", "f"), ("Z", "", "g")))
 
@@ -224,7 +226,7 @@ def search_merge(t):
     return rows.crossJoin(F.broadcast(facts))  # one row of facts
 
 
-@query(answer("name, bonus, composition", ("spinning whirl", 2, "whirl (3) + spinning (+2 on rotational base) = 5"), ("spinning ducking clipper", 2, "clipper (2) + spinning (+1) + ducking (+1) = 4")))
+@query(answer("name, bonus BIGINT, composition", ("spinning whirl", 2, "whirl (3) + spinning (+2 on rotational base) = 5"), ("spinning ducking clipper", 2, "clipper (2) + spinning (+1) + ducking (+1) = 4")))
 def add_compositions(t):
     tricks = given(t, "name, adds, base", ("whirl", "3", None), ("clipper", "2", None), ("spinning whirl", "5", "whirl"), ("spinning ducking clipper", None, "clipper"), ("odd clipper", "3", "clipper"), ("modifier", "modifier", "x"))
     return S.compositions(tricks, given(t, "slug, modifier, add_bonus, add_bonus_rotational", ("spinning", "spinning", 1, 2), ("ducking", "ducking", 1, 1)))
@@ -235,7 +237,7 @@ def trick_families(t):
     return S.families(given(t, "family, trick", ("clipper", "clipper"), ("clipper", "ducking clipper"), ("whirl", "whirl"), ("whirl", "spinning whirl"), ("lone", "lone"), (None, "x")), "family", "trick", {"whirl": 0, "clipper": 1})
 
 
-@query(answer("key, value, n", ("reason", "a", 3), ("reason", "b", 1), ("status", "open", 2), ("status", "done", 2)))
+@query(answer("key, value, n BIGINT", ("reason", "a", 3), ("reason", "b", 1), ("status", "open", 2), ("status", "done", 2)))
 def queue_marginals(t):
     return S.marginals(given(t, "reason, status", ("a", "open"), ("a", "open"), ("a", "done"), ("b", "done")), ["reason", "status"])
 
@@ -259,7 +261,7 @@ def participant_orders(t):
     return C.participant_table(given(t, "ord, event, division, place, player1, player2", (1, "e", "D", 1, "Ana", "Bo"), (2, "e", "D", 1, "Cy", "Dee"), (3, "e", "D", 3, "Eve", "")))
 
 
-@query(answer("person_id, first_year, last_year, event_count, placement_count, wins", ("a", 2001, 2003, 2, 3, 2), ("b", 2001, 2001, 1, 2, 0)))
+@query(answer("person_id, first_year, last_year, event_count BIGINT, placement_count BIGINT, wins BIGINT", ("a", 2001, 2003, 2, 3, 2), ("b", 2001, 2001, 1, 2, 0)))
 def canonical_person_stats(t):
     p = given(t, "event, placement, participant_order, person_id", ("e1", 1, 1, "a"), ("e1", 1, 2, "b"), ("e1", 2, 1, "b"), ("e2", 1, 1, "a"), ("e2", 3, 1, "a"), ("e2", 4, 1, ""))
     return C.person_stats(p, given(t, "event, year", ("e1", 2001), ("e2", 2003)))
@@ -289,7 +291,7 @@ def pairs_in_sequence(t):
     return C.sequential_pairs(d, p).select("discipline", "placement", "participant_order", "display_name", "note")
 
 
-@query(answer("event, discipline, name, category, parts", ("m", "open_net", "Open Net", "net", 1), ("m", "routines", "Routines", "freestyle", 0), ("m", "mixed", "Mixed", "unknown", 1), ("m", "mixed_net", "Mixed Net", "net", 0), ("m", "unknown", "Unknown", "unknown", 0), ("s", "open", "Open", "unknown", 1)))
+@query(answer("event, discipline, name, category, parts BIGINT", ("m", "open_net", "Open Net", "net", 1), ("m", "routines", "Routines", "freestyle", 0), ("m", "mixed", "Mixed", "unknown", 1), ("m", "mixed_net", "Mixed Net", "net", 0), ("m", "unknown", "Unknown", "unknown", 0), ("s", "open", "Open", "unknown", 1)))
 def bare_labels_to_net(t):
     d = given(t, DISCIPLINES, ("m", "open", "Open", "unknown", "singles"), ("m", "routines", "Routines", "freestyle", "singles"), ("m", "mixed", "Mixed", "unknown", "doubles"), ("m", "mixed_net", "Mixed Net", "net", "doubles"), ("m", "unknown", "Unknown", "unknown", "singles"), ("s", "open", "Open", "unknown", "singles"))
     d, p = C.bare_to_net(d, given(t, PARTICIPANTS, ("m", "open", 1, 1, "Ana", ""), ("m", "mixed", 1, 1, "Bo", ""), ("s", "open", 1, 1, "Cy", "")))
@@ -303,7 +305,7 @@ def event_overrides(t):
     return C.overrides(e, given(t, "event, exclude, has_name, name, has_status, status", ("a", False, True, "New", False, "ignored"), ("b", None, False, None, True, None), ("c", True, False, None, False, None)), ["name", "status"])
 
 
-@query(answer("person_id, person_name, used", ("p2", "Ana Ruiz", 3), ("p3", "Bo Lind", 1)))
+@query(answer("person_id, person_name, used BIGINT", ("p2", "Ana Ruiz", 3), ("p3", "Bo Lind", 1)))
 def persons_merged(t):
     persons, parts = C.merge_by_name(given(t, "person_id, person_name", ("p1", "ana ruiz"), ("p2", "Ana Ruiz"), ("p3", "Bo Lind")), given(t, "person_id, entry", ("p1", 1), ("p2", 2), ("p2", 3), ("p3", 4)))
     return persons.join(parts.groupBy("person_id").agg(F.count("*").alias("used")), "person_id")
@@ -337,7 +339,7 @@ def entries(t):
     return given(t, "entry, event, discipline, discipline_name, placement, year, participant_order, person_id", *[(*e[:6], i, p) for e in ENTRIES for i, p in enumerate(e[6], 1)])
 
 
-@query(answer("a, b, first_year, last_year, appearance_count", ("a", "b", 2001, 2004, 2)))
+@query(answer("a, b, first_year, last_year, appearance_count BIGINT", ("a", "b", 2001, 2004, 2)))
 def teams_built(t):
     return T.build_teams(entries(t), "u", "6ba7b8109dad11d180b400c04fd430c8")[0].drop("team_id")
 
@@ -386,7 +388,7 @@ def name_checks(t):
     return A.name_issues(n, ["__NON_PERSON__"])
 
 
-@query(answer("event, before, after, lost", ("a", 3, 2, 1), ("b", 1, 0, 1), ("c", 0, 1, -1)))
+@query(answer("event, before BIGINT, after BIGINT, lost BIGINT", ("a", 3, 2, 1), ("b", 1, 0, 1), ("c", 0, 1, -1)))
 def stage_drops(t):
     return A.stage_drop(given(t, "event", ("a",), ("a",), ("a",), ("b",), ("d",)), given(t, "event", ("a",), ("a",), ("c",), ("d",)), "event")
 
@@ -403,12 +405,12 @@ def identity_audit(t):
     return A.identity_findings(aliases, given(t, "person_id, name, source, placements", ("p1", "ana", "import", 3), ("p2", "ann", "import", 1), ("p3", "bo", "import", 2), ("p4", "bob", "import", 0), ("p5", "cy", "import", 1), ("p6", "cy", "import", 2), ("p7", "ana", "patch_v53:x", 0), ("p8", "ana", "import", None)))
 
 
-@query(answer("d, entries, places, tie_share, highest, verdict", ("clean", 3, 3, 0.0, 3, "clean"), ("dense", 3, 1, 0.667, 1, "dense"), ("gaps", 2, 2, 0.0, 9, "gaps"), ("ties", 3, 2, 0.333, 2, "ties")))
+@query(answer("d, entries BIGINT, places BIGINT, tie_share, highest, verdict", ("clean", 3, 3, 0.0, 3, "clean"), ("dense", 3, 1, 0.667, 1, "dense"), ("gaps", 2, 2, 0.0, 9, "gaps"), ("ties", 3, 2, 0.333, 2, "ties")))
 def discipline_forensics(t):
     return A.discipline_verdict(given(t, "d, placement", *[(k, p) for k, v in {"clean": (1, 2, 3), "dense": (1, 1, 1), "gaps": (1, 9), "ties": (1, 2, 2)}.items() for p in v]), ["d"])
 
 
-@query(answer("severity, check_id, issues", ("hard", "orphan_discipline", 1), ("hard", "orphan_person", 1), ("hard", "placement_not_positive", 1), ("warn", "doubles_participants", 2), ("warn", "blank_name", 1), ("warn", "non_person_name", 1), ("info", "one_id_many_names", 1)))
+@query(answer("severity, check_id, issues BIGINT", ("hard", "orphan_discipline", 1), ("hard", "orphan_person", 1), ("hard", "placement_not_positive", 1), ("warn", "doubles_participants", 2), ("warn", "blank_name", 1), ("warn", "non_person_name", 1), ("info", "one_id_many_names", 1)))
 def canonical_checks(t):
     p = given(t, PARTICIPANTS, ("e", "d", 1, 1, "Ana Ruiz", "p1"), ("e", "d", 1, 2, "Bo Lind", "p2"), ("e", "d", 2, 1, "Ana Ruyz", "p1"), ("e", "d", 0, 1, "Cy", "gone"), ("e", "x", 1, 1, "  ", ""))
     return A.canonical_gate(given(t, DISCIPLINES, ("e", "d", "D", "net", "doubles")), p, given(t, "person_id", ("p1",), ("p2",)), P.is_person_like)
@@ -435,7 +437,7 @@ def page_fields(t):
     return readers.fields(given(t, "id, html", (1, html), (2, "<p>none</p>")), "html", {"club": "clubsShowName", "place": "clubsLocation"}, {"contact": "Contact"}).drop("html")
 
 
-@query(answer("block, header, n", (0, None, 1), (1, "1999: Spring", 2), (2, "2000: Fall", 1)))
+@query(answer("block, header, n BIGINT", (0, None, 1), (1, "1999: Spring", 2), (2, "2000: Fall", 1)))
 def year_blocks(t):
     lines = readers.text_blocks(given(t, "id, text", (1, "intro\n1999: Spring\n1. Ana\n2000: Fall")), "id", "text", r"^\d{4}:")
     return lines.groupBy(F.col("block").cast("int").alias("block"), F.col("block_header").alias("header")).agg(F.count("*").alias("n"))
@@ -492,7 +494,7 @@ def overlay_names(t):
     return M.overlay(given(t, "id, name, alt", (1, "WHIRL", None), (2, "Leg Over!", "whirl"), (3, "Mirage thing", "mirage"), (4, "x", None)), given(t, "slug, name", ("whirl", "Whirl"), ("leg-over", "legover"), ("mirage", "Mirage")))
 
 
-@query(answer("era, honoured, overlap, n", ("before_1990", True, "unique_name_matches_other", 1), ("1990s", False, "ambiguous_multiple_matches", 1), ("2010_on", False, "variant_assisted_match", 1), ("unknown", False, "no_name_match", 2)))
+@query(answer("era, honoured, overlap, n BIGINT", ("before_1990", True, "unique_name_matches_other", 1), ("1990s", False, "ambiguous_multiple_matches", 1), ("2010_on", False, "variant_assisted_match", 1), ("unknown", False, "no_name_match", 2)))
 def cohort_counts(t):
     persons = given(t, "person_id, name, last_year, honoured", ("p1", "ana", 1989, True), ("p2", "bo", 1990, False), ("p3", "bobby", 2010, None), ("p4", "cy", None, False), ("p5", "dee", None, False))
     return M.cohorts(persons, given(t, "other_id, name", ("o1", "ana"), ("o2", "bo"), ("o3", "bo"), ("o4", "bob"), ("o5", "")), given(t, "a, b", ("bob", "bobby")))
@@ -581,12 +583,12 @@ def alias_registry_checks(t):
     return A.alias_registry(a, given(t, "person_id, person_name", (U1, "Ana Ruiz"), (U2, "Bo Lind")))
 
 
-@query(answer("check_id, severity, name, n", ("unmapped_person_name", "WARN", "Ana Ruiz", 2), ("canon_missing", "ERROR", "Bo Lind", 1), ("mojibake", "WARN", "Cy¿ Young", 1), ("multi_person", "WARN", "Dee and Eli Hart", 1), ("unmapped_person_name", "WARN", "Dee and Eli Hart", 1), ("trailing_junk", "INFO", "Fay Gray *", 1), ("open_paren", "INFO", "Gus Poe (Lima", 1), ("unmapped_person_name", "WARN", "Gus Poe (Lima", 1)))
+@query(answer("check_id, severity, name, n BIGINT", ("unmapped_person_name", "WARN", "Ana Ruiz", 2), ("canon_missing", "ERROR", "Bo Lind", 1), ("mojibake", "WARN", "Cy¿ Young", 1), ("multi_person", "WARN", "Dee and Eli Hart", 1), ("unmapped_person_name", "WARN", "Dee and Eli Hart", 1), ("trailing_junk", "INFO", "Fay Gray *", 1), ("open_paren", "INFO", "Gus Poe (Lima", 1), ("unmapped_person_name", "WARN", "Gus Poe (Lima", 1)))
 def tier_one_people(t):
     return A.people_findings(given(t, "name, person_id, person_canon", ("Ana Ruiz", "", ""), ("Ana Ruiz", None, ""), ("Bo Lind", "p2", " "), ("Cy¿ Young", "p3", "Cy Young"), ("Dee and Eli Hart", "", ""), ("Fay Gray *", "p4", "Fay Gray"), ("Gus Poe (Lima", "", ""), ("III and Hal", "p5", "x"), (None, None, None)), P.is_person_like)
 
 
-@query(answer("before, after, changed, ok", (3, 2, -1, True)))
+@query(answer("before BIGINT, after BIGINT, changed BIGINT, ok", (3, 2, -1, True)))
 def patch_asserted(t):
     rows = given(t, "id", (1,), (2,), (3,))
     return A.expected_counts(rows, W.delete(rows, "id", given(t, "id", (3,), (9,))), -1)
@@ -597,7 +599,7 @@ def best_of_events(t):
     return P.best_event(given(t, "id, year, name, location, date, placements", ("1", 1999, "Cup", "Lima", "May 1", 0), ("12", 1999, "cup ", "lima", "TBA", 3), ("3", 2000, "Cup", "Lima", "May", 2), ("20", 2000, "Cup", "Lima", "", 2), ("x", 2001, "Cup", "", "May", None), ("5", 2001, "Cup", "", "tbd", None), ("9", None, "Z", "", "", 0), ("7", None, "Z", None, None, 0))).select("id")
 
 
-@query(answer("name, entries, countries", ("Ana Ruiz", 4, "PER|FIN"), ("Bo Lind", 1, "")))
+@query(answer("name, entries BIGINT, countries", ("Ana Ruiz", 4, "PER|FIN"), ("Bo Lind", 1, "")))
 def player_registry(t):
     return P.register(given(t, "name, country", ("Ana Ruiz", "PER"), ("Ana  Ruiz PER", "PER"), ("Ana Ruiz", "FIN"), ("Ana Ruiz", None), ("Bo Lind", ""), ("Junk", "PER")), "12345678123456781234567812345678").drop("player_id")
 
@@ -607,7 +609,7 @@ def club_person_links(t):
     return P.club_links(given(t, "club, name", ("a", "Ana Ruiz "), ("a", "Ana Ruiz"), ("a", "Sam Same"), ("b", "Ana Ruiz"), ("b", "No One"), ("b", "")), given(t, "person_id, person_name", ("p1", "ana ruiz"), ("p2", "Sam Same"), ("p3", "Sam Same")))
 
 
-@query(answer("nth, name", (1, "Élan"), (2, "elms"), (3, "Emma"), (4, "Zoë"), (5, "zz")))
+@query(answer("nth BIGINT, name", (1, "Élan"), (2, "elms"), (3, "Emma"), (4, "Zoë"), (5, "zz")))
 def base_ordered(t):
     n = given(t, "name", ("zz",), ("Zoë",), ("Emma",), ("elms",), ("Élan",)).withColumn("k", P.base_order(F.col("name")))
     return V.placed(n, [], F.substring("k", 1, 1), ["k", "name"], "nth").select("nth", "name")
@@ -624,7 +626,7 @@ def sqlite_substrings(t):
 
 
 @query(answer(
-    "event, discipline, team_type, sort_order, people",
+    "event, discipline, team_type, sort_order, people BIGINT",
     (1, "open_singles_net", "singles", 1, 3), (1, "open_doubles_net", "doubles", 2, 6), (1, "open_singles_routines", "singles", 3, 2), (1, "intermediate_shred", "singles", 4, 1), (1, "womens_circle", "singles", 5, 1), (1, "sick_3", "singles", 6, 1), (2, "unknown", "singles", 1, 3),
 ))
 def canonical_chain(t):
