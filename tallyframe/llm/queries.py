@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import exact_dedup, fast_minhash, hilbert_shards, html_blocks, language_id, mixing, ordinal_quality, packing, rare_features, secret_scan
+from tallyframe.llm import annulus_search, exact_dedup, fast_minhash, gray_simhash, hilbert_shards, html_blocks, language_id, mixing, ordinal_quality, packing, rare_features, secret_scan, trie_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,24 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rare_features.fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("edited_text", "edited_sha256")
 
 
+def op11_near_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gray_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_join.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = table(spark, sf_dir, "embeddings").where(F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = rows.select("vec_id", label.alias("label"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("embedding"))
+    return annulus_search.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_secret_scan, op4_quality, op5_hilbert_shards, op6_mix_sources, op7_pack, op8_near_dedup, op9_extract_text, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_secret_scan, op4_quality, op5_hilbert_shards, op6_mix_sources, op7_pack, op8_near_dedup, op9_extract_text, op10_fingerprints, op11_near_simhash, op12_spelling_variants, op13_hard_negatives)}
 
 
 EXACT_SQL = """
@@ -99,5 +115,17 @@ SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE CAST(si
 """
 
 
+NEGATIVES_SQL = """
+WITH f AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(e, lambda x: floor(256 * x::DOUBLE)) AS x FROM f),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS own, list_inner_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, b, score FROM s WHERE own QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b)::INT AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.own AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op1_exact_dedup": EXACT_SQL, "op6_mix_sources": MIX_SQL, "op8_near_dedup": NEAR_SQL}
+    return {"op1_exact_dedup": EXACT_SQL, "op6_mix_sources": MIX_SQL, "op8_near_dedup": NEAR_SQL, "op13_hard_negatives": NEGATIVES_SQL}
