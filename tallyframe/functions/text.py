@@ -51,6 +51,12 @@ def fold_marks(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
 
 
+@F.pandas_udf(T.StringType())
+def fold_accents(s: pd.Series) -> pd.Series:
+    """Without combining marks (canonical decomposition only, so that other letters stay as they are)."""
+    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn"))
+
+
 def normalise_name(col: Column) -> Column:
     """Folded, lower case, separators to spaces, other marks dropped, single spaces."""
     s = F.regexp_replace(F.lower(fold_marks(col)), "[-_/]+", " ")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text as X
+from tallyframe.operators.graph import merge_targets
 
 GHOST = "__UNKNOWN_PARTNER__"
 # Words that say what a discipline is.
@@ -200,10 +201,14 @@ def persons_master(canonical: DataFrame, provisional: DataFrame, promoted: DataF
 
 def adjudicate(events: DataFrame, decisions: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, results) after decisions(event, target, action): suppress drops an event and its results; merge moves the results of an
-    event to its target, where rows that are there already are not doubled, and adds `conflict` where a place then has several names."""
-    gone = decisions.where("action in ('suppress', 'merge')").select("event").distinct()
-    moved = decisions.where("action = 'merge'").select("event", "target")
-    r = results.join(decisions.where("action = 'suppress'").select("event").distinct(), "event", "left_anti").join(moved, "event", "left").withColumn("event", F.coalesce("target", "event")).drop("target")
+    event to its target, where rows that are there already are not doubled, and adds `conflict` where a place then has several names.
+
+    Merges are closed first (graph.merge_targets): along a chain results go to its end, round a cycle to its least event. What is merged
+    into a suppressed event goes with it. No result is left at an event that is gone."""
+    moved = merge_targets(decisions.where("action = 'merge'"), "event", "target").where("node <> survivor").select(F.col("node").alias("event"), "survivor")
+    dropped = decisions.where("action = 'suppress'").select("event").distinct()
+    gone = moved.select("event").union(dropped).distinct()
+    r = results.join(dropped, "event", "left_anti").join(moved, "event", "left").withColumn("event", F.coalesce("survivor", "event")).drop("survivor").join(dropped, "event", "left_anti")
     r = r.dropDuplicates(["event", "discipline", "placement", "name"])
     n = r.groupBy("event", "discipline", "placement").agg(F.count("*").alias("_n"))
     return events.join(gone, "event", "left_anti"), r.join(n, ["event", "discipline", "placement"]).withColumn("conflict", F.col("_n") > 1).drop("_n")

@@ -26,11 +26,23 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
     return out.select(*left.columns, *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
-def co_members(df: DataFrame, group: str, member: str) -> DataFrame:
-    """Ordered pairs (member, other) of different members of one group, with the number of groups that hold both."""
-    one = df.select(group, member).distinct()
-    other = one.select(group, F.col(member).alias("other"))
-    return one.join(other, group).where(F.col(member) != F.col("other")).groupBy(member, "other").agg(F.count("*").alias("shared"))
+#: Members of a group that one task pairs with as many others.
+BLOCK = 1000
+
+
+def co_members(df: DataFrame, group: str, member: str, block: int = BLOCK) -> DataFrame:
+    """Ordered pairs (member, other) of different members of one group, with the number of groups that hold both.
+
+    A heavy-light join: a group of up to `block` members is paired as it is; a larger one is dealt into blocks of about that many, and
+    each pair of its blocks is a key of its own. So no task has more than block x block pairs of one group at once, and a group with a third
+    of the rows runs in as many tasks as it has pairs of blocks."""
+    one = df.select(group, member).where(F.col(group).isNotNull() & F.col(member).isNotNull()).distinct()
+    large = one.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > block).select(group, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    dealt = one.join(large, group, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn("_at", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    left = dealt.select(group, member, F.col("_at").alias("_i"), every.alias("_j"))
+    right = dealt.select(group, F.col(member).alias("other"), F.col("_at").alias("_j"), every.alias("_i"))
+    return left.join(right, [group, "_i", "_j"]).where(F.col(member) != F.col("other")).groupBy(member, "other").agg(F.count("*").alias("shared"))
 
 
 def slot_pairs(df: DataFrame, group: str, position: str, member: str, first: int = 1, second: int = 2) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Registered queries on cases stated in the query itself: their SQL is the answer, worked out by hand, and not a second form of the rule."""
+"""Cases stated in rows: their SQL is the answer, worked out by hand, and not a second form of the rule. Each is a unit test of its operator."""
 
 from __future__ import annotations
 
@@ -17,10 +17,20 @@ from tallyframe.operators import shaping as S
 from tallyframe.operators import teams as T
 from tallyframe.operators import windows as V
 from tallyframe.operators import writes as W
-from tallyframe.plans.catalog import query
 from tallyframe.sources import readers
 
 
+CASES: dict = {}
+
+
+def query(sql: str):
+    def add(f):
+        CASES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
 def given(t, names: str, *rows: tuple) -> DataFrame:
     """A table of these rows; values are written as SQL literals."""
     literal = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else f"{x}D" if isinstance(x, float) else "'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
