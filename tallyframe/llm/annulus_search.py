@@ -238,9 +238,12 @@ def score_batches(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[p
                 other = rows != table["row"][i]
                 s = scores[i]
                 for w, window in enumerate(asked):
-                    known = sorted((r["score"] for r in table["best"][i] or [] if r["window"] == w), reverse=True)
+                    mine = [r for r in table["best"][i] or [] if r["window"] == w]
+                    known = sorted((r["score"] for r in mine), reverse=True)
                     least = max(window["low"], known[window["k"] - 1] if len(known) >= window["k"] else -np.inf)
                     at = np.nonzero((own if window["own"] else ~own) & other & (s >= least) & (s <= window["high"]))[0]
+                    if mine and len(at):  # a cell may be visited again for another window
+                        at = at[~np.isin(rows[at], [r["row"] for r in mine])]
                     if len(at) > window["k"]:
                         at = at[np.argsort(-s[at], kind="stable")[: window["k"]]]
                     if len(at):

@@ -36,7 +36,7 @@ def docs():
 
 @pytest.mark.parametrize("name", sorted(queries.oracles()))
 def test_equals_sql(spark, name):
-    got, want = queries.queries()[name](spark, DIR).toPandas(), duckdb.sql(queries.oracles()[name].replace("FROM documents", f"FROM '{DIR}/documents.parquet'")).df()
+    got, want = queries.queries()[name](spark, DIR).toPandas(), duckdb.sql(queries.oracles()[name].replace("FROM documents", f"FROM '{DIR}/documents.parquet'").replace("FROM embeddings", f"FROM '{DIR}/embeddings.parquet'")).df()
     key = sorted(want.columns)
     assert got[key].sort_values(key).astype(str).values.tolist() == want[key].sort_values(key).astype(str).values.tolist()
 
