@@ -93,19 +93,20 @@ def test_secret_digests(spark, docs):
 # Pages.
 
 
-def test_page_tree_asks_words_and_links():
+def test_words_and_links_decide():
+    """Where tags say nothing, and within an article, what is kept hangs on words and links, also those of neighbours."""
     tree = html_blocks.grow(*html_blocks.examples())
-    assert html_blocks.FEATURES[tree[0]] in ("words", "density")
-    asked = Counter()
-
-    def walk(t):
-        if isinstance(t, tuple):
-            asked[html_blocks.FEATURES[t[0]]] += 1
-            walk(t[2])
-            walk(t[3])
-
-    walk(tree)
-    assert asked["words"] + asked["density"] + asked["words_before"] + asked["words_after"] + asked["density_before"] + asked["density_after"] > asked["article"] + asked["section"]
+    kept = lambda page: html_blocks.main_text(page, tree)[0].split("\n")
+    story = "<p>" + "a sentence of some length that goes on for a while and then ends here " * 3 + "</p>"
+    menu = "".join(f'<div><a href="/{w}">{w}</a></div>' for w in ("Home", "News", "Shop"))
+    assert len(kept(menu + story)) == 1 < len(kept(menu.replace("<a", "<i").replace("</a", "</i") + story))
+    assert kept(f"<article>{story}<p><a>Read on</a></p><p><a>Share</a></p></article>") == kept(f"<article>{story}</article>")
+    assert kept(f"<article>{story}<p>Read on</p></article>")[-1] == "Read on"
+    x, y = html_blocks.examples()
+    flags = [html_blocks.FEATURES.index(f) for f in ("section", "article", "heading")]
+    blind = x.copy()
+    blind[:, [i for i in range(x.shape[1]) if i not in flags]] = 0
+    assert sum(html_blocks.classify(tree, r) == c for r, c in zip(x, y, strict=True)) > sum(html_blocks.classify(html_blocks.grow(blind, y), r) == c for r, c in zip(blind, y, strict=True)) + 20
 
 
 def test_pages_without_help(spark):
@@ -376,3 +377,22 @@ def test_shared_folder_is_asked_for(spark):
 
 def test_rules_without_trigrams_scan_all():
     assert secret_scan.query_of("[0-9a-f]+") is True
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div><a href="/a">Home</a> <a href="/b">News</a> <a href="/c">Shop</a> <a href="/d">Help</a> <a href="/e">Jobs</a> <a href="/f">Press</a> <a href="/g">Maps</a></div>' + "<p>" + "some plain words of a story that goes on for a while " * 5 + "</p>", "some plain words of a story that goes on for a while " * 5),
+        ('<div><a href="/a">Home</a> | <a href="/b">News</a> | <a href="/c">Shop</a> | <a href="/d">Help</a> | <a href="/e">Jobs</a></div>' + "<p>" + "some plain words of a story that goes on for a while " * 5 + "</p>", "some plain words of a story that goes on for a while " * 5),
+        ('<article><h1>Head</h1><p>First words of it</p><div class="cookie-notice"><p>We use cookies here</p></div><div class=\'promo Advert\'>Buy our great shoes now</div><p>Last words of it</p><section id="comments"><p>A reader says so</p></section></article>', "Head\nFirst words of it\nLast words of it"),
+        ('<article><p>Words <span class="ad">kept in line</span> here</p><div class="share-price">Price is 4</div></article>', "Words kept in line here\nPrice is 4"),
+    ],
+)
+def test_menus_notices_adverts_comments(page, text):
+    assert html_blocks.main_text(page, html_blocks.grow(*html_blocks.examples()))[0] == " \n".join(text.split(" \n")).strip()
+
+
+def test_linked_words_are_counted_in_place():
+    page = '<p><a href="#">one</a> <a href="#">two</a>, <a href="#">thr</a>ee four - five</p>'
+    (block,) = html_blocks.blocks_of(page)
+    assert block.words == 5 and block.density == 2 / 5
