@@ -77,8 +77,8 @@ def marginals(rows: DataFrame, keys: list[str]) -> DataFrame:
 def families(rows: DataFrame, family: str, member: str, order: dict[str, int] | None = None) -> DataFrame:
     """(family, members): families of more than one, in the given order or by name."""
     f = rows.where(F.col(family).isNotNull()).groupBy(family).agg(F.array_sort(F.collect_set(member)).alias("m")).where("size(m) > 1")
-    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in order.items() for x in p]), F.col(family)), F.lit(len(order))) if order else F.lit(0)
-    return f.orderBy(rank, family).select(family, F.array_join("m", "|").alias("members"))
+    rank = [F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in order.items() for x in p]), F.col(family)), F.lit(len(order)))] if order else []
+    return f.orderBy(*rank, family).select(family, F.array_join("m", "|").alias("members"))
 
 
 def subtract_tokens(text: Column, base: Column) -> Column:

@@ -31,7 +31,7 @@ def merge_sources(frames: list[DataFrame | None], key: str) -> tuple[DataFrame,
 def results_block(rows: DataFrame, division: str, place: str, player1: str, player2: str | None = None) -> DataFrame:
     """(event, text): one row a placement to a text of headed lines, divisions in the order they come in, places by number.
     rows(ord, event, ...)."""
-    name = F.concat_ws(" / ", F.nullif(F.trim(player1), F.lit("")), *([F.nullif(F.trim(player2), F.lit(""))] if player2 else []))
+    name = F.concat_ws(" / ", F.nullif(F.trim(player1), F.lit("")), *([F.nullif(F.trim(player2), F.lit(""))] if player2 is not None else []))
     lines = rows.where(name != "").groupBy("event", F.col(division).alias("division")).agg(F.min("ord").alias("ord"), F.array_sort(F.collect_list(F.struct(F.col(place).cast("int").alias("p"), F.col("ord").alias("o"), name.alias("n")))).alias("a"))
     block = F.concat_ws("\n", F.col("division"), F.array_join(F.transform("a", lambda x: F.concat(x["p"].cast("string"), F.lit(". "), x["n"])), "\n"))
     return lines.groupBy("event").agg(F.array_sort(F.collect_list(F.struct("ord", block.alias("b")))).alias("s")).select("event", F.array_join(F.transform("s", lambda x: x["b"]), "\n\n").alias("text"))
