@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -81,24 +82,26 @@ def placed(df: DataFrame, keys: list[str], deal: Column, order: list[Column | st
     return inner.join(sums, same).withColumn(out, F.col("_before") + F.col("_in")).select(*[c for c in df.columns if c != "_deal"], out)
 
 
-def first_hit_windows(df: DataFrame, key: str, at: str, width: float, most: int) -> DataFrame:
+def first_hit_windows(df: DataFrame, key: str, at: str, width: float, most: int, retry: bool = False) -> DataFrame:
     """Fixed-window rate limit: a window opens at a key's first hit and the first hit `width` or more later opens the next; in a window
-    the first `most` hits are allowed. `at` is in seconds. Gives key, id, at, allowed; rows without key or time give none.
+    the first `most` hits are allowed. `at` is in seconds. Gives key, id, at, allowed and, if asked for, retry_after: the whole seconds, one at
+    least, until a refused hit's window ends. Rows without key or time give none.
 
     Keys are dealt to partitions and sorted by time there; one pass carries a key's window from row to row, whatever its number of hits."""
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, start, n = None, 0.0, 0
         for f in frames:
-            allowed = []
+            allowed, after = [], []
             for k, t in zip(f["key"].tolist(), f["at"].tolist(), strict=True):
                 if k != now or t - start >= width:
                     now, start, n = k, t, 0
                 n += 1
                 allowed.append(n <= most)
-            yield f.assign(allowed=allowed)
+                after.append(None if n <= most else max(1, math.ceil(round(start + width - t, 6))))
+            yield f.assign(allowed=allowed, retry_after=pd.array(after, "Int32")) if retry else f.assign(allowed=allowed)
 
     kind = df.schema[key].dataType.simpleString()
     hits = df.select(F.col(key).alias("key"), F.col("id").cast("bigint").alias("id"), F.col(at).cast("double").alias("at")).where("key is not null and at is not null")
     hits = hits.repartition("key").sortWithinPartitions("key", "at", "id")
-    return hits.mapInPandas(fold, f"key {kind}, id bigint, at double, allowed boolean").withColumnRenamed("key", key)
+    return hits.mapInPandas(fold, f"key {kind}, id bigint, at double, allowed boolean{', retry_after int' if retry else ''}").withColumnRenamed("key", key)

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import text as X
 from tallyframe.operators import audits as A
+from tallyframe.operators import careers as Y
 from tallyframe.operators import clubs as K
 from tallyframe.operators import people as P
 from tallyframe.operators import results_text as R
 from tallyframe.operators import shaping as S
 from tallyframe.operators import teams as T
+from tallyframe.operators import windows as V
 from tallyframe.plans.catalog import query
 from tallyframe.sources import readers
 
@@ -281,3 +283,34 @@ def keys_and_patterns(t):
 def name_forms(t):
     name = F.concat(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")), F.lit(" (aka Red)"))
     return t.part.select("p_partkey", X.title_if_shouted(X.without_aka(name)).alias("cased"), X.match_key(F.concat(F.lit("  "), F.replace("p_name", F.lit("o"), F.lit("ø")))).alias("folded"))
+
+
+# Careers and coverage.
+
+
+@query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linenumber ORDER BY l_suppkey, l_partkey) = 1 AS one FROM lineitem)
+ SELECT l_suppkey, count(*) FILTER (one AND l_linenumber = 1) AS wins, count(*) FILTER (one AND l_linenumber <= 3) AS podiums, count(DISTINCT l_orderkey) AS events, count(DISTINCT l_returnflag) AS kinds,
+ min(year(l_shipdate)) AS first_year, max(year(l_shipdate)) - min(year(l_shipdate)) + 1 AS span FROM f GROUP BY 1""")
+def careers_of_first_names(t):
+    nth = F.expr("row_number() over (partition by l_orderkey, l_returnflag, l_linenumber order by l_suppkey, l_partkey)")
+    rows = t.lineitem.select("l_orderkey", "l_suppkey", "l_partkey", "l_returnflag", "l_linenumber", "l_shipdate").withColumn("nth", nth)
+    return Y.careers(rows, "l_suppkey", "l_orderkey", F.col("l_returnflag"), "l_linenumber", F.year("l_shipdate"), F.col("nth") == 1)
+
+
+@query("""WITH r AS (SELECT l_partkey AS event, l_returnflag || l_linestatus AS d FROM lineitem WHERE NOT (l_partkey % 5 = 0 AND l_linenumber > 1) AND NOT (l_partkey % 7 = 0 AND l_returnflag <> 'A') AND l_partkey % 17 <> 0),
+ n AS (SELECT event, count(*) AS p, count(DISTINCT d) AS d FROM r GROUP BY 1)
+ SELECT p_partkey AS event, coalesce(p, 0) AS placements, coalesce(d, 0) AS disciplines, CASE WHEN p_partkey % 13 = 0 THEN 'QUARANTINED' WHEN p_size % 10 = 0 OR coalesce(p, 0) = 0 THEN 'NO RESULTS' WHEN p >= 20 AND d >= 3 THEN 'FULL' WHEN p >= 10 OR d >= 2 THEN 'PARTIAL' ELSE 'SPARSE' END AS coverage
+ FROM part LEFT JOIN n ON event = p_partkey""")
+def event_coverage(t):
+    rows = t.lineitem.where("not (l_partkey % 5 = 0 and l_linenumber > 1) and not (l_partkey % 7 = 0 and l_returnflag <> 'A') and l_partkey % 17 <> 0")
+    events = t.part.select(F.col("p_partkey").alias("event"), F.when(F.col("p_size") % 10 == 0, "no_results").otherwise("").alias("status"))
+    return Y.coverage(events, rows.select(F.col("l_partkey").alias("event"), F.concat("l_returnflag", "l_linestatus").alias("discipline")), t.part.where("p_partkey % 13 = 0").select(F.col("p_partkey").alias("event")))
+
+
+@query("""WITH RECURSIVE h AS (SELECT user_id, event_id, epoch(ts) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id) AS k FROM events),
+ r AS (SELECT user_id, event_id, sec, k, sec AS start, 1 AS n FROM h WHERE k = 1 UNION ALL SELECT h.user_id, h.event_id, h.sec, h.k, CASE WHEN h.sec - r.start >= 86400 THEN h.sec ELSE r.start END,
+ CASE WHEN h.sec - r.start >= 86400 THEN 1 ELSE r.n + 1 END FROM r JOIN h ON h.user_id = r.user_id AND h.k = r.k + 1)
+ SELECT user_id, event_id AS id, n <= 2 AS allowed, CASE WHEN n > 2 THEN greatest(1, ceil(round(start + 86400 - sec, 6)))::INT END AS retry_after FROM r""")
+def rate_limit_retry(t):
+    hits = t.events.select("user_id", F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("sec"))
+    return V.first_hit_windows(hits, "user_id", "sec", 86_400, 2, retry=True).drop("at")
