@@ -106,14 +106,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def column(name: str) -> Column:
+    """The column of just this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def only(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
     """The rows of `docs` whose `key`, a string, is in the one column of `kept`; of several with one key, the first by a hash of the row.
 
-    Texts are shuffled once: the join and the window go by the same key."""
+    The first row of each key is chosen before the join, so that each task hands on one row of a key at most, however many rows have
+    it; texts are shuffled once, since the window and the join go by the same key."""
     k, nth, mark = fresh(docs, "_key", "_nth", "_mark")
-    own = docs.withColumn(k, key).join(kept.select(F.col(kept.columns[0]).alias(k)), k, "left_semi")
-    own = own.withColumn(mark, F.xxhash64(*[F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]))
-    return own.withColumn(nth, F.row_number().over(Window.partitionBy(k).orderBy(mark))).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    hashed = F.xxhash64(*[F.to_json(F.struct(column(f.name))) if "map<" in f.dataType.simpleString() else column(f.name) for f in docs.schema.fields])
+    own = docs.withColumn(k, key).withColumn(mark, hashed)
+    first = own.withColumn(nth, F.row_number().over(Window.partitionBy(k).orderBy(mark))).where(F.col(nth) == 1)
+    return first.join(kept.select(F.col(kept.columns[0]).alias(k)), k, "left_semi").select(*[column(c) for c in docs.columns])
 
 
 def ascii_lower(text: Column) -> Column:

@@ -122,12 +122,13 @@ def mix_rows(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     opens = F.col("rank") * F.col("each") + F.least("rank", "more")
     closes = (F.col("rank") + 1) * F.col("each") + F.least(F.col("rank") + 1, F.col("more"))
     parts = parts.select("rid", "nth", "rank", (F.least("end", closes) - F.greatest("begin", opens)).alias("part"))
-    taken = parts.join(plan, ["nth", "rank"]).groupBy("rid").agg(F.sum("part").alias("taken"))
-    return placed.join(taken, "rid", "left").select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "key")
+    taken = parts.join(plan, ["nth", "rank"]).groupBy("rid").agg(F.sum("part").alias("taken"), F.min("slot").alias("first_slot"))
+    return placed.join(taken, "rid", "left").select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("first_slot", F.lit(-1)).cast("long").alias("first_slot"), "key")
 
 
 def mix(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken for each row; `taken` counts repeats."""
+    """doc_id, size, source, source_size, target, taken, first_slot for each row; `taken` counts repeats. `first_slot` is where in the mix
+    the document is first met, -1 if it is not taken: read in this order, documents come in the schedule's proportions from the start."""
     return mix_rows(docs, limit).drop("key")
 
 

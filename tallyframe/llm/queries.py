@@ -36,7 +36,7 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,10 +96,10 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM d LEFT JOIN n USING (doc_id) JOIN comp USING (doc_id)
 """
 
-# Each source's target to the word: whole passes over its shuffled documents, then a part of one. No slot is in it: all slots together
-# hold just these words.
+# Targets by water level; slots of about 256 words, dealt to sources by a golden-ratio lattice; blocks of a source's shuffled documents,
+# laid end to end until its target is reached.
 MIX_SQL = r"""
-WITH r AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH r AS (SELECT row_number() OVER () AS rid, doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM r GROUP BY source),
 s AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS nth FROM s0),
 sw AS (SELECT *, CAST((nth - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS cap FROM s),
@@ -107,14 +107,23 @@ f AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, nth ROWS BETWEEN
       sum(weight) OVER (ORDER BY cap / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unfilled, (SELECT sum(source_size) FROM s) AS everything,
       row_number() OVER (ORDER BY cap / weight, nth) AS place FROM sw),
 l AS (SELECT arg_min((everything - filled) / unfilled, place) AS level FROM f WHERE (everything - filled) / unfilled * weight <= cap),
-t AS (SELECT source, nth, source_size, least(cap, level * weight) AS target FROM f, l),
-o AS (SELECT r.doc_id, r.size, t.source_size, t.target, least(CAST(round(t.target) AS BIGINT), t.source_size * 3) AS words,
-      sum(r.size) OVER (PARTITION BY t.nth ORDER BY CAST('0x' || substr(md5('mix:' || coalesce(r.doc_id, -1)), 1, 15) AS BIGINT), r.doc_id, r.size ROWS UNBOUNDED PRECEDING) - r.size AS pt
-      FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE CAST(size * (words // source_size) + greatest(0, least(size, words % source_size - pt)) AS BIGINT) END AS taken FROM o
+t AS (SELECT source, nth, source_size, least(cap, level * weight) AS target, least(CAST(round(least(cap, level * weight)) AS BIGINT), source_size * 3) AS words FROM f, l),
+b AS (SELECT *, CASE WHEN words > 0 THEN greatest(1, CAST(round(words / 256) AS BIGINT)) ELSE 0 END AS n FROM t),
+e AS (SELECT *, CASE WHEN n > 0 THEN words // n ELSE 0 END AS each, CASE WHEN n > 0 THEN words % n ELSE 0 END AS more, coalesce(sum(n) OVER (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM b),
+g AS (SELECT sum(n)::BIGINT AS slots FROM b),
+p AS (SELECT slots, (SELECT min(x) FROM range(greatest(1, CAST(round(slots * 0.6180339887498949) AS BIGINT)), greatest(1, CAST(round(slots * 0.6180339887498949) AS BIGINT)) + 10000) q(x) WHERE gcd(x, slots) = 1) AS step FROM g),
+k AS (SELECT slot, slot * step % slots AS point FROM p, range((SELECT slots FROM g)) q(slot)),
+plan AS (SELECT nth, slot, row_number() OVER (PARTITION BY nth ORDER BY slot) - 1 AS rank FROM k JOIN e ON point >= lo AND point < lo + n),
+o AS (SELECT r.rid, r.doc_id, r.size, e.*, sum(r.size) OVER (PARTITION BY e.nth ORDER BY CAST('0x' || substr(md5('mix:' || coalesce(r.doc_id, -1)), 1, 15) AS BIGINT), r.doc_id, r.size ROWS UNBOUNDED PRECEDING) - r.size AS pt
+      FROM r JOIN e ON r.source IS NOT DISTINCT FROM e.source),
+c AS (SELECT rid, nth, each, more, pt + z * source_size AS begin, least(pt + z * source_size + size, words) AS finish FROM o, range(4) q(z) WHERE size > 0 AND pt + z * source_size < words),
+w AS (SELECT rid, nth, CASE WHEN begin < more * (each + 1) THEN begin // (each + 1) ELSE more + (begin - more * (each + 1)) // each END AS first,
+      CASE WHEN finish - 1 < more * (each + 1) THEN (finish - 1) // (each + 1) ELSE more + (finish - 1 - more * (each + 1)) // each END AS last, finish - begin AS part FROM c),
+m AS (SELECT rid, min(slot) AS first_slot FROM w JOIN plan ON plan.nth = w.nth AND rank BETWEEN first AND last GROUP BY rid),
+h AS (SELECT rid, sum(part)::BIGINT AS taken FROM w GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, coalesce(first_slot, -1)::BIGINT AS first_slot FROM o LEFT JOIN m USING (rid) LEFT JOIN h USING (rid)
 """
 
-
 NEGATIVES_SQL = """
 WITH f AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
            AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),

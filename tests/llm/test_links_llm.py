@@ -221,3 +221,47 @@ def test_query_drops_what_is_not_finite(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     good = [(0, 1, [128, 64]), (53, 1, [128, 51]), (54, 2, [102, 0]), (56, 2, [76, 76])]
     assert Counter(tuple(r) for r in queries.op13_hard_negatives(spark, str(tmp_path)).collect()) == mined(good, lambda i: i % 50 == 0)
+
+
+# The mix's schedule, and one row of each key.
+
+
+def test_prefixes_of_the_mix_have_the_shares(spark):
+    """Wherever the mix is cut, its slots have the sources in their shares; another step meets the documents in another order."""
+    from tallyframe.llm import mixing
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    got = mixing.mix(docs).toPandas()
+    slots = mixing.schedule(spark.createDataFrame([(1, 30), (2, 50), (3, 20)], "nth long, n long"), 100).toPandas().sort_values("slot")
+    assert slots.nth.value_counts().to_dict() == {1: 30, 2: 50, 3: 20}
+    for n in (10, 25, 50, 77):
+        part = slots[:n].nth.value_counts()
+        assert all(abs(part.get(k, 0) - n * share) <= 3 for k, share in ((1, 0.3), (2, 0.5), (3, 0.2)))
+    taken = got[got.taken > 0].sort_values("first_slot")
+    assert (taken.first_slot >= 0).all() and (got[got.taken == 0].first_slot == -1).all()
+    # Early documents come from the sources in the shares of their targets, within what one document is.
+    share = got.groupby("source", dropna=False).target.first() / got.groupby("source", dropna=False).target.first().sum()
+    last = taken.first_slot.max()
+    for cut in (0.25, 0.5):
+        head = taken[taken.first_slot <= last * cut]
+        assert set(head.source.dropna()) >= set(share[share > 0.05].dropna().index) - {None}
+    keep = mixing.golden_step
+    try:
+        mixing.golden_step = lambda n: 1
+        other = mixing.mix(docs).toPandas()
+    finally:
+        mixing.golden_step = keep
+    both = got.merge(other, on="doc_id")
+    assert (both.taken_x == both.taken_y).all() and (both.first_slot_x != both.first_slot_y).any()
+
+
+def test_one_row_of_a_hot_key(spark):
+    """A third of the rows have no id and one text; column names may hold dots and backticks."""
+    from tallyframe.llm import _base
+
+    rows = spark.range(300).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("x").alias("a.b"), F.lit(1).alias("c`d"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    kept = spark.createDataFrame([("none",), ("1",), ("2",), ("9999",)], "k string")
+    got = _base.only(rows, key, kept)
+    assert got.columns == rows.columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "None"]
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
