@@ -82,8 +82,9 @@ def families(rows: DataFrame, family: str, member: str, order: dict[str, int] |
 
 
 def subtract_tokens(text: Column, base: Column) -> Column:
-    """The words of a text without those of the base, each taken away as often as the base has it, first ones first."""
-    words = lambda c: F.filter(F.split(F.lower(c), r"[\s-]+"), lambda x: x != "")
+    """The words of a text without those of the base, each taken away as often as the base has it, first ones first. White space of all
+    kinds parts words; those with a hyphen are one word."""
+    words = lambda c: F.filter(F.split(F.lower(c), r"(?U)\s+"), lambda x: x != "")
     def without(acc: Column, w: Column) -> Column:
         at = F.array_position(acc, w)
         return F.when(at > 0, F.concat(F.slice(acc, F.lit(1), (at - 1).cast("int")), F.slice(acc, (at + 1).cast("int"), F.size(acc)))).otherwise(acc)
