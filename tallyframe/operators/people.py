@@ -71,15 +71,18 @@ def auto_link(accounts: DataFrame, legacy: DataFrame, persons: DataFrame, varian
     norm = lambda c: F.trim(F.lower(F.regexp_replace(c, r"\s+", " ")))
     acc = accounts.join(legacy.select("legacy_id").distinct().withColumn("_legacy", F.lit(True)), "legacy_id", "left").withColumn("_n", norm(F.col("real_name")))
     owner = persons.where("legacy_id is not null").groupBy("legacy_id").agg(F.min("person_id").alias("owner"))
-    p = persons.select(F.col("person_id").alias("pid"), F.col("person_name").alias("pname"), norm(F.col("person_name")).alias("_p"))
+    # An account needs to know whether its candidates are several: their least and greatest ids say so. Names are joined, of which many persons may have one, and not persons.
+    merged = lambda df, key: df.groupBy(key).agg(F.min("pid").alias("pid"), F.max("_hi").alias("_hi"), F.max("_open").alias("_open"), F.min("kind").alias("kind"), F.min("pname").alias("pname"))
+    p = persons.select(F.col("person_id").alias("pid"), F.col("person_id").alias("_hi"), F.col("person_id").isNull().alias("_open"), F.lit("exact").alias("kind"), F.col("person_name").alias("pname"), norm(F.col("person_name")).alias("_p"))
+    p = merged(p, "_p")
     both = variants.select(norm(F.col("a")).alias("_n"), norm(F.col("b")).alias("_p")).union(variants.select(norm(F.col("b")), norm(F.col("a")))).distinct()
-    exact = acc.select("id", "_n").join(p, F.col("_n") == F.col("_p")).select("id", "pid", "pname", F.lit("exact").alias("kind"))
-    loose = acc.select("id", "_n").join(both, "_n").join(p, "_p").select("id", "pid", "pname", F.lit("variant").alias("kind"))
-    c = exact.union(loose).groupBy("id", "pid").agg(F.min("kind").alias("kind"), F.min("pname").alias("pname"))
-    c = c.groupBy("id").agg(F.count("*").alias("_c"), F.min("pid").alias("pid"), F.min("kind").alias("kind"), F.min("pname").alias("pname"))
+    loose = both.join(p, "_p").select("_n", "pid", "_hi", "_open", F.lit("variant").alias("kind"), "pname")
+    named = merged(p.withColumnRenamed("_p", "_n").union(loose), "_n")
+    c = merged(acc.select("id", "_n").join(named, "_n"), "id")
+    several = (F.col("pid") < F.col("_hi")) | (F.col("_open") & F.col("pid").isNotNull())
     j = acc.join(owner, "legacy_id", "left").join(c, "id", "left")
     same = X.surname(F.col("real_name")) == X.surname(F.col("pname"))
-    reason = F.when(F.col("_legacy").isNull(), None).when(F.col("owner").isNull(), "no_hp_for_legacy_account").when(F.col("_c").isNull(), "no_name_candidate").when(F.col("_c") > 1, "multiple_name_candidates").when((F.col("pid") != F.col("owner")) | ~F.coalesce(same, F.lit(False)), "hp_mismatch")
+    reason = F.when(F.col("_legacy").isNull(), None).when(F.col("owner").isNull(), "no_hp_for_legacy_account").when(F.col("kind").isNull(), "no_name_candidate").when(several, "multiple_name_candidates").when((F.col("pid") != F.col("owner")) | ~F.coalesce(same, F.lit(False)), "hp_mismatch")
     tier = F.when(F.col("_legacy").isNull(), "none").when(reason.isNotNull(), "tier3").when(F.col("kind") == "exact", "tier1").otherwise("tier2")
     return j.select("id", tier.alias("tier"), reason.alias("reason"), F.when(tier.isin("tier1", "tier2"), F.col("pid")).alias("person_id"))
 

@@ -95,3 +95,32 @@ def test_nested_results_whole(spark, tmp_path):
     folder = put(spark, tmp_path, lineitem=(lines, "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int, l_returnflag string"))
     got = [tuple(r) for r in catalog.QUERIES["nested_results"](spark, folder).select("event", "nth", "discipline", "placements").collect()]
     assert sorted(got, key=str) == [(1, 1, "Masters Shred", "7:8,9"), (1, 2, "Open Net", "1:3;2:3,4"), (1, 3, "Women Golf", "3:7"), (1, 4, "Women Golf", "3:5"), (2, 1, "Women Golf", None), (3, 1, "Women Golf", "1:2"), (3, 2, "Women Golf", "1:1")]
+
+
+def test_auto_link_tiers_whole(spark, tmp_path):
+    """By answers worked out by hand: suppliers of one nation, of several, listed twice, of a nation that is not listed or null; a customer listed twice under two nations; a legacy account that is not there. 2,000 customers and as many suppliers of one nation are not paired."""
+    customers = [(1, 1), (2, 2), (3, 3), (4, 4), (6, 6), (7, 1), (9, 77), (11, 77), (12, 5), (12, 7), (13, None), (14, 8), (5, 1)] + [(i, 20) for i in range(100_001, 102_001)]
+    suppliers = [(1, 1), (2, 2), (102, 2), (3, 3), (3, 3), (4, 44), (6, 7), (9, 77), (12, 5), (112, 7), (13, None), (14, 9)] + [(i, 20) for i in range(100_001, 102_001)]
+    folder = put(spark, tmp_path, customer=(customers, "c_custkey long, c_nationkey int"), supplier=(suppliers, "s_suppkey long, s_nationkey int"), nation=([(i,) for i in range(25)], "n_nationkey int"))
+    df = catalog.QUERIES["auto_link_tiers"](spark, folder)
+    got = [tuple(r) for r in df.select("id", "tier", "reason", "person_id").collect()]
+    several, nobody, surname = ("tier3", "multiple_name_candidates", None), ("tier3", "no_hp_for_legacy_account", None), ("tier3", "hp_mismatch", None)
+    want = [(1, "tier1", None, 1), (2, *several), (3, *surname), (4, "tier3", "no_name_candidate", None), (6, "tier3", "no_name_candidate", None), (7, *nobody), (9, *surname), (11, *nobody), (12, *several), (12, *several), (13, "tier3", "no_name_candidate", None), (14, "tier3", "no_name_candidate", None), (5, "none", None, None)]
+    many = [(i, "none", None, None) if i % 5 == 0 else (i, *several) for i in range(100_001, 102_001)]
+    assert sorted(got, key=str) == sorted(want + many, key=str)
+    assert largest_join(spark, df) < 10_000
+
+
+def largest_join(spark, df):
+    """The most rows that any join of a plan makes."""
+    plan, out = df._jdf.queryExecution(), [0]
+    plan.toRdd().count()
+    todo = [plan.executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        todo += [p.executedPlan()] if name == "AdaptiveSparkPlanExec" else [p.plan()] if name.endswith("QueryStageExec") else []
+        if "Join" in name:
+            out.append(p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return max(out)
