@@ -101,24 +101,30 @@ def abbreviations(persons: DataFrame) -> DataFrame:
 
 def membership_matches(members: DataFrame, persons: DataFrame, by_alias: DataFrame) -> DataFrame:
     """(id, status, person_id, score) for members(id, name): 100 by alias (id, person_id) or equal name, 75 by a nickname and surname, 65
-    by first name and surname; the best for each person, and CONFLICT (with the first name) where several persons share the best score."""
+    by first name and surname; the best for each person, and CONFLICT (with the first name) where several persons share the best score.
+
+    Persons are one row for each name, or first name and surname, before names are joined: their least and greatest ids say whether they are several."""
     first = lambda c: F.split(c, " ")[0]
     last = lambda c: F.element_at(F.split(c, " "), -1)
     norm = lambda c: F.trim(F.lower(F.regexp_replace(F.regexp_replace(c, r"[.,']", ""), r"\s+", " ")))
-    m, p = members.select("id", norm(F.col("name")).alias("m")), persons.select("person_id", F.col("person_name").alias("pn"), norm(F.col("person_name")).alias("p"))
-    m, p = m.withColumns({"_f": first("m"), "_l": last("m")}), p.withColumns({"_pf": first("p"), "_l": last("p")})
+    merged = lambda df, *keys: df.groupBy(*keys).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_open").alias("_open"), F.min("b").alias("b"))
+    what = ["_lo", "_hi", "_open", "b"]
+    one = [F.col("person_id").alias("_lo"), F.col("person_id").alias("_hi"), F.col("person_id").isNull().alias("_open"), F.struct(F.col("person_name").alias("pn"), "person_id").alias("b")]
+    p = merged(persons.select(norm(F.col("person_name")).alias("m"), *one), "m").withColumns({"_f": first("m"), "_l": last("m")})
+    short = merged(p.where("_l <> ''"), "_f", "_l")
+    m = members.select("id", norm(F.col("name")).alias("m"))
+    names = m.select("m").distinct().withColumns({"_f": first("m"), "_l": last("m")})
     nick = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in NICKNAMES.items() for x in pair])
-    exact = m.join(p, F.col("m") == F.col("p")).select("id", "person_id", "pn", F.lit(100).alias("score"))
-    alias = by_alias.join(persons, "person_id").select("id", "person_id", F.col("person_name").alias("pn"), F.lit(100).alias("score"))
-    close = m.drop("m").join(p.drop("p"), "_l").where("_l <> ''")
-    score = F.when(F.array_contains(F.coalesce(F.try_element_at(nick, F.col("_f")), F.array().cast("array<string>")), F.col("_pf")), 75).when(F.col("_f") == F.col("_pf"), 65)
-    close = close.select("id", "person_id", "pn", score.alias("score")).where("score is not null")
-    best = exact.union(alias).union(close).groupBy("id", "person_id").agg(F.max("score").alias("score"), F.min("pn").alias("pn"))
-    w = Window.partitionBy("id").orderBy(F.desc("score"))
-    best = best.withColumn("_r", F.rank().over(w)).where("_r = 1").groupBy("id").agg(F.count("*").alias("_n"), F.max("score").alias("score"), F.min(F.struct("pn", "person_id")).alias("b"))
-    status = F.when(F.col("_n") > 1, "CONFLICT").when(F.col("score") == 100, "MATCHED_STRONG").when(F.col("score") == 75, "MATCHED_VARIANT").otherwise("MATCHED_WEAK")
+    exact = names.select("m").join(p, "m").select("m", F.lit(100).alias("score"), *what)
+    near = names.select("m", "_l", F.lit(75).alias("score"), F.explode(F.try_element_at(nick, F.col("_f"))).alias("_f")).union(names.select("m", "_l", F.lit(65), "_f"))
+    near = near.join(short, ["_f", "_l"]).select("m", "score", *what)
+    top = lambda df, key: merged(df, key, "score").groupBy(key).agg(F.max_by(F.struct("score", *what), "score").alias("t")).select(key, "t.*")
+    alias = by_alias.join(persons, "person_id").select("id", F.lit(100).alias("score"), *one)
+    best = top(m.join(top(exact.union(near), "m"), "m").select("id", "score", *what).union(alias), "id")
+    several = (F.col("_lo") < F.col("_hi")) | (F.col("_open") & F.col("_lo").isNotNull())
+    status = F.when(several, "CONFLICT").when(F.col("score") == 100, "MATCHED_STRONG").when(F.col("score") == 75, "MATCHED_VARIANT").otherwise("MATCHED_WEAK")
     out = members.select("id").join(best, "id", "left")
-    return out.select("id", F.when(F.col("_n").isNull(), "NO_MATCH").otherwise(status).alias("status"), F.col("b.person_id").alias("person_id"), F.coalesce("score", F.lit(0)).alias("score"))
+    return out.select("id", F.when(F.col("score").isNull(), "NO_MATCH").otherwise(status).alias("status"), F.col("b.person_id").alias("person_id"), F.coalesce("score", F.lit(0)).alias("score"))
 
 
 def rollup_by_tier(rows: DataFrame, key: str, tier: str, ranks: dict[str, int], order: list[Column]) -> DataFrame:

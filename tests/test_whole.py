@@ -111,6 +111,30 @@ def test_auto_link_tiers_whole(spark, tmp_path):
     assert largest_join(spark, df) < 10_000
 
 
+def test_membership_scores_whole(spark, tmp_path):
+    """By answers worked out by hand: equal names, nicknames, several of either, nobody of the surname. 2,000 members and as many persons of one surname are not paired."""
+    customers = [90 * i for i in range(1, 1000)] + [90 * i + 45 for i in range(1000)] + [1, 2, 3, 85, 91, 179]
+    suppliers = [80 * i for i in range(3000, 5000)] + [1, 2, 3, 81]
+    folder = put(spark, tmp_path, customer=([(i,) for i in customers], "c_custkey long"), supplier=([(i,) for i in suppliers], "s_suppkey long"))
+    df = catalog.QUERIES["membership_scores"](spark, folder)
+    got = [tuple(r) for r in df.select("id", "status", "person_id", "score").collect()]
+    first = {True: min(i for i in suppliers if i % 80 == 0 and i % 3 == 0), False: min(i for i in suppliers if i % 80 == 0 and i % 3)}
+    want = [(i, "CONFLICT", first[i % 2 == 0], 100) for i in customers if i % 90 == 0] + [(i, "NO_MATCH", None, 0) for i in customers if i % 90 == 45]
+    # Persons 1 (Robert X1), 2 (Robert X2), 3 (Bob X3) and 81 (Bob X1): equal names go first.
+    want += [(1, "MATCHED_STRONG", 1, 100), (2, "MATCHED_VARIANT", 2, 75), (3, "MATCHED_VARIANT", 3, 75), (85, "NO_MATCH", None, 0), (91, "MATCHED_STRONG", 1, 100), (179, "NO_MATCH", None, 0)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert largest_join(spark, df) < 10_000
+
+
+def test_membership_matches_best_of_each(spark):
+    """A person with several names counts once, at the best score; aliases beside names; a member listed twice; names without a surname."""
+    members = spark.createDataFrame([(1, "Bob Lind"), (2, "Bob Lind"), (3, "Bob A. Lind"), (4, "Bob Lind"), (4, "Robert Lind"), (5, "."), (6, None), (7, "Steve Poe"), (8, "Dave Poe")], "id int, name string")
+    persons = spark.createDataFrame([("p1", "Robert Lind"), ("p1", "bob  LIND"), ("p2", "Robert Lind"), ("p3", "Steven Poe"), ("p4", "Stephen Poe"), ("p5", None), ("p6", "Zed Zed")], "person_id string, person_name string")
+    got = [tuple(r) for r in P.membership_matches(members, persons, spark.createDataFrame([(2, "p6"), (6, "p1"), (8, "gone")], "id int, person_id string")).collect()]
+    want = [(1, "MATCHED_STRONG", "p1", 100), (2, "CONFLICT", "p6", 100), (3, "CONFLICT", "p1", 75), (4, "CONFLICT", "p1", 100), (4, "CONFLICT", "p1", 100), (5, "NO_MATCH", None, 0), (6, "MATCHED_STRONG", "p1", 100), (7, "CONFLICT", "p4", 75), (8, "NO_MATCH", None, 0)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def largest_join(spark, df):
     """The most rows that any join of a plan makes."""
     plan, out = df._jdf.queryExecution(), [0]
