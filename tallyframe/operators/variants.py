@@ -10,6 +10,8 @@ from tallyframe.functions import text as X
 Q = 2
 #: A gram of more names than this is not joined by itself.
 LIGHT = 64
+#: Tasks that a gram's rows are dealt to.
+PARTS = 16
 
 
 def padded_grams(name: Column) -> Column:
@@ -18,35 +20,55 @@ def padded_grams(name: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.char_length(s) - (Q - 1)), lambda i: F.struct(i.alias("pos"), F.substring(s, i, Q).alias("gram")))
 
 
-def deletions(name: Column, edits: int) -> Column:
-    """The name and what is left of it without one, or with two edits one or two, of its characters."""
-    one = lambda s: F.when(F.char_length(s) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.char_length(s))))).otherwise(F.array().cast("array<string>"))
-    out = F.array_union(F.array(name), one(name))
-    return out if edits == 1 else F.array_union(out, F.flatten(F.transform(one(name), one)))
+def deletions(name: Column) -> Column:
+    """The name and what is left of it without one or two of its characters."""
+    one = lambda s: F.when(F.char_length(s) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(s), F.lit(1))), lambda i: without(s, i))).otherwise(F.array().cast("array<string>"))
+    return F.array_union(F.array_union(F.array(name), one(name)), F.flatten(F.transform(one(name), one)))
+
+
+def without(s: Column, i: Column) -> Column:
+    """A text without its character at place i."""
+    return F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.char_length(s)))
+
+
+def one_apart(n: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of distinct names at edit distance 1, each once and no others.
+
+    Names of one length are one change apart if they are equal without the character at one place; of names of two lengths the shorter is
+    the longer without one character, by the first of equal neighbours. Joins are by what is left, which no more names share than there
+    are characters and places, and are merged: Spark takes exploded rows for few, and would broadcast them."""
+    k = n.where("name <> ''").select("name", F.explode(F.sequence(F.lit(1), F.char_length("name"))).alias("pos")).withColumn("key", without(F.col("name"), F.col("pos")))
+    changed = k.alias("x").join(k.alias("y").hint("merge"), [F.col("x.key") == F.col("y.key"), F.col("x.pos") == F.col("y.pos")]).where("x.name < y.name").select(F.col("x.name").alias("a"), F.col("y.name").alias("b"))
+    first = (F.col("pos") == 1) | (F.substring("name", F.col("pos"), F.lit(1)) != F.substring("name", F.col("pos") - 1, F.lit(1)))
+    longer = k.where(first).select("key", F.col("name").alias("long")).join(n.select(F.col("name").alias("key")).hint("merge"), "key")
+    return changed.union(longer.select(F.least("key", "long").alias("a"), F.greatest("key", "long").alias("b")))
 
 
 def similar_names(names: DataFrame, name: str = "name", edits: int = 1) -> DataFrame:
     """(a, b), a < b: the distinct names at edit distance 1 to `edits` (1 or 2). Equal to trying all pairs.
 
-    An inverted index over rare grams: one edit changes Q grams of a name at most, so of the Q * edits + 1 rarest grams of two near names one
-    is shared, at places no farther apart than `edits`, by names whose lengths differ no more. Grams are counted over all names. A gram
-    of more than LIGHT names is never joined with itself: the names that have one among their rarest meet through what deletions of
-    `edits` characters leave of both, and so do names with too few grams; such a key has no more names than edits can make."""
+    For two edits, an inverted index over rare grams: one edit changes Q grams of a name at most, so of the Q * edits + 1 rarest grams of two
+    near names one is shared, at places no farther apart than `edits`, by names whose lengths differ no more. Grams are counted over all
+    names. A gram of more than LIGHT names is never joined with itself: the names that have one among their rarest meet through what
+    deletions of `edits` characters leave of both, and so do names with too few grams; such a key has no more names than edits can make.
+    Joins of exploded rows are merged, as for one edit; a gram's rows are dealt into PARTS to learn its count."""
     n = names.select(F.col(name).alias("name")).where("name is not null").distinct()
-    grams = n.select("name", F.char_length("name").alias("len"), F.explode(padded_grams(F.col("name"))).alias("g")).select("name", "len", "g.pos", "g.gram")
-    counts = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    if edits == 1:
+        return one_apart(n)
+    grams = n.select("name", F.char_length("name").alias("len"), F.explode(padded_grams(F.col("name"))).alias("g")).select("name", "len", "g.pos", "g.gram", F.pmod(F.hash("name"), F.lit(PARTS)).alias("part"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("df")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     # By rank, so that a gram that a name has several times is taken with all its places.
     order = Window.partitionBy("name").orderBy("df", "gram")
-    prefix = grams.join(counts, "gram").withColumn("nth", F.rank().over(order)).where(F.col("nth") <= Q * edits + 1)
+    prefix = grams.join(counts.hint("merge"), ["gram", "part"]).withColumn("nth", F.rank().over(order)).where(F.col("nth") <= Q * edits + 1)
     few = F.col("len") + Q - 1 < Q * edits + 1 + edits
     # Light grams: postings of LIGHT names at most.
     light = prefix.where(F.col("df") <= LIGHT)
     other = light.select("gram", F.col("name").alias("b"), F.col("len").alias("blen"), F.col("pos").alias("bpos"))
     close = (F.abs(F.col("len") - F.col("blen")) <= edits) & (F.abs(F.col("pos") - F.col("bpos")) <= edits)
-    found = light.join(other, "gram").where(close & (F.col("name") < F.col("b"))).select(F.col("name").alias("a"), "b")
+    found = light.join(other.hint("merge"), "gram").where(close & (F.col("name") < F.col("b"))).select(F.col("name").alias("a"), "b")
     # Names with heavy ones among their rarest, and short ones: if a pair shares no light gram, both are of these.
-    keys = prefix.where(few | (F.col("df") > LIGHT)).select("name").distinct().select("name", F.explode(deletions(F.col("name"), edits)).alias("key"))
-    pairs = keys.join(keys.withColumnRenamed("name", "b"), "key").where("name < b").select(F.col("name").alias("a"), "b")
+    keys = prefix.where(few | (F.col("df") > LIGHT)).select("name").distinct().select("name", F.explode(deletions(F.col("name"))).alias("key"))
+    pairs = keys.join(keys.withColumnRenamed("name", "b").hint("merge"), "key").where("name < b").select(F.col("name").alias("a"), "b")
     return found.union(pairs).distinct().where(F.levenshtein("a", "b", edits) >= 1)
 
 

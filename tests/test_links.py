@@ -40,6 +40,15 @@ def test_similar_names_equal_all_pairs(spark, monkeypatch, edits):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_similar_names_broadcast_no_exploded_rows(spark, tmp_path, edits):
+    """A small file's rows, exploded, are many: none may be broadcast for the file's size."""
+    spark.range(300).selectExpr("concat('Person#', lpad(id, 9, '0')) AS name").write.parquet(f"{tmp_path}/names")
+    names = spark.read.parquet(f"{tmp_path}/names")
+    plan = variants.similar_names(names, edits=edits)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_variants_by_hand(spark):
     persons = spark.createDataFrame([(1, "p1", "Ana María Ruiz"), (2, "p2", "Bo Lind"), (3, "p3", "A. J. Smith"), (4, "p4", "Lind Bo"), (5, "", "No Id"), (6, "p6", "R2 D2"), (7, "p7", "Jo Freeman Genz")], "ord int, person_id string, name string")
     displays = spark.createDataFrame([(1, "RUIZ ANA", "p1", ""), (2, "Bo Lind", "p2", ""), (3, "Lind Bo", "p2", ""), (4, "Old Name", "gone", "New Name"), (5, "R2 D 2", "p6", ""), (6, "Ana", "p1", "")], "ord int, display_name string, person_id string, fallback string")
